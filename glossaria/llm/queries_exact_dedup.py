@@ -1,0 +1,17 @@
+"""The query of operator 10 and its SQL."""
+
+from .common import table
+from .exact_dedup import exact_dedup
+
+
+def query(spark, sf_dir):
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+       count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""

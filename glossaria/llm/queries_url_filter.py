@@ -1,0 +1,8 @@
+"""The query of operator 7. SQL can't express the training; tests hold it against plain Python."""
+
+from .common import table
+from .url_filter import url_filter
+
+
+def query(spark, sf_dir):
+    return url_filter(table(spark, sf_dir, "pages"))
