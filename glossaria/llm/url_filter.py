@@ -24,7 +24,7 @@ RULES = [
 
 #: Labelled URLs that the model learns from. Words of hosts that sell, bet or track, and of others.
 BLOCKED_NAMES = """casino casino-royal online-casino win-casino bets best-bets bet-now sport-bets
-poker poker-online jackpot slots free-slots lottery adult adult-video xxx xxx-tube porn porn-hub sex-chat
+poker poker-online jackpot slots free-slots lottery adult adult-video xxx xxx-tube porn porn-hub sex-club
 sex-cam hot-cams buy-pills pills pharma-pills viagra cialis-shop spam link-farm seo-spam spam-mail
 ads ad-server track-ads tracker click-track adclick popup-ads banner-ads payday payday-loan quick-loans
 crypto-win get-rich free-money free-iphone replica-watch warez crack-keys keygen torrent-crack""".split()
@@ -33,7 +33,9 @@ travel maps history science physics biology chemistry mathematics music orchestr
 health hospital clinic research journal archive books reading writing grammar language dictionary encyclopedia
 sports football cycling running swimming forum community help support docs manual developer software hardware
 engineering bridge railway airport harbour mountain river forest ocean island village market bakery coffee
-theory gathering ration nation station mention whether other neither north south theta""".split()
+theory gathering ration nation station mention whether other neither north south theta thatch
+hatchery chateau chatham whatever weather-station estate thistle thesis theses synthetic threads threshold matter
+heather leather feather tether brother mother father anthem rhythm month worth earth health wealth strength""".split()
 PREFIXES, ENDINGS = ["", "www.", "m.", "blog."], ["example.com", "example.org", "example.net"]
 PATHS = ["/en/12", "/de/345.html", "/fr/678?page=2&ref=x", "/es/901#top", "/en/55/", "/index.html", "/fr/7", ""]
 
