@@ -1,0 +1,8 @@
+"""The query of operator 5. SQL can't express it; tests hold it against brute force."""
+
+from .common import table
+from .simhash import simhash
+
+
+def query(spark, sf_dir):
+    return simhash(table(spark, sf_dir, "documents"))
