@@ -57,8 +57,9 @@ def id_chunks(docs: DataFrame, n: int) -> DataFrame:
         probabilities = [i / n for i in range(1, n)]
         found = docs.agg(F.percentile_approx("doc_id", probabilities, max(10_000, 20 * n))).first()[0]
         bounds = sorted({float(x) for x in found or []})
-    splits = [-math.inf, *(x + 0.5 for x in bounds), math.inf]
-    splits = sorted(set(splits))
+    if not bounds:
+        return docs.withColumn("chunk", F.when(F.col("doc_id").isNull(), 1).otherwise(0))
+    splits = sorted({-math.inf, *(x + 0.5 for x in bounds), math.inf})
     numbered = docs.withColumn("chunk_key", F.col("doc_id").cast("double"))
     cut = Bucketizer(splits=splits, inputCol="chunk_key", outputCol="chunk", handleInvalid="keep")
     return cut.transform(numbered).withColumn("chunk", F.col("chunk").cast("int")).drop("chunk_key")

@@ -1,0 +1,10 @@
+"""The query of operator 2. SQL can't express it; tests hold it against the tokenizers library and its own bounds."""
+
+import public_tokenizers
+
+from .common import table
+from .packing import packing
+
+
+def query(spark, sf_dir):
+    return packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

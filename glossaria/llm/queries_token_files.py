@@ -1,0 +1,10 @@
+"""The query of operator 9. SQL can't express it; tests hold it against the tokenizers library."""
+
+import public_tokenizers
+
+from .common import table
+from .token_files import token_files
+
+
+def query(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
