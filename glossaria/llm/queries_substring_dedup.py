@@ -1,0 +1,8 @@
+"""The query of operator 4. SQL can't express it at this size; tests hold it against brute force."""
+
+from .common import table
+from .substring_dedup import substring_dedup
+
+
+def query(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
