@@ -1,0 +1,10 @@
+"""The query of operator 3. SQL can't express it; tests hold it against the tokenizers library."""
+
+import public_tokenizers
+
+from .common import table
+from .lexicon import encode_and_decode
+
+
+def query(spark, sf_dir):
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
