@@ -1,0 +1,8 @@
+"""The query of operator 6. SQL can't express it; tests hold it against pages whose main text is known."""
+
+from .common import table
+from .html_extract import extract
+
+
+def query(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))

@@ -1,0 +1,8 @@
+"""The query of operator 1. SQL can't express it; tests hold it against brute force and exact Jaccard indexes."""
+
+from .common import table
+from .minhash import fingerprints
+
+
+def query(spark, sf_dir):
+    return fingerprints(table(spark, sf_dir, "documents"))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_chunks, text_bytes, texts
 from .fusefilter import mix
@@ -222,7 +223,7 @@ def kept_texts(rows: pa.Table, removed: np.ndarray, window: int) -> list[tuple[i
     return out
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, columns: list[str] = (), keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, columns: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, the other ``columns`` asked for, and ``kept``: the text that is left.
 
     ``kept`` is the text itself, unchanged, where nothing is removed, else the kept words joined by one space.
@@ -257,8 +258,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return rows
         return table(rows["chunk"].to_pylist(), rows["block"].to_pylist(), held_earlier(rows["chunk"].to_numpy(), rows["data"].to_pylist()))
 
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string", *(["kept string"] if keep_text else []), *(f"_{c} {kinds[f'_{c}']}" for c in columns)])
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    fields += [T.StructField("kept", T.StringType())] * keep_text + [T.StructField(f"_{c}", source.schema[f"_{c}"].dataType) for c in columns]
+    schema = T.StructType(fields)
 
     def remove(rows, found):
         rows = in_order(rows)

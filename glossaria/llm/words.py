@@ -8,6 +8,7 @@ or with a special token's string goes to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -16,6 +17,8 @@ from tokenizers import Tokenizer
 
 from .merges import Merges
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
+
 _U = np.uint64
 #: Distinct words that a worker remembers before it starts anew, and bytes of text that it takes up at a time.
 REMEMBERED, TOGETHER, LONGEST = 1_500_000, 2 << 20, 200
