@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, id_chunks, text_bytes, texts, written
 from .components import components
-from .fusefilter import mix
-from .substring_dedup import _windowed, chunk_words, in_order
+from .jaccard import SIMILAR, bucket_pairs, shingles, verified
+from .substring_dedup import chunk_words, in_order
 
-SHINGLE, PERMUTATIONS, ROWS, SIMILAR = 5, 128, 4, 0.8
+PERMUTATIONS = 128
 #: Chunks whose bounds may be broadcast: 24 bytes of each.
 BROADCAST_CHUNKS = 1_000_000
 
@@ -34,24 +34,6 @@ _U = np.uint64
 _rng = np.random.default_rng(2024)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * _U(2) + _U(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_BASE = 0xA0761D6478BD642F
-
-
-def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the hashes of its shingles, from the hashes of all texts' words in a row."""
-    words = mix(words, 5)
-    with np.errstate(over="ignore"):
-        rolled = mix(_windowed(words, _BASE, size), 9) if len(words) else words
-    ends, out = np.cumsum(counts), []
-    for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
-        if n >= size:
-            out.append(rolled[end - n : end - size + 1])
-        elif n:
-            with np.errstate(over="ignore"):
-                out.append(mix(_windowed(words[end - n : end], _BASE, n)[:1], 10 + n))
-        else:
-            out.append(words[:0])
-    return out
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -117,32 +99,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id, the least id that chains of links lead to. Null ids are left out.
 
-    Texts are compared as classes of equal texts. Signatures are cut into bands of ROWS components; classes that share
-    a band meet in Spark. In each such bucket a class is compared with the least and with the preceding one, so that
-    the comparisons grow with the classes and not with the square of a bucket. A comparison is a link where the
+    Texts are compared as classes of equal texts. Signatures are cut into bands of four components; classes that share
+    a band meet in Spark. In each such bucket a class is compared with the least and, if that gives it no link, with
+    the preceding one, so that the comparisons grow with the classes and not with the square of a bucket. A comparison is a link where the
     Jaccard index of the shingle sets is at least ``similar``.
     """
     source = texts(docs, id_col, text_col).where("doc_id is not null")
-    keyed = source.withColumn("sha", F.sha2("text", 256))
-    classes = written(keyed.groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
-    chosen = keyed.join(classes, "sha").where("doc_id = rep").select("rep", "text").dropDuplicates(["rep"])
 
-    def shingle_sets(batches):
+    def bands(batches):
         for batch in batches:
-            words, counts = chunk_words(pa.table({"text": batch["text"]}))
-            found = [np.unique(x) for x in shingles(words, counts)]
-            bands = [signature(x).view("<u8").view(np.int64).tolist() for x in found]
-            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([x.view(np.int64).tolist() for x in found], pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["rep", "shingles", "bands"])
-
-    sets = written(chosen.mapInArrow(shingle_sets, "rep long, shingles array<long>, bands array<long>"), "shingle-sets")
-    bucket = sets.select("rep", F.posexplode("bands").alias("band", "key"))
-    in_bucket = Window.partitionBy("band", "key").orderBy("rep")
-    met = bucket.select("rep", F.lag("rep").over(in_bucket).alias("last"), F.first("rep").over(in_bucket).alias("least"))
-    pairs = met.select(F.col("rep").alias("a"), F.explode(F.array("last", "least")).alias("b")).where("a > b").distinct()
-    left, right = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    links = both.where((common >= similar * (sizes - common)) | (sizes == 0)).select("a", "b")
-    roots = components(links)
+            found = signatures(batch["text"]).view("<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], pa.array(list(found), pa.list_(pa.int64()))], ["doc_id", "sha", "bands"])
+
+    keyed = source.withColumn("sha", F.sha2("text", 256))
+    banded = written(keyed.mapInArrow(bands, "doc_id long, sha string, bands array<long>"), "bands")
+    classes = written(banded.groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
+    bucket = banded.join(classes, "sha").where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"])
+    pairs = bucket_pairs(bucket.select("rep", F.posexplode("bands").alias("band", "key")), ["band", "key"])
+    chosen = keyed.join(classes, "sha").where("doc_id = rep").select("rep", "text").dropDuplicates(["rep"])
+    roots = components(verified(pairs, chosen, similar))
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("sha", F.coalesce("root", "rep").alias("class_id"))
-    return keyed.select("doc_id", "sha").join(named, "sha").select("doc_id", "class_id")
+    return banded.select("doc_id", "sha").join(named, "sha").select("doc_id", "class_id")

@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import join_classes, texts, written
 from .components import components
+from .jaccard import SIMILAR, bucket_pairs, verified
 
 SHINGLE, BITS, TREES = 3, 2, 3
+#: Near texts: passages begin at one word in ANCHOR, and a text is searched by PASSAGES of them.
+ANCHOR, PASSAGES = 16, 12
 #: Fingerprints that a shard aims at, and the most that one task compares.
 SHARD, LEAF = 500, 8192
 
@@ -240,3 +243,42 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     settled = written(rooted.join(names, "root").select("fp", "n", "component_id"), "settled")
     out = join_classes(rows, settled, ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def passages(text: bytes, shingle: int = SHINGLE) -> list[int]:
+    """Fingerprints of up to PASSAGES passages. Passages begin at words whose own hash says so, so that an edit moves no
+    others, and those of the least hashes are chosen, so that near texts choose the same."""
+    words = text.translate(_LOWER).split()
+    begin = [0, *(i for i in range(1, len(words)) if xxhash.xxh64_intdigest(words[i], 7) % ANCHOR == 0), len(words)]
+    parts = [b" ".join(words[a:b]) for a, b in zip(begin, begin[1:], strict=False) if b - a >= 2 * shingle]
+    chosen = sorted(set(parts), key=lambda p: xxhash.xxh64_intdigest(p, 8))[:PASSAGES]
+    return [fingerprint(p, shingle) for p in chosen]
+
+
+def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id over two kinds of links: whole fingerprints within BITS, as by ``simhash``, and texts of
+    which passages have fingerprints within BITS and whose sets of five-word shingles are at least ``similar``.
+
+    A whole fingerprint within a few bits needs texts that are nearly the same; passages find texts with an edit in
+    every few lines, and the Jaccard index decides. Null ids are left out.
+    """
+    source = texts(docs, id_col, text_col).where("doc_id is not null")
+    whole = written(simhash(source), "whole")
+    # One document of each component goes on: the one whose id names it.
+    chosen = source.join(whole.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [passages(x.as_py()) for x in batch["text"].cast(pa.large_binary())]
+            flat = np.array([fp for one in found for fp in one], np.uint64).view(np.int64)
+            ids = batch["doc_id"].take(pa.array(np.repeat(np.arange(len(found)), [len(one) for one in found])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(flat)], ["rep", "fp"])
+
+    parts = written(chosen.mapInArrow(cut, "rep long, fp long").distinct(), "passages")
+    shared = parts.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    count = shared.count()
+    roots = components(links(shared.select("fp"), count))
+    bucket = parts.join(roots, parts["fp"] == roots["node"], "left").select("rep", F.coalesce("root", "fp").alias("root")).distinct()
+    found = verified(bucket_pairs(bucket, ["root"]), chosen.withColumnRenamed("doc_id", "rep"), similar)
+    merged = written(components(found).withColumnRenamed("node", "component_id"), "merged")
+    return whole.join(merged, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
