@@ -1,2 +1,208 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The flashcard queries over the driver's tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossaria.functions.cards import back_html, front_html
+from glossaria.functions.text import needs_choice, seeded_pick, sentence_list, state_key
+from glossaria.operators.contract import bold_ok, sentence_count_ok
+from glossaria.operators.parse import accumulated, notes, parsed
+from glossaria.operators.respond import compose, replay
+from glossaria.operators.state import epochs
+from glossaria.schema import FIELDS, LOG_BREAK, TEMPLATE_NAME
+from glossaria.sources.sinks import log_text
+
+PROMPT = "Define each of the following words and answer as a JSON array.\nWords:\n\n"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word definition for every part: sentences with blanks around them, an empty one, and one in bold."""
+    part = _table(spark, sf_dir, "part")
+    sentences = F.concat_ws("|", F.concat(F.lit(" "), "p_name", F.lit("\t")), "p_type", F.lit(""), F.concat(F.lit("<strong>"), "p_name", F.lit("</strong> "), "p_brand"))
+    more = F.when(F.col("p_size") % 4 == 0, F.lit("")).otherwise(F.concat(sentences, F.when(F.col("p_size") % 2 == 0, "|a <strong>b</strong>").otherwise("")))
+    spoken = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand"))
+    return part.select("p_partkey", "p_size", F.col("p_name").alias("Word"), more.alias("Sentences"), F.col("p_type").alias("Meaning"), spoken.alias("Pronunciation"))
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _definitions(spark, sf_dir).select("p_partkey", F.to_json(F.array(F.struct(*FIELDS))).alias("response"))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(_responses(spark, sf_dir), carry=("p_partkey",))
+
+
+_DEFINITIONS_SQL = r"""
+WITH raw AS (
+  SELECT p_partkey, p_size, p_name AS "Word", p_type AS "Meaning",
+    CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS "Pronunciation",
+    CASE WHEN p_size % 4 = 0 THEN '' ELSE ' ' || p_name || chr(9) || '|' || p_type || '||<strong>' || p_name || '</strong> ' || p_brand
+      || CASE WHEN p_size % 2 = 0 THEN '|a <strong>b</strong>' ELSE '' END END AS "Sentences"
+  FROM part),
+defs AS (
+  SELECT *, list_filter(list_transform(string_split("Sentences", '|'),
+    lambda x: regexp_replace(x, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')), lambda x: x <> '') AS items FROM raw),
+picked AS (
+  SELECT *, CASE WHEN len(items) > 0 THEN items[1 + ('0x' || substr(md5("Word"), 1, 8))::BIGINT % len(items)] END AS chosen FROM defs),
+fronts AS (
+  SELECT *, '<div class="sentence" style="text-align: center;">' || coalesce(chosen, '') || '</div>' AS front_html FROM picked)
+"""
+
+
+def prompt_compose(spark, sf_dir):
+    return compose(_table(spark, sf_dir, "benchmark"), PROMPT, "text").select("item_id", "model_input", "prompt_sha")
+
+
+def json_explode_events(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", F.from_json(F.concat(F.lit("["), "props", F.lit("]")), "array<struct<k:bigint>>").alias("items"))
+    return events.select("event_id", F.posexplode("items").alias("pos", "item")).select("event_id", "pos", F.col("item.k").alias("k"))
+
+
+def notes_from_response(spark, sf_dir):
+    return _notes(spark, sf_dir).select("p_partkey", "pos", *FIELDS)
+
+
+def sentence_split(spark, sf_dir):
+    items = _table(spark, sf_dir, "documents").select("doc_id", sentence_list(F.col("text")).alias("items"))
+    return items.select("doc_id", F.posexplode("items").alias("pos", "sentence"))
+
+
+def _chosen(spark, sf_dir):
+    items = _notes(spark, sf_dir).withColumn("sentence_list", sentence_list(F.col("Sentences")))
+    return items.withColumn("chosen", seeded_pick(F.col("sentence_list"), F.col("Word")))
+
+
+def sentence_choice(spark, sf_dir):
+    return _chosen(spark, sf_dir).select("p_partkey", "chosen")
+
+
+def sentence_membership(spark, sf_dir):
+    items = _definitions(spark, sf_dir).withColumn("sentence_list", sentence_list(F.col("Sentences")))
+    stored = F.when(F.col("p_size") % 5 == 0, F.lit(None)).when(F.col("p_size") % 5 == 1, "").when(F.col("p_size") % 5 == 2, "stale").otherwise(F.col("Meaning"))
+    return items.select("p_partkey", needs_choice(stored, F.col("sentence_list")).alias("redraw"))
+
+
+def state_key_plain_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", state_key(F.col("html")).alias("key"))
+
+
+def front_render(spark, sf_dir):
+    return _chosen(spark, sf_dir).select("p_partkey", "Word", front_html(F.col("chosen")).alias("front_html"))
+
+
+def back_render(spark, sf_dir):
+    front = _chosen(spark, sf_dir).withColumn("front_html", front_html(F.col("chosen")))
+    return front.select("p_partkey", F.lit(TEMPLATE_NAME).alias("template_name"), back_html(F.col("front_html"), F.col("Pronunciation"), F.col("Meaning")).alias("back_html"))
+
+
+def deck_accumulate(spark, sf_dir):
+    every = _notes(spark, sf_dir)
+    return accumulated([every.where("p_partkey % 2 = 0"), every]).select("batch_order", "p_partkey", "pos", "Word")
+
+
+def log_entries(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log_id"), F.col("turn").alias("batch_id"), F.col("text").alias("response"))
+    pieces = log_text(turns).select("log_id", F.posexplode(F.split("log", LOG_BREAK)).alias("pos", "entry"))
+    return pieces.where("pos > 0").select(F.col("log_id").alias("conv_id"), (F.col("pos") - 1).alias("pos"), "entry")
+
+
+def required_keys(spark, sf_dir):
+    kept = F.to_json(F.array(F.struct("Word", "Sentences", F.when(F.col("p_size") % 5 != 0, F.col("Meaning")).alias("Meaning"), F.when(F.col("p_size") % 7 != 0, F.col("Pronunciation")).alias("Pronunciation"))))
+    found = parsed(_definitions(spark, sf_dir).select("p_partkey", kept.alias("response")), carry=("p_partkey",))
+    return found.select("p_partkey", F.coalesce("problem", F.lit("ok")).alias("problem"))
+
+
+def contract_sentence_count(spark, sf_dir):
+    return _notes(spark, sf_dir).select("p_partkey", sentence_count_ok(F.col("Sentences")).alias("four_sentences"))
+
+
+def contract_bold(spark, sf_dir):
+    return _notes(spark, sf_dir).select("p_partkey", bold_ok(F.col("Sentences")).alias("all_bold"))
+
+
+def session_epochs(spark, sf_dir):
+    side = F.when(F.col("event_type") == "view", "front").when(F.col("event_type") == "click", "back")
+    views = _table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("key"), side.alias("side")).where("side is not null")
+    return epochs(views).select("event_id", "key", "side", "epoch")
+
+
+#: Responses that a strict parse accepts or rejects, with what is expected: the number of notes, or the problem.
+CASES = [
+    ("one", '[{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"}]', "1"),
+    ("empty array", "[]", "0"),
+    ("empty", "", "document"),
+    ("trailing text", '[{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"}] ok', "document"),
+    ("fence", '```json\n[]\n```', "document"),
+    ("truncated", '[{"Word":"a"', "document"),
+    ("two arrays", "[],[]", "document"),
+    ("root object", '{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"}', "document"),
+    ("root null", "null", "document"),
+    ("root number", "3", "document"),
+    ("string element", '["x"]', "document"),
+    ("null element", "[null]", "element"),
+    ("missing member", '[{"Word":"a","Sentences":"b","Meaning":"c"}]', "missing Pronunciation"),
+    ("other case", '[{"word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"}]', "missing Word"),
+    ("null value", '[{"Word":null,"Sentences":"b","Meaning":"c","Pronunciation":"d"}]', "1"),
+    ("extra member", '[{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d","x":1}]', "1"),
+    ("single quotes", "[{'Word':'a','Sentences':'b','Meaning':'c','Pronunciation':'d'}]", "document"),
+    ("trailing comma", '[{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"},]', "document"),
+    ("byte-order mark", "﻿[]", "document"),
+]
+
+
+def strict_parse_cases(spark, sf_dir):
+    rows = parsed(spark.createDataFrame([(n, r) for n, r, _ in CASES], "name string, response string"), carry=("name",))
+    found = rows.groupBy("name").agg(F.max("problem").alias("problem"), F.count(F.lit(1)).cast("string").alias("n"))
+    names = spark.createDataFrame([(n,) for n, _, _ in CASES], "name string")
+    return names.join(found, "name", "left").select("name", F.coalesce("problem", "n", F.lit("0")).alias("outcome"))
+
+
+def replay_provider(spark, sf_dir):
+    composed = compose(_table(spark, sf_dir, "benchmark"), PROMPT, "text")
+    recorded = composed.where("item_id % 3 <> 0").select("prompt_sha", F.concat(F.lit("[] for "), F.md5("model_input")).alias("response"))
+    return replay(composed, recorded).select("item_id", "response")
+
+
+QUERIES = {f.__name__: f for f in (
+    prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, sentence_membership, state_key_plain_text, front_render, back_render,
+    deck_accumulate, log_entries, required_keys, contract_sentence_count, contract_bold, session_epochs, strict_parse_cases, replay_provider,
+)}
+
+_PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
+
+ORACLE_SQL = {
+    "prompt_compose": f"SELECT item_id, {_PROMPT_SQL} || text AS model_input, sha256({_PROMPT_SQL} || text) AS prompt_sha FROM benchmark",
+    "json_explode_events": """SELECT event_id, (unnest(generate_series(0, len(items) - 1)))::INT AS pos, unnest(items).k AS k
+FROM (SELECT event_id, from_json('[' || props || ']', '[{"k":"BIGINT"}]') AS items FROM events)""",
+    "notes_from_response": _DEFINITIONS_SQL + 'SELECT p_partkey, 0 AS pos, "Word", "Sentences", "Meaning", "Pronunciation" FROM raw',
+    "sentence_split": r"""SELECT doc_id, (unnest(generate_series(0, len(items) - 1)))::INT AS pos, unnest(items) AS sentence
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '|'),
+  lambda x: regexp_replace(x, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')), lambda x: x <> '') AS items FROM documents)
+WHERE len(items) > 0""",
+    "sentence_choice": _DEFINITIONS_SQL + "SELECT p_partkey, chosen FROM picked",
+    "sentence_membership": _DEFINITIONS_SQL + """SELECT p_partkey, stored IS NULL OR stored = '' OR NOT list_contains(items, stored) AS redraw
+FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'stale' ELSE "Meaning" END AS stored FROM defs)""",
+    "state_key_plain_text": "SELECT page_id, 'vocab-sentence-' || regexp_replace(html, '<[^>]*>', '', 'g') AS key FROM pages",
+    "front_render": _DEFINITIONS_SQL + 'SELECT p_partkey, "Word", front_html FROM fronts',
+    "back_render": _DEFINITIONS_SQL + f"""SELECT p_partkey, '{TEMPLATE_NAME}' AS template_name,
+'<div style="text-align: center;">' || chr(10) || front_html || chr(10) || '<hr>' || chr(10)
+|| CASE WHEN "Pronunciation" <> '' THEN '<div class="notes"><i>' || "Pronunciation" || '</i></div>' || chr(10) ELSE '' END
+|| '<div class="meaning">' || "Meaning" || '</div>' || chr(10) || '</div>' AS back_html FROM fronts""",
+    "deck_accumulate": _DEFINITIONS_SQL + """SELECT 0 AS batch_order, p_partkey, 0 AS pos, "Word" FROM raw WHERE p_partkey % 2 = 0
+UNION ALL SELECT 1, p_partkey, 0, "Word" FROM raw""",
+    "log_entries": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::INT AS pos, text AS entry FROM conversations",
+    "required_keys": """SELECT p_partkey, CASE WHEN p_size % 35 = 0 THEN 'missing Meaning,Pronunciation' WHEN p_size % 5 = 0 THEN 'missing Meaning'
+WHEN p_size % 7 = 0 THEN 'missing Pronunciation' ELSE 'ok' END AS problem FROM part""",
+    "contract_sentence_count": _DEFINITIONS_SQL + "SELECT p_partkey, len(items) = 4 AS four_sentences FROM defs",
+    "contract_bold": _DEFINITIONS_SQL + "SELECT p_partkey, len(list_filter(items, lambda x: NOT contains(x, '<strong>'))) = 0 AS all_bold FROM defs",
+    "session_epochs": """SELECT event_id, user_id AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
+coalesce(sum(CASE event_type WHEN 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS epoch
+FROM events WHERE event_type IN ('view', 'click')""",
+    "replay_provider": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN '[] for ' || md5({_PROMPT_SQL} || text) END AS response FROM benchmark",
+}
