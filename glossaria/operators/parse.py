@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossaria.schema import FIELDS, WORD_DEFINITION
 
@@ -19,7 +20,7 @@ def _wrapped(response: Column, element: str) -> Column:
     return F.from_json(F.concat(F.lit("["), response, F.lit("]")), f"array<array<{element}>>", _STRICT)
 
 
-@F.pandas_udf("array<map<string,string>>")
+@F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
 def _by_python(responses: pd.Series) -> pd.Series:
     """json.loads; null where it or the array of objects fails. Values that are no strings are written as JSON."""
 
