@@ -62,7 +62,8 @@ def id_chunks(docs: DataFrame, n: int) -> DataFrame:
     splits = sorted({-math.inf, *(x + 0.5 for x in bounds), math.inf})
     numbered = docs.withColumn("chunk_key", F.col("doc_id").cast("double"))
     cut = Bucketizer(splits=splits, inputCol="chunk_key", outputCol="chunk", handleInvalid="keep")
-    return cut.transform(numbered).withColumn("chunk", F.col("chunk").cast("int")).drop("chunk_key")
+    last = F.lit(len(splits))
+    return cut.transform(numbered).withColumn("chunk", F.coalesce(F.col("chunk").cast("int"), last)).drop("chunk_key")
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
