@@ -10,7 +10,7 @@ model gives to an empty URL. Every row is returned, repeated rows too. Extra col
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +88,15 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 def train(spark: SparkSession, dimensions: int = DIMENSIONS) -> tuple[list[float], float]:
     """Weights of the buckets and the intercept, from the labelled table."""
-    found = labelled(spark).select("label", buckets(host(F.col("url")), path(F.col("url")), dimensions).alias("b")).coalesce(1)
-    size = F.size("b")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("b", lambda x: x == i)) / size)
-    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(found.select("label", array_to_vector(dense).alias("features")).cache())
-    return [round(float(w), 6) for w in model.coefficients], float(model.intercept)
+    found = labelled(spark).select("label", buckets(host(F.col("url")), path(F.col("url")), dimensions).cast("array<string>").alias("b")).coalesce(1).cache()
+    counter = CountVectorizer(inputCol="b", outputCol="counts", vocabSize=dimensions).fit(found)
+    shares = Normalizer(inputCol="counts", outputCol="features", p=1.0).transform(counter.transform(found))
+    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(shares)
+    found.unpersist()
+    weights = [0.0] * dimensions
+    for bucket, weight in zip(counter.vocabulary, model.coefficients, strict=True):
+        weights[int(bucket)] = round(float(weight), 6)
+    return weights, float(model.intercept)
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
