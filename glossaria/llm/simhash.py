@@ -61,7 +61,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, the highest bit first. Adds bytes in words of eight counters."""
+    """How many of the hashes have each bit, the highest bit first. Adds bytes in words of eight counters, where that pays."""
+    if len(hashes) <= 1500:
+        return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     out, ones = np.zeros(64, np.int64), np.uint64(0x0101010101010101)
     for at in range(0, len(hashes), 255 * 64):
         part = hashes[at : at + 255 * 64]
