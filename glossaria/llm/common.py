@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one grouped task holds at a time; twice this many are usual at most.
 CHUNK_BYTES = 8 << 20
+#: Ranges of ids whose bounds the driver holds, and chunks that each is cut into at most; their square bounds a broadcast.
+RANGES = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,8 +52,23 @@ def id_chunks(docs: DataFrame, n: int) -> DataFrame:
     """Adds ``chunk``: about ``n`` ranges of doc_id with about as many rows each, numbered in ascending order.
 
     Rows of one id share a chunk. Null ids form a chunk of their own, after all others.
-    The bounds are quantiles of all ids, so gaps and clusters of ids don't unbalance the chunks.
+    The bounds are quantiles of all ids, so gaps and clusters of ids don't unbalance the chunks. Beyond RANGES chunks
+    the quantiles are taken inside each of at most RANGES ranges and broadcast: RANGES * RANGES of eight bytes at most.
     """
+    fine = min(RANGES, math.ceil(n / RANGES))
+    ranged = _id_ranges(docs, math.ceil(n / fine) if n < RANGES * RANGES else RANGES)
+    if fine == 1:
+        return ranged
+    probabilities = [i / fine for i in range(1, fine)]
+    cuts = ranged.groupBy("chunk").agg(F.percentile_approx("doc_id", probabilities, max(10_000, 20 * fine)).alias("cuts"))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range((fine - 1).bit_length()))))
+    # How many cuts lie below the id, by halving; beyond the last one there is none.
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col("doc_id"), step).otherwise(0))
+    return ranged.join(F.broadcast(cuts), "chunk").withColumn("chunk", F.col("chunk") * fine + below).select(*docs.columns, "chunk")
+
+
+def _id_ranges(docs: DataFrame, n: int) -> DataFrame:
+    """``chunk`` by bounds that the driver holds."""
     bounds: list[float] = []
     if n > 1:
         probabilities = [i / n for i in range(1, n)]
