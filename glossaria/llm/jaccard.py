@@ -33,22 +33,27 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> list
     return out
 
 
-def bucket_pairs(buckets: DataFrame, by: list[str]) -> DataFrame:
+def bucket_pairs(buckets: DataFrame, by: list[str], order: tuple[str, ...] = ("rep",)) -> DataFrame:
     """Candidates (a, b, least), a > b, of rows (*by, rep): every member of a bucket with its least (``least``: true)
-    and with the preceding one. They grow with the members and not with the square of a bucket.
+    and with the one before it in ``order``. They grow with the members and not with the square of a bucket.
     """
-    inside = Window.partitionBy(*by).orderBy("rep")
-    met = buckets.select("rep", F.lag("rep").over(inside).alias("last"), F.first("rep").over(inside).alias("first"))
-    both = F.array(F.struct(F.col("first").alias("b"), F.lit(True).alias("least")), F.struct(F.col("last").alias("b"), F.lit(False).alias("least")))
-    rows = met.select(F.col("rep").alias("a"), F.explode(both).alias("p")).select("a", "p.b", "p.least").where("a > b")
-    return rows.groupBy("a", "b").agg(F.max("least").alias("least"))
+    whole = Window.partitionBy(*by)
+    met = buckets.select("rep", F.lag("rep").over(whole.orderBy(*order)).alias("last"), F.min("rep").over(whole).alias("first"))
+    both = F.array(F.struct(F.col("first").alias("other"), F.lit(True).alias("least")), F.struct(F.col("last").alias("other"), F.lit(False).alias("least")))
+    rows = met.select("rep", F.explode(both).alias("p")).where("rep <> p.other")
+    ordered = rows.select(F.greatest("rep", "p.other").alias("a"), F.least("rep", "p.other").alias("b"), "p.least")
+    return ordered.groupBy("a", "b").agg(F.max("least").alias("least"))
 
 
 def verified(pairs: DataFrame, chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) of ``bucket_pairs``: first with the least of each bucket, then with the preceding for whom no link was found."""
+    """Links (a, b) of ``bucket_pairs``: first with the least of each bucket, then neighbours, unless both have a link."""
     pairs = written(pairs, "pairs")
     first = written(jaccard_links(pairs.where("least").select("a", "b"), chosen, similar), "links-to-least")
-    rest = pairs.where("not least").join(first.select("a").distinct(), "a", "left_anti")
+    linked = first.select(F.explode(F.array("a", "b")).alias("linked")).distinct()
+    marked = pairs.where("not least")
+    for end in ("a", "b"):
+        marked = marked.join(linked.withColumnRenamed("linked", f"has_{end}"), F.col(end) == F.col(f"has_{end}"), "left")
+    rest = marked.where("has_a is null or has_b is null")
     return first.unionByName(jaccard_links(rest.select("a", "b"), chosen, similar))
 
 

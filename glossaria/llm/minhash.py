@@ -100,9 +100,9 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     """doc_id and class_id, the least id that chains of links lead to. Null ids are left out.
 
     Texts are compared as classes of equal texts. Signatures are cut into bands of four components; classes that share
-    a band meet in Spark. In each such bucket a class is compared with the least and, if that gives it no link, with
-    the preceding one, so that the comparisons grow with the classes and not with the square of a bucket. A comparison is a link where the
-    Jaccard index of the shingle sets is at least ``similar``.
+    a band meet in Spark. In each such bucket a class is compared with the least and, unless both have a link by then,
+    with the preceding one, so that the comparisons grow with the classes and not with the square of a bucket. A
+    comparison is a link where the Jaccard index of the shingle sets is at least ``similar``.
     """
     source = texts(docs, id_col, text_col).where("doc_id is not null")
 

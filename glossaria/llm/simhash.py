@@ -35,6 +35,8 @@ from .jaccard import SIMILAR, bucket_pairs, verified
 SHINGLE, BITS, TREES = 3, 2, 3
 #: Near texts: passages begin at one word in ANCHOR, and a text is searched by PASSAGES of them.
 ANCHOR, PASSAGES = 16, 12
+#: Texts of up to FEW_WORDS words have few of those: runs of RUN words, begun at one word in RUN_ANCHOR, join them.
+FEW_WORDS, RUN, RUN_ANCHOR = 160, 8, 3
 #: Fingerprints that a shard aims at, and the most that one task compares.
 SHARD, LEAF = 500, 8192
 
@@ -249,12 +251,18 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
 
 def passages(text: bytes, shingle: int = SHINGLE) -> list[int]:
     """Fingerprints of up to PASSAGES passages. Passages begin at words whose own hash says so, so that an edit moves no
-    others, and those of the least hashes are chosen, so that near texts choose the same."""
+    others, and those of the least hashes are chosen, so that near texts choose the same. A short text, where one edit
+    can meet every passage, has up to PASSAGES overlapping runs of words besides."""
     words = text.translate(_LOWER).split()
-    begin = [0, *(i for i in range(1, len(words)) if xxhash.xxh64_intdigest(words[i], 7) % ANCHOR == 0), len(words)]
+    marks = [xxhash.xxh64_intdigest(w, 7) for w in words]
+    begin = [0, *(i for i in range(1, len(words)) if marks[i] % ANCHOR == 0), len(words)]
     parts = [b" ".join(words[a:b]) for a, b in zip(begin, begin[1:], strict=False) if b - a >= 2 * shingle]
-    chosen = sorted(set(parts), key=lambda p: xxhash.xxh64_intdigest(p, 8))[:PASSAGES]
-    return [fingerprint(p, shingle) for p in chosen]
+    runs = [b" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1) if marks[i] % RUN_ANCHOR == 0] if len(words) <= FEW_WORDS else []
+    return sorted({fingerprint(p, shingle) for p in _least(parts) + _least(runs)})
+
+
+def _least(parts: list[bytes]) -> list[bytes]:
+    return sorted(set(parts), key=lambda p: xxhash.xxh64_intdigest(p, 8))[:PASSAGES]
 
 
 def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,6 +289,8 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id"
     count = shared.count()
     roots = components(links(shared.select("fp"), count))
     bucket = parts.join(roots, parts["fp"] == roots["node"], "left").select("rep", F.coalesce("root", "fp").alias("root")).distinct()
-    found = verified(bucket_pairs(bucket, ["root"]), chosen.withColumnRenamed("doc_id", "rep"), similar)
+    # Near texts share most buckets, so likely the least: ordered by it, they are neighbours where thousands share a passage.
+    likeness = bucket.groupBy("rep").agg(F.min(F.xxhash64("root")).alias("likeness"))
+    found = verified(bucket_pairs(bucket.join(likeness, "rep"), ["root"], ("likeness", "rep")), chosen.withColumnRenamed("doc_id", "rep"), similar)
     merged = written(components(found).withColumnRenamed("node", "component_id"), "merged")
     return whole.join(merged, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))

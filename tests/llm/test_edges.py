@@ -120,6 +120,42 @@ def test_simhash_links_equal_brute_force(spark, bits, trees, leaf):
     assert len(set(zip(ours, label.tolist()))) == len(set(ours)) == len(set(label.tolist()))
 
 
+def test_passages_of_short_near_texts_meet():
+    rng, met = np.random.default_rng(9), 0
+    for _ in range(200):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 60)]
+        other = [*words[:30], "edit", *words[31:]]  # Jaccard index 51 / 61
+        a, b = (simhash.passages(" ".join(w).encode()) for w in (words, other))
+        met += any((x ^ y).bit_count() <= 2 for x in a for y in b)
+    assert met == 200
+
+
+def test_near_texts_behind_a_passage_that_all_share(spark):
+    rng = np.random.default_rng(4)
+    common = [f"c{x}" for x in range(60)]
+    rows = []
+    for i in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 50_000, 90)]
+        rows += [(i, " ".join(common + own)), (1000 - i, " ".join([*common, *own[:45], "edit", *own[46:]]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(frame(spark, rows)).collect()}
+    assert got == {i: min(i, 1000 - i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("ranges", [2048, 5, 3])
+def test_id_chunks_are_ordered_ranges(spark, monkeypatch, ranges):
+    from glossaria.llm import common
+
+    monkeypatch.setattr(common, "RANGES", ranges)
+    ids = [None, None, *range(500), *range(10**15, 10**15 + 500), 7, 7]
+    rows = common.id_chunks(frame(spark, [(i, "") for i in ids]).select("doc_id", "text"), 20).collect()
+    of = defaultdict(list)
+    for r in rows:
+        of[r["chunk"]].append(r["doc_id"])
+    assert len(rows) == len(ids) and of.pop(max(of)) == [None, None]
+    order = [of[c] for c in sorted(of)]
+    assert all(max(a) < min(b) for a, b in zip(order, order[1:])) and max(map(len, order)) <= 2 * len(ids) / min(20, ranges**2)
+
+
 def test_minhash(spark, docs, none, monkeypatch):
     for chunk in (8 << 20, 300):
         monkeypatch.setattr(minhash, "CHUNK_BYTES", chunk)
