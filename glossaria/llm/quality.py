@@ -193,6 +193,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(statistics_of(batch["text"])) >= threshold))
+            yield batch.filter(pa.array(model.score(statistics_of(batch.column(text))) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    text = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

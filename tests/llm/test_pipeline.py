@@ -46,3 +46,15 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    """Every name that a stage uses within itself, as a column of the documents, and one with a dot."""
+    names = "gone_id text_sha256 component_id keep_id kept stays n_words n_removed kept_sha256 chunk block data other0 guest fp rep sha score label y stats a.b".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *(F.col("doc_id").cast("string").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs.drop(*names), SF)
+        out = written(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"not (`{n}` <=> cast(doc_id as string))" for n in names)).count() == 0
+        assert sorted(map(tuple, out.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
