@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints, of the whole text or of passages, the one with the smallest id stays."""
+    """Of documents linked by near fingerprints of the whole text or by the Jaccard index, the one with the smallest id stays."""
     found = near_texts(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     gone = found.where("not stays").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -1,17 +1,25 @@
-"""Shingle sets of word sequences, candidates from shared buckets, and links verified by the Jaccard index."""
+"""Shingle sets of word sequences, candidates from a complete prefix filter, and links verified by the Jaccard index."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import CHUNK_BYTES, join_classes, text_bytes, written
+from .components import components
 from .fusefilter import mix
 from .substring_dedup import _windowed, chunk_words
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Text bytes for each range of shingle hashes that one task counts, and the most ranges.
+RANGE_BYTES, RANGES = 12 << 20, 4096
+#: Rounds in which every member of a bucket meets one leader, and members that the last search holds against each other at a time.
+ROUNDS, BLOCK = 2, 1000
 _U = np.uint64
 _BASE = 0xA0761D6478BD642F
 
@@ -33,44 +41,164 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> list
     return out
 
 
-def bucket_pairs(buckets: DataFrame, by: list[str], order: tuple[str, ...] = ("rep",)) -> DataFrame:
-    """Candidates (a, b, least), a > b, of rows (*by, rep): every member of a bucket with its least (``least``: true)
-    and with the one before it in ``order``. They grow with the members and not with the square of a bucket.
+def _slices(batch: pa.RecordBatch):
+    """Parts of about CHUNK_BYTES of text and at most 65,536 rows."""
+    part = np.cumsum(pc.binary_length(batch["text"].cast(pa.large_binary())).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
+    cuts = np.unique(np.concatenate([[0, batch.num_rows], np.flatnonzero(np.diff(part)) + 1, np.arange(0, batch.num_rows, 1 << 16)]))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield batch.slice(a, b - a)
+
+
+def prefix_keys(chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The rarest shingles of each text of ``chosen`` (rep, text; reps are distinct): rows (key, rep, n, pos, own).
+
+    A text of n distinct shingles names the first n - ceil(similar * n) + 1 in an order that all texts share, rare ones
+    first. Two texts whose index is ``similar`` or more have one of these in common, whatever the order is. Shingles
+    that no other text has are left out. ``pos``: the shingle's place in the text's order; ``own``: the share of
+    shingles that only this text has.
+
+    The order is by a class of the frequency, then by hash. Frequencies are counted by cells of the hash, in ranges of
+    the hash that each fit a task; a shared cell is a shared key, so a collision can only add a candidate.
     """
-    whole = Window.partitionBy(*by)
-    met = buckets.select("rep", F.lag("rep").over(whole.orderBy(*order)).alias("last"), F.min("rep").over(whole).alias("first"))
-    both = F.array(F.struct(F.col("first").alias("other"), F.lit(True).alias("least")), F.struct(F.col("last").alias("other"), F.lit(False).alias("least")))
-    rows = met.select("rep", F.explode(both).alias("p")).where("rep <> p.other")
-    ordered = rows.select(F.greatest("rep", "p.other").alias("a"), F.least("rep", "p.other").alias("b"), "p.least")
-    return ordered.groupBy("a", "b").agg(F.max("least").alias("least"))
-
-
-def verified(pairs: DataFrame, chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) of ``bucket_pairs``: first with the least of each bucket, then neighbours, unless both have a link."""
-    pairs = written(pairs, "pairs")
-    first = written(jaccard_links(pairs.where("least").select("a", "b"), chosen, similar), "links-to-least")
-    linked = first.select(F.explode(F.array("a", "b")).alias("linked")).distinct()
-    marked = pairs.where("not least")
-    for end in ("a", "b"):
-        marked = marked.join(linked.withColumnRenamed("linked", f"has_{end}"), F.col(end) == F.col(f"has_{end}"), "left")
-    rest = marked.where("has_a is null or has_b is null")
-    return first.unionByName(jaccard_links(rest.select("a", "b"), chosen, similar))
-
-
-def jaccard_links(pairs: DataFrame, chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The ``pairs`` whose texts' shingle sets have a Jaccard index of at least ``similar``. ``chosen``: rep, text.
-
-    Only texts that some pair names are cut into shingles.
+    ranges = min(RANGES, max(1, math.ceil(text_bytes(chosen) / RANGE_BYTES)))
+
+    def deal(batches):
+        for whole in batches:
+            for batch in _slices(whole):
+                found = [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": batch["text"]})))]
+                flat = np.concatenate(found)
+                owner = np.repeat(np.arange(len(found), dtype="<u2"), [len(x) for x in found])
+                at = ((flat >> _U(32)) * _U(ranges) >> _U(32)).astype(np.uint16)
+                order = np.argsort(at, kind="stable")
+                ends = np.cumsum(np.bincount(at, minlength=ranges))
+                cells, owner, lo = flat[order].astype("<u4"), owner[order], 0
+                reps = batch["rep"].to_pylist()
+                columns = [[reps[0]] * ranges, list(range(ranges)), [reps, *[None] * (ranges - 1)], [], []]
+                for end in ends.tolist():
+                    columns[3].append(cells[lo:end].tobytes())
+                    columns[4].append(owner[lo:end].tobytes())
+                    lo = end
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "part", "reps", "cells", "owners"])
+
+    def count(rows):
+        cells = [np.frombuffer(x, "<u4") for x in rows["cells"].to_pylist()]
+        _, where, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+        kind = np.minimum(255, 8 * np.log2(n)).astype(np.uint8)[where]
+        ends = np.cumsum([len(x) for x in cells])
+        return rows.append_column("kinds", pa.array([kind[e - len(x) : e].tobytes() for e, x in zip(ends.tolist(), cells, strict=True)], pa.binary()))
+
+    def choose(rows):
+        reps = np.array(next(x for x in rows["reps"].to_pylist() if x is not None), np.int64)
+        cells, owner, kind = (np.concatenate([np.frombuffer(x, t) for x in rows[c].to_pylist()]) for c, t in (("cells", "<u4"), ("owners", "<u2"), ("kinds", "u1")))
+        part = np.repeat(rows["part"].to_numpy(), [len(x) // 4 for x in rows["cells"].to_pylist()])
+        low = mix(part.astype(_U) << _U(32) | cells.astype(_U), 12) >> _U(24)
+        ordered = np.sort(owner.astype(_U) << _U(48) | kind.astype(_U) << _U(40) | low)
+        owner = (ordered >> _U(48)).astype(np.int64)
+        n = np.bincount(owner, minlength=len(reps))
+        prefix = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
+        pos = np.arange(len(ordered)) - (np.cumsum(n) - n)[owner]
+        shared = (ordered >> _U(40) & _U(255)) > 0
+        own = 1 - np.bincount(owner[shared], minlength=len(reps)) / np.maximum(n, 1)
+        keep = shared & (pos < prefix[owner]) & np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+        owner, keys = owner[keep], ordered[keep] & _U((1 << 48) - 1)
+        return pa.table([pa.array(keys.view(np.int64)), pa.array(reps[owner]), pa.array(n[owner]), pa.array(pos[keep]), pa.array(own[owner])], names=["key", "rep", "n", "pos", "own"])
+
+    dealt = chosen.select("rep", "text").mapInArrow(deal, "piece long, part int, reps array<long>, cells binary, owners binary")
+    counted = dealt.groupBy("part").applyInArrow(count, "piece long, part int, reps array<long>, cells binary, owners binary, kinds binary")
+    return counted.groupBy("piece").applyInArrow(choose, "key long, rep long, n long, pos long, own double")
+
+
+def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect, with the links ``known``, all texts that share a key and whose index is ``similar`` or
+    more, through chains of such texts too. ``keys``: key, rep, n, pos and own as by ``prefix_keys`` (0 where the key is
+    no prefix). ``chosen``: rep, text.
+
+    Texts that chains of links connect already are not compared. In each of ROUNDS rounds all members of a bucket meet
+    one leader, first the one of the fewest shingles of its own: copies link to their original. Then, in buckets whose
+    members are not yet all connected, every member outside the bucket's largest group meets every other one of another
+    group. So nothing is left out, and the pairs grow with a bucket's square only where its texts are not alike.
     """
-    pairs = written(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    keys = written(keys, "keys")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    open_ = written(join_classes(keys, sizes, ["key"], "m", keys.count()), "buckets")
+    named = open_.select("rep").distinct()
+    sets = written(_shingle_sets(chosen.join(named, "rep", "left_semi")), "shingle-sets")
+    links = written(known if known is not None else named.sparkSession.createDataFrame([], "a long, b long"), "known-links")
+    done = None
+    for number in range(ROUNDS + 1):
+        roots = written(components(links), "roots")
+        open_ = written(_unsettled(open_, roots), f"open-{number}")
+        pairs = (_led(open_, number, similar) if number < ROUNDS else _across(open_, similar)).distinct()
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(pairs, sets, similar))
+    return links
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with their present ``root``, of buckets in which there are several."""
+    columns = [c for c in members.columns if c != "root"]
+    labelled = members.select(*columns).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    return join_classes(written(labelled, "labelled"), mixed, ["key"], "size", members.count()).select(*columns, "root")
 
-    def shingle_sets(batches):
-        for batch in batches:
-            found = [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": batch["text"]})))]
-            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    sets = written(chosen.join(named, "rep", "left_semi").mapInArrow(shingle_sets, "rep long, shingles array<long>"), "shingle-sets")
+def _met(rows: DataFrame, similar: float) -> DataFrame:
+    """Pairs a > b of rows (rep, n, pos, root) and (rep2, n2, pos2, root2) that can still be links: what follows the
+    shared shingle in both orders must be enough for the index, if it is the first that they share."""
+    enough = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= similar / (1 + similar) * (F.col("n") + F.col("n2")) - 1e-6
+    return rows.where((F.col("root") != F.col("root2")) & enough).select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
+
+
+def _led(members: DataFrame, number: int, similar: float) -> DataFrame:
+    """Every member with its bucket's leader of this round."""
+    rank = F.struct("own", F.xxhash64("rep").alias("by")) if number == 0 else F.struct(F.xxhash64("rep", F.lit(number)).alias("by"))
+    leader = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "pos", "root"), rank).alias("x"), F.count(F.lit(1)).alias("size"))
+    leader = leader.select("key", "size", *(F.col(f"x.{c}").alias(f"{c}2") for c in ("rep", "n", "pos", "root")))
+    return _met(join_classes(members, leader, ["key"], "size", members.count()), similar)
+
+
+def _across(members: DataFrame, similar: float) -> DataFrame:
+    """Every member outside its bucket's largest group with every member of another group, in blocks of about BLOCK."""
+    groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root"))
+    main = groups.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    full = written(join_classes(members, main, ["key"], "size", members.count()).withColumn("blocks", blocks), "across")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = full.select("key", block.alias("block"), *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "root")))
+    others = full.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "pos", "root")
+    return _met(others.join(every, ["key", "block"]), similar)
+
+
+def _shingle_sets(chosen: DataFrame) -> DataFrame:
+    """rep and the hashes of its distinct shingles."""
+
+    def cut(batches):
+        for whole in batches:
+            for batch in _slices(whole):
+                found = [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": batch["text"]})))]
+                yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "shingles"])
+
+    return chosen.select("rep", "text").mapInArrow(cut, "rep long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The ``pairs`` whose sets of shingles have a Jaccard index of at least ``similar``."""
     left, right = (sets.select(F.col("rep").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
     common, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     return pairs.join(left, "a").join(right, "b").where((common >= similar * (sizes - common)) | (sizes == 0)).select("a", "b")
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """``rep`` and text, once for each text of ``rows`` (node, text)."""
+    return rows.select(F.col("node").alias("rep"), "text").dropDuplicates(["rep"])
+
+
+def least_ids(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """doc_id and ``name``, the least id of all documents connected with it, for rows (doc_id, node) and roots (node, root)."""
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    rooted = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("least").alias(name), F.count(F.lit(1)).alias("members"))
+    settled = written(join_classes(rooted, names, ["root"], "members", rooted.count()).select("node", "size", name), "settled")
+    return join_classes(rows, settled, ["node"], "size", rows.count()).select("doc_id", name)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, id_chunks, text_bytes, texts, written
 from .components import components
-from .jaccard import SIMILAR, bucket_pairs, shingles, verified
+from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, shingles
 from .substring_dedup import chunk_words, in_order
 
 PERMUTATIONS = 128
@@ -99,24 +99,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id, the least id that chains of links lead to. Null ids are left out.
 
-    Texts are compared as classes of equal texts. Signatures are cut into bands of four components; classes that share
-    a band meet in Spark. In each such bucket a class is compared with the least and, unless both have a link by then,
-    with the preceding one, so that the comparisons grow with the classes and not with the square of a bucket. A
-    comparison is a link where the Jaccard index of the shingle sets is at least ``similar``.
+    Texts are compared once for each distinct text, known by a 64-bit hash. Signatures are cut into bands of four
+    components; texts that share a band meet in Spark, all with all unless links connect them already. A comparison is
+    a link where the Jaccard index of the shingle sets is at least ``similar``.
     """
-    source = texts(docs, id_col, text_col).where("doc_id is not null")
+    rows = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("node", F.xxhash64("text"))
+    chosen = written(distinct_texts(rows), "distinct-texts")
 
     def bands(batches):
         for batch in batches:
             found = signatures(batch["text"]).view("<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], pa.array(list(found), pa.list_(pa.int64()))], ["doc_id", "sha", "bands"])
-
-    keyed = source.withColumn("sha", F.sha2("text", 256))
-    banded = written(keyed.mapInArrow(bands, "doc_id long, sha string, bands array<long>"), "bands")
-    classes = written(banded.groupBy("sha").agg(F.min("doc_id").alias("rep")), "text-classes")
-    bucket = banded.join(classes, "sha").where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"])
-    pairs = bucket_pairs(bucket.select("rep", F.posexplode("bands").alias("band", "key")), ["band", "key"])
-    chosen = keyed.join(classes, "sha").where("doc_id = rep").select("rep", "text").dropDuplicates(["rep"])
-    roots = components(verified(pairs, chosen, similar))
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("sha", F.coalesce("root", "rep").alias("class_id"))
-    return banded.select("doc_id", "sha").join(named, "sha").select("doc_id", "class_id")
+            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(list(found), pa.list_(pa.int64()))], ["rep", "bands"])
+
+    banded = chosen.mapInArrow(bands, "rep long, bands array<long>").select("rep", F.posexplode("bands").alias("band", "value"))
+    none = F.lit(0).cast("long")
+    keys = banded.select(F.xxhash64("band", "value").alias("key"), "rep", none.alias("n"), none.alias("pos"), F.lit(0.0).alias("own"))
+    roots = components(bucket_links(keys, chosen, None, similar))
+    return least_ids(written(rows.select("doc_id", "node"), "nodes"), roots, "class_id")

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import join_classes, texts, written
 from .components import components
-from .jaccard import SIMILAR, bucket_pairs, verified
+from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, prefix_keys
 
 SHINGLE, BITS, TREES = 3, 2, 3
-#: Near texts: passages begin at one word in ANCHOR, and a text is searched by PASSAGES of them.
+#: Passages begin at one word in ANCHOR, and a text is described by PASSAGES of them.
 ANCHOR, PASSAGES = 16, 12
 #: Texts of up to FEW_WORDS words have few of those: runs of RUN words, begun at one word in RUN_ANCHOR, join them.
 FEW_WORDS, RUN, RUN_ANCHOR = 160, 8, 3
@@ -266,31 +266,14 @@ def _least(parts: list[bytes]) -> list[bytes]:
 
 
 def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id over two kinds of links: whole fingerprints within BITS, as by ``simhash``, and texts of
-    which passages have fingerprints within BITS and whose sets of five-word shingles are at least ``similar``.
+    """doc_id and component_id over two kinds of links: whole fingerprints within BITS, as by ``simhash``, and texts
+    whose sets of five-word shingles have a Jaccard index of at least ``similar``.
 
-    A whole fingerprint within a few bits needs texts that are nearly the same; passages find texts with an edit in
-    every few lines, and the Jaccard index decides. Null ids are left out.
+    Each distinct text, known by a 64-bit hash, is searched, by a prefix filter that misses no such pair. Null ids are
+    left out.
     """
-    source = texts(docs, id_col, text_col).where("doc_id is not null")
-    whole = written(simhash(source), "whole")
-    # One document of each component goes on: the one whose id names it.
-    chosen = source.join(whole.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [passages(x.as_py()) for x in batch["text"].cast(pa.large_binary())]
-            flat = np.array([fp for one in found for fp in one], np.uint64).view(np.int64)
-            ids = batch["doc_id"].take(pa.array(np.repeat(np.arange(len(found)), [len(one) for one in found])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(flat)], ["rep", "fp"])
-
-    parts = written(chosen.mapInArrow(cut, "rep long, fp long").distinct(), "passages")
-    shared = parts.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    count = shared.count()
-    roots = components(links(shared.select("fp"), count))
-    bucket = parts.join(roots, parts["fp"] == roots["node"], "left").select("rep", F.coalesce("root", "fp").alias("root")).distinct()
-    # Near texts share most buckets, so likely the least: ordered by it, they are neighbours where thousands share a passage.
-    likeness = bucket.groupBy("rep").agg(F.min(F.xxhash64("root")).alias("likeness"))
-    found = verified(bucket_pairs(bucket.join(likeness, "rep"), ["root"], ("likeness", "rep")), chosen.withColumnRenamed("doc_id", "rep"), similar)
-    merged = written(components(found).withColumnRenamed("node", "component_id"), "merged")
-    return whole.join(merged, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    rows = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("node", F.xxhash64("text"))
+    chosen = written(distinct_texts(rows), "distinct-texts")
+    whole = written(simhash(chosen, "rep").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"), "whole-links")
+    roots = components(bucket_links(prefix_keys(chosen, similar), chosen, whole, similar))
+    return least_ids(written(rows.select("doc_id", "node"), "nodes"), roots, "component_id")
