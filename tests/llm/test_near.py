@@ -50,3 +50,31 @@ def test_copies_of_an_original_with_a_middle_id_are_one_group(spark):
     want = brute(texts, also=fp_links(texts))
     assert len(set(want)) == 6
     assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == want
+
+
+def test_texts_without_usable_passages_meet(spark):
+    """Anchor words at every fifth place leave no passage; lines that repeat leave few."""
+    import xxhash
+
+    rng, rows = np.random.default_rng(2), []
+    anchors = [w for w in (f"a{i}" for i in range(20_000)) if xxhash.xxh64_intdigest(w.encode(), 7) % 16 == 0]
+    for _ in range(12):
+        base = [str(rng.choice(anchors)) if i % 5 == 0 else f"w{rng.integers(0, 50_000)}" for i in range(220)]
+        rows += [" ".join(base), " ".join(edited(rng, base, 4))]
+    for _ in range(12):
+        line = [f"w{x}" for x in rng.integers(0, 50_000, 80)]
+        rows += [" ".join(line * 5), " ".join([*line[:40], "edit", *line[41:]] + line[:60] * 2)]
+    want = brute(rows, also=fp_links(rows))
+    assert len(set(want)) < len(rows) - 12
+    assert got(simhash.near_texts(frame(spark, list(enumerate(rows)))), "component_id") == want
+
+
+def test_near_texts_equal_brute_force_at_any_length(spark):
+    rng, rows = np.random.default_rng(3), []
+    common = [f"c{x}" for x in range(40)]
+    for n in (1, 3, 4, 5, 6, 7, 9, 12, 20, 33, 60, 120, 170, 400, 900):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+            rows += [" ".join(base), " ".join(edited(rng, base, 1 + n // 60)), " ".join(common + edited(rng, base, n // 40)), " ".join([*common, *base])]
+    rng.shuffle(rows)
+    assert got(simhash.near_texts(frame(spark, list(enumerate(rows)))), "component_id") == brute(rows, also=fp_links(rows))
