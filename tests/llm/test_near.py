@@ -78,3 +78,13 @@ def test_near_texts_equal_brute_force_at_any_length(spark):
             rows += [" ".join(base), " ".join(edited(rng, base, 1 + n // 60)), " ".join(common + edited(rng, base, n // 40)), " ".join([*common, *base])]
     rng.shuffle(rows)
     assert got(simhash.near_texts(frame(spark, list(enumerate(rows)))), "component_id") == brute(rows, also=fp_links(rows))
+
+
+def test_links_of_a_text_that_does_not_name_its_simhash_component(spark):
+    """0 and 1 have near whole fingerprints, by their repeated line; 2 has the shingles of 1, but once each."""
+    rng = np.random.default_rng(4)
+    line, one, two = (" ".join(f"w{x}" for x in rng.integers(0, 50_000, 31)) for _ in range(3))
+    texts = [" ".join([line] * 200 + [one]), " ".join([line] * 200 + [two]), f"{line} {line} {two}"]
+    links = fp_links(texts)
+    assert links == [(1, 0)] and brute(texts) == [0, 1, 1]
+    assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == [0, 0, 0]
