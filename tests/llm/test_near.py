@@ -88,3 +88,16 @@ def test_links_of_a_text_that_does_not_name_its_simhash_component(spark):
     links = fp_links(texts)
     assert links == [(1, 0)] and brute(texts) == [0, 1, 1]
     assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == [0, 0, 0]
+
+
+def test_groups_that_only_their_originals_connect_are_joined(spark):
+    """Copies link to their own original first; the two originals, each linked by then, must still meet."""
+    rng = np.random.default_rng(5)
+    first = copies(rng, 25, 12)
+    base = first[12].split()
+    second = [" ".join(edited(rng, base, 6))]
+    second = [" ".join(edited(rng, second[0].split(), 6)) for _ in range(12)] + second + [" ".join(edited(rng, second[0].split(), 6)) for _ in range(12)]
+    texts = first + second
+    want = brute(texts, also=fp_links(texts))
+    assert len(set(want)) == 1
+    assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == want
