@@ -101,3 +101,12 @@ def test_groups_that_only_their_originals_connect_are_joined(spark):
     want = brute(texts, also=fp_links(texts))
     assert len(set(want)) == 1
     assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == want
+
+
+def test_near_duplicates_in_groups_of_copies_equal_brute_force(spark):
+    rng, texts = np.random.default_rng(6), []
+    for count in (40, 25, 60):
+        texts += copies(rng, count, count // 2)
+    want = brute(texts)
+    assert len(set(want)) == 3
+    assert got(minhash.near_duplicates(frame(spark, list(enumerate(texts)))), "class_id") == want
