@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from glossaria.llm import minhash, simhash
+from glossaria.llm import jaccard, minhash, simhash
 
 
 def frame(spark, rows):
@@ -110,3 +110,9 @@ def test_near_duplicates_in_groups_of_copies_equal_brute_force(spark):
     want = brute(texts)
     assert len(set(want)) == 3
     assert got(minhash.near_duplicates(frame(spark, list(enumerate(texts)))), "class_id") == want
+
+
+def test_no_bucket_goes_through_one_window_group(spark):
+    members = spark.createDataFrame([(1, i, 10, 0, 0.0, i) for i in range(50)], "key long, rep long, n long, pos long, own double, root long")
+    for pairs in (jaccard._led(members, 0, 0.8), jaccard._across(members, 0.8)):
+        assert "Window" not in pairs._jdf.queryExecution().toString()
