@@ -11,7 +11,7 @@ import json
 import numpy as np
 
 _NONE = np.int64(1) << 62
-_AT = 24  # bits of a position
+_AT = 40  # bits of a position; ranks need 17 more
 
 
 def byte_letters() -> dict[int, str]:

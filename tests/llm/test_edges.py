@@ -342,3 +342,12 @@ def test_url_model_on_unseen_urls(spark):
     urls = ["http://www.mega-casino.example.com/en/5", "https://bets-online.example.com/en/2", "http://adult-videos.example.com/x", "http://www.riverside-school.example.com/en/1", "https://history-museum.example.org/de/9", "http://coffee-garden.example.com/a.html"]
     got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert [got[i] for i in range(6)] == ["block"] * 3 + ["allow"] * 3
+
+
+def test_merges_of_more_symbols_than_24_bits_count():
+    from glossaria.llm.merges import Merges
+
+    words = [b"th"] * ((1 << 23) + 3)
+    ids, starts = Merges(BYTE).encode(words)
+    one, _ = Merges(BYTE).encode(words[:1])
+    assert len(one) == 1 and (ids == one[0]).all() and len(ids) == len(words) == starts[-1]
