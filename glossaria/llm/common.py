@@ -7,11 +7,13 @@ import tempfile
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one grouped task holds at a time; twice this many are usual at most.
 CHUNK_BYTES = 8 << 20
+#: Bytes that a row counts besides its text.
+ROW_BYTES = 16
 #: Ranges of ids whose bounds the driver holds, and chunks that each is cut into at most; their square bounds a broadcast.
 RANGES = 2048
 
@@ -48,23 +50,44 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def id_chunks(docs: DataFrame, n: int) -> DataFrame:
+def id_chunks(docs: DataFrame, n: int, chunk_bytes: int | None = None) -> DataFrame:
     """Adds ``chunk``: about ``n`` ranges of doc_id with about as many rows each, numbered in ascending order.
 
-    Rows of one id share a chunk. Null ids form a chunk of their own, after all others.
+    Rows of one id share a chunk. Null ids form a chunk of their own, after all others. With ``chunk_bytes``, chunks of
+    more than twice as much text are cut further, by text and, for repeated rows, by a row number.
     The bounds are quantiles of all ids, so gaps and clusters of ids don't unbalance the chunks. Beyond RANGES chunks
     the quantiles are taken inside each of at most RANGES ranges and broadcast: RANGES * RANGES of eight bytes at most.
     """
     fine = min(RANGES, math.ceil(n / RANGES))
     ranged = _id_ranges(docs, math.ceil(n / fine) if n < RANGES * RANGES else RANGES)
     if fine == 1:
-        return ranged
+        return _bounded(ranged, chunk_bytes)
     probabilities = [i / fine for i in range(1, fine)]
     cuts = ranged.groupBy("chunk").agg(F.percentile_approx("doc_id", probabilities, max(10_000, 20 * fine)).alias("cuts"))
     steps = F.array(*(F.lit(1 << i) for i in reversed(range((fine - 1).bit_length()))))
     # How many cuts lie below the id, by halving; beyond the last one there is none.
     below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col("doc_id"), step).otherwise(0))
-    return ranged.join(F.broadcast(cuts), "chunk").withColumn("chunk", F.col("chunk") * fine + below).select(*docs.columns, "chunk")
+    finer = ranged.join(F.broadcast(cuts), "chunk").withColumn("chunk", F.col("chunk") * fine + below).select(*docs.columns, "chunk")
+    return _bounded(finer, chunk_bytes)
+
+
+def _bounded(ranged: DataFrame, chunk_bytes: int | None) -> DataFrame:
+    """Cuts chunks of more than 2 * ``chunk_bytes`` in their order (id, text, row number) and numbers all anew."""
+    if not chunk_bytes:
+        return ranged
+    sizes = ranged.groupBy("chunk").agg(F.sum(F.octet_length("text") + ROW_BYTES).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    large = written(sizes.where((F.col("bytes") > 2 * chunk_bytes) & (F.col("n") > 1)).select("chunk", "bytes", "n"), "large-chunks")
+    total, rows = large.agg(F.sum("bytes"), F.sum("n")).first()
+    if not total:
+        return ranged
+    parts, hot = min(rows, math.ceil(total / chunk_bytes)), F.broadcast(large.select("chunk"))
+    over = ranged.join(hot, "chunk", "left_semi").withColumn("_serial", F.monotonically_increasing_id())
+    dealt = over.repartitionByRange(parts, "chunk", F.asc_nulls_last("doc_id"), "text", "_serial").withColumn("_part", F.spark_partition_id())
+    cut = written(dealt.drop("_serial"), "cut-chunks").select(*ranged.columns, "_part")
+    every = ranged.join(hot, "chunk", "left_anti").select(*ranged.columns, F.lit(0).alias("_part")).unionByName(cut)
+    counted = every.select("chunk", "_part").distinct()
+    numbers = counted.select("chunk", "_part", (F.row_number().over(Window.orderBy("chunk", "_part")) - 1).alias("_number"))  # one small row for each chunk
+    return every.join(F.broadcast(written(numbers, "chunk-numbers")), ["chunk", "_part"]).withColumn("chunk", F.col("_number")).select(*ranged.columns)
 
 
 def _id_ranges(docs: DataFrame, n: int) -> DataFrame:
@@ -84,7 +107,7 @@ def _id_ranges(docs: DataFrame, n: int) -> DataFrame:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    return id_chunks(docs, max(1, math.ceil(text_bytes(docs) / chunk_bytes)))
+    return id_chunks(docs, max(1, math.ceil(text_bytes(docs) / chunk_bytes)), chunk_bytes)
 
 
 #: A class is hot from this many rows, and from one HOT_SHARE-th of all rows.

@@ -58,14 +58,15 @@ def _hex(signatures: np.ndarray) -> pa.Array:
 
 def _with_next(source: DataFrame, chunks: int) -> DataFrame:
     """The documents by chunk, with each chunk's ``guest``: the highest document of the chunk below."""
-    dealt = id_chunks(source, chunks)
+    dealt = id_chunks(source, chunks, CHUNK_BYTES)
     tops = dealt.groupBy("chunk").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy("chunk")  # one small row for each chunk
     tops = tops.withColumn("to", F.coalesce(F.lead("chunk").over(order), F.min("chunk").over(Window.partitionBy(F.lit(0))))).withColumnRenamed("chunk", "of")
     tops = F.broadcast(tops) if chunks <= BROADCAST_CHUNKS else tops
-    joined = dealt.join(tops, (F.col("chunk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
-    places = F.when(F.col("to").isNull(), F.array("chunk")).otherwise(F.array("chunk", "to"))
-    return joined.select("doc_id", "text", F.posexplode(places).alias("guest", "chunk"))
+    highest = dealt.join(tops, (F.col("chunk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    guests = highest.groupBy("of", "to", "top").agg(F.max("text").alias("text"))
+    guests = guests.select(F.col("top").alias("doc_id"), "text", F.lit(1).alias("guest"), F.col("to").alias("chunk"))
+    return dealt.select("doc_id", "text", F.lit(0).alias("guest"), "chunk").unionByName(guests)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Packing of documents into sequences by Karmarkar-Karp multiway differencing.
 
-Documents are dealt to groups of about GROUP_WINDOWS windows by a hash. In a group, each document's ids are cut: as
+Documents are dealt to groups of about GROUP_WINDOWS windows by a hash of the row and its number. In a group, each document's ids are cut: as
 many whole windows as it fills stand by themselves, and the rest is cut into pieces of at most PIECE ids. The pieces
 are packed into the least number of windows that their ids could fill: partial partitions with opposing imbalances are
 merged, those of the largest difference first, until one partition with nearly equal windows is left. If its largest
@@ -72,7 +72,7 @@ def packing(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length."""
     source = texts(docs, id_col, text_col)
     groups = max(1, math.ceil(text_bytes(source) / (GROUP_WINDOWS * WINDOW_BYTES * capacity / CAPACITY)))
-    dealt = source.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    dealt = source.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack_group(rows):
         ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in Words.of(vocabulary_path).encode(rows["text"].to_pylist())]

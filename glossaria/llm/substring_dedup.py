@@ -233,7 +233,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell_bits = max(10, math.ceil(math.log2(max(1, size * CELLS_PER_BYTE))))
     hash_bits = max(0, math.ceil(math.log2(max(1, size / 6 / BLOCK_WINDOWS))))
     block_bits = min(BLOCK_BITS, cell_bits)
-    chunks = id_chunks(source, max(1, math.ceil(size / CHUNK_BYTES)))
+    chunks = id_chunks(source, max(1, math.ceil(size / CHUNK_BYTES)), CHUNK_BYTES)
     dealt = chunks.groupBy("chunk")
     packed = "chunk int, block long, data binary"
 

@@ -351,3 +351,21 @@ def test_merges_of_more_symbols_than_24_bits_count():
     ids, starts = Merges(BYTE).encode(words)
     one, _ = Merges(BYTE).encode(words[:1])
     assert len(one) < 3 and len(ids) == len(words) * len(one) and (ids.reshape(-1, len(one)) == one).all()
+
+
+def test_chunks_of_null_and_repeated_ids_are_bounded(spark):
+    from glossaria.llm import common
+
+    rows = [(i, "x" * 100) for i in range(20)] + [(None, f"{i:0100}") for i in range(60)] + [(7, "y" * 100)] * 50
+    found = common.id_chunks(frame(spark, rows).select("doc_id", "text").repartition(3), 13, 1000).collect()
+    of = defaultdict(list)
+    for r in found:
+        of[r["chunk"]].append((r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+    order = [of[c] for c in sorted(of)]
+    assert len(found) == len(rows) and max(map(len, order)) <= 30
+    assert all(max(a) <= min(b) for a, b in zip(order, order[1:]))
+
+
+def test_packing_deals_repeated_rows_to_several_groups(spark):
+    got = packing.packing(frame(spark, [(7, SAME * 8)] * 200), WORD, capacity=64).where("start = 0").collect()
+    assert len(got) == 200 and len({r["sequence_id"] >> 32 for r in got}) > 3
