@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import id_chunks, text_bytes, texts
 from .fusefilter import mix
-from .words import word_hashes
+from .words import word_hash_pairs
 
 WINDOW, CHUNK_BYTES = 20, 4 << 20
 #: Rows of the sketch, its cells for each byte of text, cells of a block, and windows aimed at for a block of hashes.
@@ -60,8 +60,14 @@ def word_spans(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def chunk_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a chunk in order, and how many words each row has."""
+    hashes, _, counts = _chunk_words(rows, False)
+    return hashes, counts
+
+
+def _chunk_words(rows: pa.Table, both: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word, built in different ways (or the first alone), and how many words each row has."""
     raw = [x.as_py() for x in rows["text"].cast(pa.large_binary())]
-    hashes, counts = [], []
+    hashes, others, counts = [], [], []
     batch: list[bytes] = []
     size = 0
 
@@ -70,10 +76,13 @@ def chunk_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in batch], dtype=np.int64)])
         begin, end = word_spans(data, bounds[:-1]) if len(data) else (np.zeros(0, np.int64),) * 2
         at = 0
-        while at < len(begin):  # by segments of words, so that a very long text needs no long tables of powers
+        while at < len(begin):  # by segments of words, so that a very long text needs no more memory than others
             to = max(at + 1, int(np.searchsorted(end, begin[at] + _SEGMENT)))
             base = begin[at]
-            hashes.append(word_hashes(data[base : end[to - 1]], begin[at:to] - base, end[at:to] - base))
+            one, other = word_hash_pairs(data[base : end[to - 1]], begin[at:to] - base, end[at:to] - base, both)
+            hashes.append(one)
+            if both:
+                others.append(other)
             at = to
         counts.append(np.diff(np.searchsorted(begin, bounds)))
 
@@ -85,19 +94,21 @@ def chunk_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             batch, size = [], 0
     if batch:
         flush()
-    return np.concatenate([np.zeros(0, _U), *hashes]), np.concatenate([np.zeros(0, np.int64), *counts])
+    none = np.zeros(0, _U)
+    return np.concatenate([none, *hashes]), np.concatenate([none, *others]), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
 def chunk_windows(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every window, and the place of its first word in the chunk."""
-    words, counts = chunk_words(rows)
+    """Two 64-bit hashes of every window, over word hashes that are built in different ways, and the place of its first
+    word in the chunk."""
+    *words, counts = _chunk_words(rows, True)
     ends = np.repeat(np.cumsum(counts), counts)
-    start = np.flatnonzero(np.arange(len(words)) + window <= ends)
+    start = np.flatnonzero(np.arange(len(words[0])) + window <= ends)
     out = []
     for seed, base in enumerate(_BASES):
         # A window is hashed in place: a polynomial of its words, by doubling, needs no powers of its place.
         with np.errstate(over="ignore"):
-            out.append(mix(_windowed(mix(words, seed + 1), base, window)[start], seed + 7) if len(start) else np.zeros(0, _U))
+            out.append(mix(_windowed(mix(words[seed], seed + 1), base, window)[start], seed + 7) if len(start) else np.zeros(0, _U))
     return out[0], out[1], start
 
 

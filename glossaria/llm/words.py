@@ -1,8 +1,8 @@
 """Texts to token ids, exactly as the tokenizers library encodes them, many texts at a time.
 
 A tokenizer's merges never cross the words that its pre-tokenizer cuts. Texts of ASCII and Latin letters are cut into
-words as array operations over their bytes; equal words are found by hashing and each distinct one is merged once,
-or remembered from before. A text with any other character, with an apostrophe (they begin the pattern's contractions)
+words as array operations over their bytes; equal words are found by hashing and confirmed byte for byte, and each
+distinct one is merged once, or remembered from before. A text with any other character, with an apostrophe (they begin the pattern's contractions)
 or with a special token's string goes to the library whole.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 from tokenizers import Tokenizer
 
+from .fusefilter import mix
 from .merges import Merges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
@@ -36,37 +38,63 @@ _LOWER[65:91] += 32
 _BYTE_PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ſ]*")
 _CASE_PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*")
 
-_P = 0x9E3779B97F4A7C15
-_POWERS = np.ones(TOGETHER + LONGEST + 2, _U)
-_BACK = np.ones(TOGETHER + LONGEST + 2, _U)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
-def _fill_powers() -> None:
-    if _POWERS[1] == 1:
-        with np.errstate(over="ignore"):
-            _POWERS[1:] = np.multiply.accumulate(np.full(len(_POWERS) - 1, _P, _U))
-            _BACK[1:] = np.multiply.accumulate(np.full(len(_BACK) - 1, pow(_P, -1, 1 << 64), _U))
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the eight bytes that begin at each place as one integer; zeros follow the last."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    _fill_powers()
-    powers, back = (_POWERS, _BACK) if len(data) < len(_POWERS) else _long_powers(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * powers[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[begin]) * back[begin]
-        h ^= h >> _U(29)
-        h *= _U(0xBF58476D1CE4E5B9)
-        return h ^ (h >> _U(32)) ^ (end - begin).astype(_U) << _U(40)
+def _rounds(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Eight bytes of each span at a time: which spans still have some, how far inside they are, and a mask for them."""
+    live, left, inside = np.arange(len(begin)), end - begin, 0
+    while len(live):
+        yield live, inside, _MASKS[np.minimum(left, 8)]
+        on = left > 8
+        live, left, inside = live[on], left[on] - 8, inside + 8
 
 
-def _long_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, pow(_P, -1, 1 << 64)):
-        with np.errstate(over="ignore"):
-            out.append(np.concatenate([np.ones(1, _U), np.multiply.accumulate(np.full(n, base, _U))]))
-    return out[0], out[1]
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    return word_hash_pairs(data, begin, end, False)[0]
+
+
+def word_hash_pairs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two 64-bit hashes of the bytes of each span, built in different ways: a chain over its groups of eight bytes, and
+    a sum of hashes of each group by its place. Spans beyond LONGEST bytes have the halves of their XXH3-128."""
+    lanes = eights(data)
+    chain = mix((end - begin).astype(_U), 3)
+    total = mix((end - begin).astype(_U), 4) if both else None
+    long = end - begin > LONGEST
+    some = np.flatnonzero(~long) if long.any() else None
+    first, last = (begin, end) if some is None else (begin[some], end[some])
+    for live, inside, mask in _rounds(first, last):
+        x = lanes[first[live] + inside] & mask
+        at = live if some is None else some[live]
+        chain[at] = mix(chain[at] ^ x, 5)
+        if both:
+            with np.errstate(over="ignore"):
+                total[at] += mix(x ^ _U(0x9E3779B97F4A7C15 * (inside + 1) % (1 << 64)), 6)
+    for i in np.flatnonzero(long).tolist():
+        digest = xxhash.xxh3_128_intdigest(memoryview(data[begin[i] : end[i]]))
+        chain[i] = digest & 0xFFFFFFFFFFFFFFFF
+        if both:
+            total[i] = digest >> 64
+    return chain, total
+
+
+def same_bytes(one: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether each span of ``one`` holds the same bytes as its partner in ``other``; both are views of ``eights``."""
+    same = end - begin == end2 - begin2
+    where = np.flatnonzero(same)
+    first, second = begin[where], begin2[where]
+    for live, inside, mask in _rounds(first, end[where]):
+        differ = (one[first[live] + inside] ^ other[second[live] + inside]) & mask != 0
+        same[where[live[differ]]] = False
+    return same
 
 
 def cut_bytes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +153,10 @@ class Words:
         return cls._open[path, key]
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.n, self.pool = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Remembered words: their hashes, ascending; where each one's ids and bytes are, and how many."""
+        self.hashes = np.zeros(0, _U)
+        self.at, self.n, self.byte_at, self.bytes_n = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def plain(self, text: str) -> bool:
         pattern = _CASE_PLAIN if self.cased else _BYTE_PLAIN
@@ -166,38 +197,63 @@ class Words:
             out[i] = ids[marks[k] : marks[k + 1]]
 
     def _ids(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all spans in a row, and how many each has."""
+        """The ids of all spans in a row, and how many each has.
+
+        Hashes find equal words, and bytes confirm them. What isn't the word that its hash stands for, and spans beyond
+        LONGEST, are told apart by their bytes alone.
+        """
         distinct, where, of = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        lanes, first, last = eights(data), begin[where], end[where]
         place = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
+        met = np.zeros(len(distinct), bool)
         inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == distinct[inside]
-        if not known.all():
-            raw, new = data.tobytes(), where[~known]
-            flat, starts = self.encode_words([raw[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            if len(self.hashes) + len(new) > REMEMBERED:
-                flat, starts = self._with_known(flat, starts, place[known])
-                fresh, self.hashes = np.concatenate([distinct[~known], distinct[known]]), np.zeros(0, _U)
-                self._forget()
-                order = np.argsort(fresh)
-                self.hashes, self.at, self.n, self.pool = fresh[order], starts[:-1][order], np.diff(starts)[order], flat.astype(np.uint32)
-            else:
-                to = place[~known]
-                self.hashes = np.insert(self.hashes, to, distinct[~known])
-                self.at = np.insert(self.at, to, starts[:-1] + len(self.pool))
-                self.n = np.insert(self.n, to, np.diff(starts))
-                self.pool = np.concatenate([self.pool, flat.astype(np.uint32)])
+        met[inside] = self.hashes[place[inside]] == distinct[inside]
+        short = last - first <= LONGEST
+        new = ~met & short
+        if len(self.hashes) and len(self.hashes) + int(new.sum()) > REMEMBERED:
+            self._forget()
+            return self._ids(data, begin, end)
+        sure = short.copy()
+        if met.any():
+            known = np.flatnonzero(met & short)
+            at = self.byte_at[place[known]]
+            sure[known] = same_bytes(lanes, first[known], last[known], eights(self.bytes), at, at + self.bytes_n[place[known]])
+        if new.any():
+            raw = data.tobytes()
+            some = [raw[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            flat, starts = self.encode_words(some)
+            to, lengths = place[new], last[new] - first[new]
+            self.hashes = np.insert(self.hashes, to, distinct[new])
+            self.at, self.n = np.insert(self.at, to, starts[:-1] + len(self.pool)), np.insert(self.n, to, np.diff(starts))
+            self.byte_at, self.bytes_n = np.insert(self.byte_at, to, np.cumsum(lengths) - lengths + len(self.bytes)), np.insert(self.bytes_n, to, lengths)
+            self.pool = np.concatenate([self.pool, flat.astype(np.uint32)])
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(some), np.uint8)])
             place = np.searchsorted(self.hashes, distinct)
-        n = self.n[place][of]
-        return self.pool[_spread(self.at[place][of], n)], n
-
-    def _with_known(self, flat, starts, known):
-        """The ids just found, followed by those of remembered words that are still in use."""
-        n = self.n[known]
-        return np.concatenate([flat, self.pool[_spread(self.at[known], n)]]), np.concatenate([starts, starts[-1] + np.cumsum(n)])
+        sure_span = sure[of]
+        sure_span[sure_span] = same_bytes(lanes, begin[sure_span], end[sure_span], lanes, first[of[sure_span]], last[of[sure_span]])
+        if sure_span.all():
+            n = self.n[place][of]
+            return self.pool[_spread(self.at[place][of], n)], n
+        return self._ids_apart(data, begin, end, place[of], sure_span)
+
+    def _ids_apart(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids``, where the spans that aren't ``sure`` are grouped by their bytes."""
+        raw, odd = data.tobytes(), np.flatnonzero(~sure)
+        spans = [raw[a:b] for a, b in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]
+        number = {word: i for i, word in enumerate(dict.fromkeys(spans))}
+        flat, starts = self.encode_words(list(number))
+        which = np.fromiter((number[w] for w in spans), np.int64, len(spans))
+        n = np.zeros(len(begin), np.int64)
+        n[sure], n[odd] = self.n[place[sure]], np.diff(starts)[which]
+        out, to = np.zeros(int(n.sum()), np.uint32), np.cumsum(n) - n
+        out[_spread(to[sure], n[sure])] = self.pool[_spread(self.at[place[sure]], n[sure])]
+        out[_spread(to[odd], n[odd])] = flat[_spread(starts[:-1][which], n[odd])]
+        return out, n
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word's begin, with the end."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         pieces: list[np.ndarray | None] = [None] * len(words)
         rest = [i for i, w in enumerate(words) if len(w) <= LONGEST]
         for i in set(range(len(words))).difference(rest):
