@@ -5,11 +5,13 @@ Every stage takes what its predecessor kept, written as Parquet. All but the las
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import table, written
+from glossaria.llm.common import remove, settled, table
 from glossaria.llm.exact_dedup import exact_dedup
 from glossaria.llm.packing import packing
 from glossaria.llm.quality import good_documents
@@ -31,9 +33,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near fingerprints of the whole text or by the Jaccard index, the one with the smallest id stays."""
-    found = near_texts(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = found.where("not stays").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = near_texts(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    digest = F.unhex(F.substring(F.sha2(F.coalesce(docs["text"], F.lit("")), 256), 1, 32))
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +57,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash", near), ("substring_dedup", substrings), ("packing", packed)]
 
-#: SQL can express neither the classifier nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the packing; tests hold each stage against plain Python on a small corpus.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``. What a stage wrote on its way goes when its result is written, and that goes
+    when the next stage's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path, docs = settled(partial(stage, spark, docs, sf_dir), spark, f"stage-{name}")
+        if last:
+            remove(spark, last)
+        last = path
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,24 +21,69 @@ RANGES = 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one, if driver and executors are one process; elsewhere that is an error, as each
+    executor would write to a disk of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not getattr(context, "_glossaria_dir", None):
             context._glossaria_dir = "file://" + tempfile.mkdtemp(prefix="glossaria-")
         root = context._glossaria_dir
     return f"{root.rstrip('/')}/glossaria/{spark.sparkContext.applicationId}"
 
 
+#: Folders that the open ``scratch`` blocks have to remove, the innermost last.
+_open: list[list[str]] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder; the innermost ``scratch`` block removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table in the shared folder: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of the shared folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all that was written inside: only what an outer block wrote, or keeps, may be read afterwards."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> tuple[str, DataFrame]:
+    """``written`` for the rows that ``make`` plans, and their place; what ``make`` wrote on the way is removed at once."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+        schema = df.schema
+    return path, spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,31 +97,35 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def id_chunks(docs: DataFrame, n: int, chunk_bytes: int | None = None) -> DataFrame:
-    """Adds ``chunk``: about ``n`` ranges of doc_id with about as many rows each, numbered in ascending order.
+def id_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` with ``chunk``, numbers of ranges of doc_id of about ``chunk_bytes`` of text, and the bytes of all texts.
 
-    Rows of one id share a chunk. Null ids form a chunk of their own, after all others. With ``chunk_bytes``, chunks of
-    more than twice as much text are cut further, by text and, for repeated rows, by a row number.
+    Chunks are numbered in ascending order. Rows of one id share a chunk and null ids form chunks of their own, after
+    all others; chunks of more than twice as much text are cut further, by text and, for repeated rows, by a row number.
     The bounds are quantiles of all ids, so gaps and clusters of ids don't unbalance the chunks. Beyond RANGES chunks
     the quantiles are taken inside each of at most RANGES ranges and broadcast: RANGES * RANGES of eight bytes at most.
     """
+    probabilities = [i / RANGES for i in range(1, RANGES)]
+    size, bounds = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", probabilities, max(10_000, 20 * RANGES))).first()
+    size = size or 0
+    n = max(1, math.ceil(size / chunk_bytes))
     fine = min(RANGES, math.ceil(n / RANGES))
-    ranged = _id_ranges(docs, math.ceil(n / fine) if n < RANGES * RANGES else RANGES)
+    ranges = math.ceil(n / fine) if n < RANGES * RANGES else RANGES
+    at = sorted({RANGES * i // ranges for i in range(1, ranges)} - {0})
+    ranged = _id_ranges(docs, [bounds[i - 1] for i in at] if bounds else [])
     if fine == 1:
-        return _bounded(ranged, chunk_bytes)
+        return _bounded(ranged, chunk_bytes), size
     probabilities = [i / fine for i in range(1, fine)]
     cuts = ranged.groupBy("chunk").agg(F.percentile_approx("doc_id", probabilities, max(10_000, 20 * fine)).alias("cuts"))
     steps = F.array(*(F.lit(1 << i) for i in reversed(range((fine - 1).bit_length()))))
     # How many cuts lie below the id, by halving; beyond the last one there is none.
     below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col("doc_id"), step).otherwise(0))
     finer = ranged.join(F.broadcast(cuts), "chunk").withColumn("chunk", F.col("chunk") * fine + below).select(*docs.columns, "chunk")
-    return _bounded(finer, chunk_bytes)
+    return _bounded(finer, chunk_bytes), size
 
 
-def _bounded(ranged: DataFrame, chunk_bytes: int | None) -> DataFrame:
+def _bounded(ranged: DataFrame, chunk_bytes: int) -> DataFrame:
     """Cuts chunks of more than 2 * ``chunk_bytes`` in their order (id, text, row number) and numbers all anew."""
-    if not chunk_bytes:
-        return ranged
     sizes = ranged.groupBy("chunk").agg(F.sum(F.octet_length("text") + ROW_BYTES).alias("bytes"), F.count(F.lit(1)).alias("n"))
     large = written(sizes.where((F.col("bytes") > 2 * chunk_bytes) & (F.col("n") > 1)).select("chunk", "bytes", "n"), "large-chunks")
     total, rows = large.agg(F.sum("bytes"), F.sum("n")).first()
@@ -90,26 +141,17 @@ def _bounded(ranged: DataFrame, chunk_bytes: int | None) -> DataFrame:
     return every.join(F.broadcast(written(numbers, "chunk-numbers")), ["chunk", "_part"]).withColumn("chunk", F.col("_number")).select(*ranged.columns)
 
 
-def _id_ranges(docs: DataFrame, n: int) -> DataFrame:
+def _id_ranges(docs: DataFrame, bounds: list[int]) -> DataFrame:
     """``chunk`` by bounds that the driver holds."""
-    bounds: list[float] = []
-    if n > 1:
-        probabilities = [i / n for i in range(1, n)]
-        found = docs.agg(F.percentile_approx("doc_id", probabilities, max(10_000, 20 * n))).first()[0]
-        bounds = sorted({float(x) for x in found or []})
     if not bounds:
         return docs.withColumn("chunk", F.when(F.col("doc_id").isNull(), 1).otherwise(0))
-    splits = sorted({-math.inf, *(x + 0.5 for x in bounds), math.inf})
+    splits = sorted({-math.inf, *(float(x) + 0.5 for x in bounds), math.inf})
     numbered = docs.withColumn("chunk_key", F.col("doc_id").cast("double"))
     cut = Bucketizer(splits=splits, inputCol="chunk_key", outputCol="chunk", handleInvalid="keep")
     last = F.lit(len(splits))
     return cut.transform(numbered).withColumn("chunk", F.coalesce(F.col("chunk").cast("int"), last)).drop("chunk_key")
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    return id_chunks(docs, max(1, math.ceil(text_bytes(docs) / chunk_bytes)), chunk_bytes)
-
-
 #: A class is hot from this many rows, and from one HOT_SHARE-th of all rows.
 HOT_ROWS, HOT_SHARE = 10_000, 500
 

@@ -190,15 +190,29 @@ def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where((common >= similar * (sizes - common)) | (sizes == 0)).select("a", "b")
 
 
+def with_digest(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with a 128-bit digest of the text, by which equal texts are known. Null ids are left out."""
+    return docs.where("doc_id is not null").withColumn("digest", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+
+
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``rep`` and text, once for each text of ``rows`` (node, text)."""
-    return rows.select(F.col("node").alias("rep"), "text").dropDuplicates(["rep"])
+    """Each text of ``rows`` (doc_id, text, digest) once, written: rep, a number of its own, digest, text, the least id
+    that has it, and how many rows have it (size)."""
+    grouped = rows.groupBy("digest").agg(F.first("text").alias("text"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    return written(grouped.withColumn("rep", F.monotonically_increasing_id()), "distinct-texts")
 
 
-def least_ids(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """doc_id and ``name``, the least id of all documents connected with it, for rows (doc_id, node) and roots (node, root)."""
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
-    rooted = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias(name), F.count(F.lit(1)).alias("members"))
-    settled = written(join_classes(rooted, names, ["root"], "members", rooted.count()).select("node", "size", name), "settled")
-    return join_classes(rows, settled, ["node"], "size", rows.count()).select("doc_id", name)
+def least_ids(rows: DataFrame, chosen: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """doc_id, digest, ``name`` and kept for every row of ``rows``: the least id of all documents connected with it, and
+    whether it is the document that stands for them.
+
+    Of several texts under the least id the one of the least digest stands for them; rows that repeat it all do.
+    ``chosen``: as by ``distinct_texts``; ``roots``: (node, root) over reps.
+    """
+    texts = chosen.select("rep", "digest", "least", "size").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rooted = written(texts.withColumn("root", F.coalesce("root", "rep")), "rooted")
+    names = rooted.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("first"), F.count(F.lit(1)).alias("members"))
+    named = join_classes(rooted, names, ["root"], "members", rooted.count())
+    settled = written(named.select("digest", "size", F.col("first.least").alias(name), (F.col("digest") == F.col("first.digest")).alias("_first")), "settled")
+    out = join_classes(rows.select("doc_id", "digest"), settled, ["digest"], "size", rows.count())
+    return out.select("doc_id", "digest", name, (F.col("_first") & (F.col("doc_id") == F.col(name))).alias("kept"))

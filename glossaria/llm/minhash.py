@@ -14,16 +14,15 @@ its own next. Empty tables give empty results. Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_chunks, text_bytes, texts, written
+from .common import CHUNK_BYTES, id_chunks, settled, texts, written
 from .components import components
-from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, shingles
+from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, shingles, with_digest
 from .substring_dedup import chunk_words, in_order
 
 PERMUTATIONS = 128
@@ -56,13 +55,13 @@ def _hex(signatures: np.ndarray) -> pa.Array:
     return pa.array([s.astype(">u2").tobytes().hex() for s in signatures], pa.string())
 
 
-def _with_next(source: DataFrame, chunks: int) -> DataFrame:
+def _with_next(source: DataFrame) -> DataFrame:
     """The documents by chunk, with each chunk's ``guest``: the highest document of the chunk below."""
-    dealt = id_chunks(source, chunks, CHUNK_BYTES)
+    dealt, size = id_chunks(source, CHUNK_BYTES)
     tops = dealt.groupBy("chunk").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy("chunk")  # one small row for each chunk
     tops = tops.withColumn("to", F.coalesce(F.lead("chunk").over(order), F.min("chunk").over(Window.partitionBy(F.lit(0))))).withColumnRenamed("chunk", "of")
-    tops = F.broadcast(tops) if chunks <= BROADCAST_CHUNKS else tops
+    tops = F.broadcast(tops) if size <= BROADCAST_CHUNKS * CHUNK_BYTES else tops
     highest = dealt.join(tops, (F.col("chunk") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     guests = highest.groupBy("of", "to", "top").agg(F.max("text").alias("text"))
     guests = guests.select(F.col("top").alias("doc_id"), "text", F.lit(1).alias("guest"), F.col("to").alias("chunk"))
@@ -75,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last half replaced by as much of the beginning of the next document.
     """
     source = texts(docs, id_col, text_col)
-    dealt = _with_next(source, max(1, math.ceil(text_bytes(source) / CHUNK_BYTES)))
+    dealt = _with_next(source)
 
     def work(rows):
         guest = np.array(rows["guest"].to_pylist(), bool)
@@ -98,14 +97,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, the least id that chains of links lead to. Null ids are left out.
+    """doc_id, digest, class_id, the least id that chains of links lead to, and kept, as by ``least_ids``. Null ids are
+    left out.
 
-    Texts are compared once for each distinct text, known by a 64-bit hash. Signatures are cut into bands of four
+    Texts are compared once for each distinct text, known by a 128-bit digest. Signatures are cut into bands of four
     components; texts that share a band meet in Spark, all with all unless links connect them already. A comparison is
     a link where the Jaccard index of the shingle sets is at least ``similar``.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("node", F.xxhash64("text"))
-    chosen = written(distinct_texts(rows), "distinct-texts")
+    rows, spark = with_digest(texts(docs, id_col, text_col)), docs.sparkSession
+    chosen = distinct_texts(rows)
 
     def bands(batches):
         for batch in batches:
@@ -115,5 +115,5 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     banded = chosen.mapInArrow(bands, "rep long, bands array<long>").select("rep", F.posexplode("bands").alias("band", "value"))
     none = F.lit(0).cast("long")
     keys = banded.select(F.xxhash64("band", "value").alias("key"), "rep", none.alias("n"), none.alias("pos"), F.lit(0.0).alias("own"))
-    roots = components(bucket_links(keys, chosen, None, similar))
-    return least_ids(written(rows.select("doc_id", "node"), "nodes"), roots, "class_id")
+    _, roots = settled(lambda: components(bucket_links(keys, chosen, None, similar)), spark, "roots")
+    return least_ids(written(rows.select("doc_id", "digest"), "ids"), chosen, roots, "class_id")

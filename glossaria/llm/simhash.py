@@ -28,15 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_classes, texts, written
+from .common import join_classes, settled, texts, written
 from .components import components
-from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, prefix_keys
+from .jaccard import SIMILAR, bucket_links, distinct_texts, least_ids, prefix_keys, with_digest
 
 SHINGLE, BITS, TREES = 3, 2, 3
-#: Passages begin at one word in ANCHOR, and a text is described by PASSAGES of them.
-ANCHOR, PASSAGES = 16, 12
-#: Texts of up to FEW_WORDS words have few of those: runs of RUN words, begun at one word in RUN_ANCHOR, join them.
-FEW_WORDS, RUN, RUN_ANCHOR = 160, 8, 3
 #: Fingerprints that a shard aims at, and the most that one task compares.
 SHARD, LEAF = 500, 8192
 
@@ -241,39 +237,27 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     rows = written(fingerprints(texts(docs, id_col, text_col), shingle), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
     count, total = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    roots = components(links(points.select("fp"), count, bits, trees))
+    _, roots = settled(lambda: components(links(points.select("fp"), count, bits, trees)), docs.sparkSession, "roots")
     rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    settled = written(rooted.join(names, "root").select("fp", "n", "component_id"), "settled")
-    out = join_classes(rows, settled, ["fp"], "n", total)
+    named = written(rooted.join(names, "root").select("fp", "n", "component_id"), "settled")
+    out = join_classes(rows, named, ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def passages(text: bytes, shingle: int = SHINGLE) -> list[int]:
-    """Fingerprints of up to PASSAGES passages. Passages begin at words whose own hash says so, so that an edit moves no
-    others, and those of the least hashes are chosen, so that near texts choose the same. A short text, where one edit
-    can meet every passage, has up to PASSAGES overlapping runs of words besides."""
-    words = text.translate(_LOWER).split()
-    marks = [xxhash.xxh64_intdigest(w, 7) for w in words]
-    begin = [0, *(i for i in range(1, len(words)) if marks[i] % ANCHOR == 0), len(words)]
-    parts = [b" ".join(words[a:b]) for a, b in zip(begin, begin[1:], strict=False) if b - a >= 2 * shingle]
-    runs = [b" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1) if marks[i] % RUN_ANCHOR == 0] if len(words) <= FEW_WORDS else []
-    return sorted({fingerprint(p, shingle) for p in _least(parts) + _least(runs)})
-
-
-def _least(parts: list[bytes]) -> list[bytes]:
-    return sorted(set(parts), key=lambda p: xxhash.xxh64_intdigest(p, 8))[:PASSAGES]
-
-
 def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id over two kinds of links: whole fingerprints within BITS, as by ``simhash``, and texts
-    whose sets of five-word shingles have a Jaccard index of at least ``similar``.
+    """doc_id, digest, component_id and kept over two kinds of links: whole fingerprints within BITS, as by ``simhash``,
+    and texts whose sets of five-word shingles have a Jaccard index of at least ``similar``.
 
-    Each distinct text, known by a 64-bit hash, is searched, by a prefix filter that misses no such pair. Null ids are
-    left out.
+    Each distinct text, known by a 128-bit digest, is searched, by a prefix filter that misses no such pair. Several
+    texts under one id are several texts. Null ids are left out. ``kept``: one document of each component.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("node", F.xxhash64("text"))
-    chosen = written(distinct_texts(rows), "distinct-texts")
-    whole = written(simhash(chosen, "rep").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"), "whole-links")
-    roots = components(bucket_links(prefix_keys(chosen, similar), chosen, whole, similar))
-    return least_ids(written(rows.select("doc_id", "node"), "nodes"), roots, "component_id")
+    rows, spark = with_digest(texts(docs, id_col, text_col)), docs.sparkSession
+    chosen = distinct_texts(rows)
+
+    def linked() -> DataFrame:
+        whole = written(simhash(chosen, "rep").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"), "whole-links")
+        return components(bucket_links(prefix_keys(chosen, similar), chosen, whole, similar))
+
+    _, roots = settled(linked, spark, "roots")
+    return least_ids(written(rows.select("doc_id", "digest"), "ids"), chosen, roots, "component_id")

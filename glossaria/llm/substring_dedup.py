@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_chunks, text_bytes, texts
+from .common import id_chunks, texts
 from .fusefilter import mix
 from .words import word_hash_pairs
 
@@ -240,11 +240,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` is the text itself, unchanged, where nothing is removed, else the kept words joined by one space.
     """
     source = texts(docs, id_col, text_col) if not columns else docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_{c}") for c in columns])
-    size = text_bytes(source)
+    chunks, size = id_chunks(source, CHUNK_BYTES)
     cell_bits = max(10, math.ceil(math.log2(max(1, size * CELLS_PER_BYTE))))
     hash_bits = max(0, math.ceil(math.log2(max(1, size / 6 / BLOCK_WINDOWS))))
     block_bits = min(BLOCK_BITS, cell_bits)
-    chunks = id_chunks(source, max(1, math.ceil(size / CHUNK_BYTES)), CHUNK_BYTES)
     dealt = chunks.groupBy("chunk")
     packed = "chunk int, block long, data binary"
 

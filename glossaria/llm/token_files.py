@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, shared_dir, texts, written
+from .common import CHUNK_BYTES, id_chunks, new_path, texts, written
 from .fusefilter import mix
 from .shared_files import pack, read_bytes, unpack, write_bytes
 from .words import Words
@@ -105,7 +105,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
     ``start``: the ids of all shards before. A lost task writes its shard again under another name, and only files of
     tasks that ended are in the manifest.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = new_path(docs.sparkSession, "tokens")
 
     def write(rows):
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -116,7 +116,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
         write_bytes(path, shard_parts(ids, keys, words.tokenizer.get_vocab_size()))
         return pa.table({"chunk": rows["chunk"][:1], "path": [path], "documents": pa.array([len(ids)], pa.int64()), "tokens": pa.array([sum(map(len, ids))], pa.int64())})
 
-    manifest = written(chunked(docs).groupBy("chunk").applyInArrow(write, "chunk int, path string, documents long, tokens long"), "manifest")
+    manifest = written(id_chunks(docs, CHUNK_BYTES)[0].groupBy("chunk").applyInArrow(write, "chunk int, path string, documents long, tokens long"), "manifest")
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 

@@ -1,6 +1,7 @@
 """The searches for near texts, held against brute force over Jaccard indexes."""
 
 import numpy as np
+import pytest
 
 from glossaria.llm import jaccard, minhash, simhash
 
@@ -116,3 +117,28 @@ def test_no_bucket_goes_through_one_window_group(spark):
     members = spark.createDataFrame([(1, i, 10, 0, 0.0, i) for i in range(50)], "key long, rep long, n long, pos long, own double, root long")
     for pairs in (jaccard._led(members, 0, 0.8), jaccard._across(members, 0.8)):
         assert "Window" not in pairs._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("search", "name"), [(minhash.near_duplicates, "class_id"), (simhash.near_texts, "component_id")])
+def test_texts_under_repeated_ids_keep_their_links(spark, search, name):
+    rng = np.random.default_rng(7)
+    x, y = (" ".join(f"w{i}" for i in rng.integers(0, 50_000, 80)) for _ in range(2))
+    rows = [(7, x), (7, y), (9, x + " end"), (10, y + " end"), (7, x)]
+    out = search(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r[name]) for r in out) == [(7, 7), (7, 7), (7, 7), (9, 7), (10, 7)]
+    assert sorted(r["doc_id"] for r in out if r["kept"]) == [7, 7, 7]  # two groups, one of which has a repeated row
+
+
+def test_pairs_in_a_crowd_that_shares_a_long_passage_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    common, texts = [f"c{i}" for i in range(240)], []
+    for _ in range(400):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+        texts += [" ".join(common + own), " ".join([*common, *own, "end"])]
+    order = rng.permutation(len(texts))
+    place = np.argsort(order)  # texts of a pair have ids far apart
+    want = {int(i): int(min(place[2 * k], place[2 * k + 1])) for k in range(400) for i in (place[2 * k], place[2 * k + 1])}
+    rows = [(i, texts[order[i]]) for i in range(len(texts))]
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()} == want
+    links = simhash.near_texts(frame(spark, rows)).select("doc_id", "component_id").collect()
+    assert all(r["component_id"] == {r["doc_id"]: r["component_id"] for r in links}[want[r["doc_id"]]] for r in links)
