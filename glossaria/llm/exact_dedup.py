@@ -23,6 +23,8 @@ from . import fusefilter
 from .common import join_classes, texts, written
 
 KEY = ["sha", "bytes", "xx"]
+#: Document ids that are broadcast at most, about 40 bytes each.
+BROADCAST_IDS = 1_500_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -96,7 +98,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _same_bytes(source: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
-    """The keys of ``linked`` whose classes hold the same bytes in every batch: one text of each class is compared."""
-    chosen = classes.join(linked, KEY, "left_semi").select(F.col("top").alias("doc_id"), *KEY).where("doc_id is not null")
+    """The keys of ``linked`` whose classes hold the same bytes in every batch: one text of each class is compared.
+
+    Up to BROADCAST_IDS texts are picked while the table is scanned, and only they are shuffled; more join by shuffling.
+    """
+    chosen = written(classes.join(linked, KEY, "left_semi").select(F.col("top").alias("doc_id"), *KEY).where("doc_id is not null"), "compared")
+    if chosen.count() <= BROADCAST_IDS:
+        source = source.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     shown = source.join(chosen, "doc_id").where((F.sha2("text", 256) == F.col("sha")) & (F.octet_length("text") == F.col("bytes")))
     return shown.groupBy(*KEY).agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low = high").select(*KEY)

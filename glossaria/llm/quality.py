@@ -130,7 +130,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: i
     n = usable.count()
     if n > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
-    rows = written(stats.join(usable, "doc_id").select("y", "stats").coalesce(FIT_PARTITIONS), "labelled")
+    # The labels are bounded by about fit_rows, so they go to the statistics, which stay where they are.
+    rows = written(stats.join(F.broadcast(usable), "doc_id").select("y", "stats"), "labelled")
     rng = np.random.default_rng(7)
     frequencies, phases = rng.normal(size=(N_STATISTICS, FOURIER)) / np.sqrt(N_STATISTICS), rng.uniform(0, 2 * np.pi, FOURIER)
 
@@ -150,7 +151,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: i
             gram += z.T @ np.hstack([z, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["gram"])
 
-    total = sum(np.frombuffer(r["gram"]).reshape(FOURIER + 1, FOURIER + 2) for r in rows.coalesce(FIT_PARTITIONS).mapInArrow(normal_equations, "gram binary").collect())
+    total = sum(np.frombuffer(r["gram"]).reshape(FOURIER + 1, FOURIER + 2) for r in rows.repartition(FIT_PARTITIONS).mapInArrow(normal_equations, "gram binary").collect())
     penalty = RIDGE * total[-1, -2] * np.eye(FOURIER + 1)
     penalty[-1, -1] = 1e-9
     model.weights = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
