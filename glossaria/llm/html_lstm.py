@@ -1,8 +1,8 @@
 """A bidirectional LSTM in numpy that labels the blocks of a page as main text or not, and its training.
 
 A block is a vector: hashed tags, classes and ids of its path, hashed words, and a few numbers. The network reads a
-page's blocks in both directions, so every block is judged by the whole document. It is trained on pages that
-``training_page`` writes: articles among menus, headers, footers, sidebars, notices, adverts, forms and comments.
+page's blocks in both directions, so every block is judged by the whole document. It is trained on the pages that
+``html_training`` writes.
 """
 
 from __future__ import annotations
@@ -10,46 +10,62 @@ from __future__ import annotations
 import random
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Element, blocks
+from .html_training import MARK, training_page
 
-PATHS, WORDS, NUMBERS, HIDDEN = 128, 32, 8, 16
+PATHS, WORDS, NUMBERS, HIDDEN = 192, 64, 10, 24
 SIZE = PATHS + WORDS + NUMBERS
+#: Elements around a block that describe it, and blocks of a page that are vectors at a time.
+DEPTH, STRETCH = 32, 4096
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_places: dict[tuple, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    if path not in _paths:
-        if len(_paths) > 50_000:
-            _paths.clear()
+def _element_places(element: Element) -> np.ndarray:
+    """The places of an element's name and marks among PATHS."""
+    key = (element.name, element.words)
+    if key not in _places:
+        if len(_places) > 50_000:
+            _places.clear()
+        tokens = {element.name, *(f".{m}" for mark in element.words for m in {mark, *_parts(mark)})}
+        _places[key] = np.array(sorted({zlib.crc32(t.encode("utf-8", "replace")) % PATHS for t in tokens}), np.int64)
+    return _places[key]
+
+
+def _path_vector(inside: Element | None) -> np.ndarray:
+    if inside is None:
+        return np.zeros(PATHS, np.float32)
+    if inside.vector is None:
         out = np.zeros(PATHS, np.float32)
-        for depth, element in enumerate(reversed(path)):
-            name, *marks = element.split(" ")
-            weight = 1.0 if depth < 6 else 0.7
-            for token in [name, *(f".{m}" for mark in marks for m in {mark, *_parts(mark)})]:
-                place = zlib.crc32(token.encode()) % PATHS
-                out[place] = max(out[place], weight)
-        _paths[path] = out
-    return _paths[path]
+        for depth, element in enumerate(inside.path(DEPTH)):
+            at = _element_places(element)
+            out[at] = np.maximum(out[at], 1.0 if depth < 6 else 0.7)
+        inside.vector = out
+    return inside.vector
 
 
 def _parts(mark: str) -> list[str]:
     return [p for p in mark.replace("_", "-").split("-") if p]
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), SIZE), np.float32)
-    for i, block in enumerate(page):
-        out[i, :PATHS] = _path_vector(block.path)
+def vectors(page: list[Block], begin: int = 0, end: int | None = None) -> np.ndarray:
+    """One row for each block from ``begin`` to ``end``."""
+    part, total = page[begin:end], len(page)
+    out = np.zeros((len(part), SIZE), np.float32)
+    for i, block in enumerate(part):
+        out[i, :PATHS] = _path_vector(block.inside)
         words = block.text.split(" ")
-        hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.int64, len(words)) % WORDS
+        hashed = np.fromiter((zlib.crc32(w.strip(".,:;!?()").lower().encode("utf-8", "replace")) for w in words), np.int64, len(words)) % WORDS
         out[i, PATHS : PATHS + WORDS] = np.sqrt(np.bincount(hashed, minlength=WORDS) / len(words))
-        n = len(block.text)
-        numbers = (np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, block.linked / n), n / len(words) / 16, block.text[-1] in ".!?:", i / len(page), (len(page) - i) / len(page), np.log1p(len(page)) / 6)
-        out[i, PATHS + WORDS :] = numbers
+        n, place = len(block.text), begin + i
+        out[i, PATHS + WORDS :] = (
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1.0, block.linked / n), min(3.0, n / len(words) / 16), block.text[-1] in ".!?:\"”",
+            place / total, (total - place) / total, np.log1p(total) / 6, "©" in block.text, block.text.count(",") > 0,
+        )
     return out
 
 
@@ -72,12 +88,13 @@ class Labeller:
         w["c"] = np.zeros(1, np.float32)
         return cls(w)
 
-    def _scan(self, x: np.ndarray, there: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States (time, pages, hidden) of one direction, and what its gradient needs. Padding leaves the state alone."""
+    def _scan(self, x: np.ndarray, there: np.ndarray, d: str, kept: list | None = None, begin: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """States (time, pages, hidden) of one direction, and the last one, from which a scan can ``begin``. ``kept``
+        gets what the gradient needs. Padding leaves the state alone."""
         w, (steps, pages, _) = self.weights, x.shape
         pre = x @ w[f"{d}x"] + w[f"{d}c"]
-        h = np.zeros((pages, HIDDEN), np.float32)
-        c, out, kept = h, np.zeros((steps, pages, HIDDEN), np.float32), []
+        h, c = begin or (np.zeros((pages, HIDDEN), np.float32),) * 2
+        out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = pre[t] + h @ w[f"{d}h"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
@@ -87,15 +104,29 @@ class Labeller:
             c2 = np.where(m, f * c + i * g, c)
             tc = np.tanh(c2)
             h2 = np.where(m, o * tc, h)
-            kept.append((t, h, c, i, f, o, g, tc, m))
+            if kept is not None:
+                kept.append((t, h, c, i, f, o, g, tc, m))
             h, c, out[t] = h2, c2, h2
-        return out, kept
-
-    def logits(self, x: np.ndarray, there: np.ndarray):
-        forward, kf = self._scan(x, there, "f")
-        backward, kb = self._scan(x, there, "b")
-        both = np.concatenate([forward, backward], axis=2)
-        return both @ self.weights["o"] + x @ self.weights["s"] + self.weights["c"], both, kf, kb
+        return out, (h, c)
+
+    def logits(self, x: np.ndarray, there: np.ndarray, kept: dict[str, list] | None = None):
+        both = np.concatenate([self._scan(x, there, d, kept[d] if kept else None)[0] for d in "fb"], axis=2)
+        return both @ self.weights["o"] + x @ self.weights["s"] + self.weights["c"], both
+
+    def _long_page(self, page: list[Block]) -> np.ndarray:
+        """The logits of a page of many blocks, STRETCH of which are vectors at a time."""
+        forward, out, state = np.zeros((len(page), HIDDEN), np.float32), np.zeros(len(page), np.float32), None
+        for at in range(0, len(page), STRETCH):
+            x = vectors(page, at, at + STRETCH)[:, None]
+            states, state = self._scan(x, np.ones(x.shape[:2], bool), "f", begin=state)
+            forward[at : at + STRETCH] = states[:, 0]
+        state = None
+        for at in reversed(range(0, len(page), STRETCH)):
+            x = vectors(page, at, at + STRETCH)[:, None]
+            states, state = self._scan(x, np.ones(x.shape[:2], bool), "b", begin=state)
+            both = np.concatenate([forward[at : at + STRETCH], states[:, 0]], axis=1)
+            out[at : at + STRETCH] = both @ self.weights["o"] + x[:, 0] @ self.weights["s"] + self.weights["c"]
+        return out
 
     def _back(self, x: np.ndarray, kept: list, dout: np.ndarray, d: str, grads: dict[str, np.ndarray]) -> None:
         w = self.weights
@@ -116,7 +147,8 @@ class Labeller:
 
     def gradients(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean log loss of the blocks that are there, and its gradients."""
-        logits, both, kf, kb = self.logits(x, there)
+        kept: dict[str, list] = {"f": [], "b": []}
+        logits, both = self.logits(x, there, kept)
         p = 1 / (1 + np.exp(-logits))
         n = max(1, int(there.sum()))
         loss = -np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-7, 1))[there].sum() / n
@@ -126,18 +158,21 @@ class Labeller:
         grads["s"] = np.einsum("tp,tps->s", dl, x)
         grads["c"][0] = dl.sum()
         dboth = dl[:, :, None] * self.weights["o"]
-        self._back(x, kf, dboth[:, :, :HIDDEN], "f", grads)
-        self._back(x, kb, dboth[:, :, HIDDEN:], "b", grads)
+        self._back(x, kept["f"], dboth[:, :, :HIDDEN], "f", grads)
+        self._back(x, kept["b"], dboth[:, :, HIDDEN:], "b", grads)
         return float(loss), grads
 
     def main_blocks(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which of its blocks are main text. Pages of like length are read together."""
         out = [np.zeros(len(p), bool) for p in pages]
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+        for i, page in enumerate(pages):
+            if len(page) > STRETCH:
+                out[i] = self._long_page(page) > 0
+        order = sorted((i for i in range(len(pages)) if 0 < len(pages[i]) <= STRETCH), key=lambda i: len(pages[i]))
         group: list[int] = []
         for k, i in enumerate(order):
             group.append(i)
-            if k + 1 == len(order) or len(group) * len(pages[order[k + 1]]) > 4096:
+            if k + 1 == len(order) or (len(group) + 1) * len(pages[order[k + 1]]) > STRETCH:
                 x, there = padded([vectors(pages[j]) for j in group])
                 logits = self.logits(x, there)[0]
                 for column, j in enumerate(group):
@@ -154,23 +189,33 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, there
 
 
-def train(pages: int = 480, epochs: int = 14, seed: int = 3) -> Labeller:
-    """Adam over pages of ``training_page``; the same seed gives the same weights."""
+def marked_blocks(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a training page, and which are main text."""
+    found = blocks(page)
+    main = np.array([MARK in b.text for b in found], bool)
+    for b in found:
+        b.text = b.text.replace(MARK, "") or "."
+    return found, main
+
+
+@cache
+def train(pages: int = 2400, epochs: int = 10, seed: int = 4) -> Labeller:
+    """Adam over pages of ``training_page``; the same seed gives the same weights. A process trains once."""
     rng = random.Random(seed)
     data = []
     for _ in range(pages):
-        found = blocks(training_page(rng))
-        labels = np.array([MARK in b.text for b in found], np.float32)
-        for b in found:
-            b.text = b.text.replace(MARK, "") or "."
-        data.append((vectors(found), labels))
+        found, main = marked_blocks(training_page(rng))
+        if found:
+            data.append((vectors(found), main.astype(np.float32)))
     model = Labeller.fresh(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
         rng.shuffle(data)
-        for at in range(0, pages, 32):
-            part = data[at : at + 32]
+        alike = [d for at in range(0, len(data), 400) for d in sorted(data[at : at + 400], key=lambda d: len(d[0]))]
+        batches = [alike[at : at + 40] for at in range(0, len(alike), 40)]  # pages of like length, so that little is padding
+        rng.shuffle(batches)
+        for part in batches:
             x, there = padded([v for v, _ in part])
             y = np.zeros(there.shape, np.float32)
             for k, (_, labels) in enumerate(part):
@@ -180,113 +225,5 @@ def train(pages: int = 480, epochs: int = 14, seed: int = 3) -> Labeller:
             for k, g in grads.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
-                model.weights[k] = model.weights[k] - np.float32(0.02 * 0.85**epoch) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+                model.weights[k] = model.weights[k] - np.float32(0.02 * 0.82**epoch) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
     return model
-
-
-#: A character that training pages write before main text; it is taken out before vectors are made.
-MARK = "\u2060"
-
-_SYLLABLES = "an be co da el fi go hu in ka lo mi ne or pu ra se ti un ve wo ya the ion ing est".split()
-#: Class words of what is and isn't main text. Fixed values.
-MAIN_WORDS = "content main article post entry story article-body post-content entry-content page-content text body-text".split()
-BOILER_WORDS = {
-    "menu": "nav menu navbar main-menu top-nav breadcrumb breadcrumbs pagination tabs".split(),
-    "header": "header site-header masthead topbar branding logo".split(),
-    "footer": "footer site-footer bottom copyright legal colophon".split(),
-    "sidebar": "sidebar aside side widget related recommended popular trending tags".split(),
-    "notice": "cookie cookies consent notice gdpr banner-notice alert popup modal privacy-notice".split(),
-    "advert": "ad ads advert advertisement sponsored promo banner ad-slot adsense".split(),
-    "form": "form search login signup newsletter subscribe contact-form".split(),
-    "comments": "comments comment comment-list replies discussion respond disqus comment-body".split(),
-    "share": "share social sharing follow buttons".split(),
-}
-_BOILER_TAGS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}
-
-
-def _words(rng: random.Random, n: int) -> list[str]:
-    style = rng.random()
-    words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
-    if style < 0.1:
-        return [w.upper() + rng.choice(["", "!!"]) for w in words]
-    if style < 0.2:
-        return [w + rng.choice(["###", "***", "%%%", "&amp;&amp;", ""]) for w in words]
-    if style < 0.3:
-        return [x for w in words for x in (w, "|")]
-    if style < 0.35:
-        return words[:1] * n
-    return words
-
-
-def _sentence(rng: random.Random, low: int, high: int, mark: str = "") -> str:
-    words = _words(rng, rng.randint(low, high))
-    return (mark + " ".join(words) + rng.choice([".", ".", "", "?"])).capitalize() if not mark else mark + " ".join(words) + rng.choice([".", ".", "", "?"])
-
-
-def _attributes(rng: random.Random, words: list[str]) -> str:
-    if not words:
-        return ""
-    value = rng.choice(words)
-    return f' {rng.choice(["class", "class", "id"])}="{value}"'
-
-
-def _boiler(rng: random.Random, kind: str) -> str:
-    tag = _BOILER_TAGS.get(kind)
-    named = tag is None or rng.random() < 0.5
-    outer = tag if tag and rng.random() < 0.7 else rng.choice(["div", "section", "div"])
-    mark = _attributes(rng, BOILER_WORDS[kind]) if named or outer != tag else ""
-    inner = []
-    if kind in ("menu", "share") or kind in ("sidebar", "footer") and rng.random() < 0.5:
-        items = "".join(f'<li><a href="/x">{_sentence(rng, 1, 3)}</a></li>' for _ in range(rng.randint(2, 7)))
-        inner.append(f"<ul>{items}</ul>")
-    if kind in ("form",):
-        inner.append(f"<label>{_sentence(rng, 1, 4)}</label><input name=q><button>{_sentence(rng, 1, 2)}</button>")
-    if kind == "comments":
-        inner += [f"<div{_attributes(rng, BOILER_WORDS[kind]) if rng.random() < 0.5 else ''}><p>{_sentence(rng, 2, 40)}</p></div>" for _ in range(rng.randint(1, 5))]
-    if not inner or rng.random() < 0.3:
-        text = _sentence(rng, 1, 40)
-        inner.append(rng.choice([text, f"<p>{text}</p>", f"<h3>{text}</h3>", f"&copy; {text} &middot; {_sentence(rng, 1, 8)}"]))
-    return f"<{outer}{mark}>{''.join(inner)}</{outer}>"
-
-
-def training_page(rng: random.Random) -> str:
-    """A page whose main text has MARK in every block."""
-    body = []
-    for kind in ("notice", "header", "menu"):
-        if rng.random() < {"menu": 0.8}.get(kind, 0.3):
-            body.append(_boiler(rng, kind))
-    if rng.random() < 0.5:
-        body.append(f"<!-- ad {rng.randint(0, 99)} -->" + _boiler(rng, "advert"))
-    side = _boiler(rng, "sidebar") if rng.random() < 0.35 else ""
-    outer, mark = ("article", "") if rng.random() < 0.5 else (rng.choice(["div", "main", "section", "article"]), _attributes(rng, MAIN_WORDS))
-    parts = []
-    if rng.random() < 0.85:
-        parts.append(f"<h1>{_sentence(rng, 1, 10, MARK)}</h1>")
-    for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 7, 10, 16])):
-        text = _sentence(rng, 1, rng.choice([1, 3, 12, 60, 120]), MARK)
-        shape = rng.random()
-        if shape < 0.65:
-            parts.append(f"<p>{text}</p>")
-        elif shape < 0.78:
-            parts.append(f"<p><b>{text}<br>")
-        elif shape < 0.85:
-            parts.append(f"<h2>{text}</h2>")
-        elif shape < 0.9:
-            parts.append(f"<ul><li>{text}</li><li>{_sentence(rng, 1, 20, MARK)}</li></ul>")
-        elif shape < 0.95:
-            parts.append(f"<blockquote>{text}</blockquote>")
-        else:
-            parts.append(f'<p><a href="/y">{text}</a> {_sentence(rng, 1, 20, MARK)}</p>')
-        if rng.random() < 0.05:
-            parts.append(_boiler(rng, rng.choice(["advert", "share", "form", "notice"])))
-    if rng.random() < 0.15:
-        parts.append(_boiler(rng, rng.choice(["comments", "share", "sidebar"])))
-    main = f"<{outer}{mark}>{''.join(parts)}</{outer}>"
-    body.append(side + main if rng.random() < 0.5 else main + side)
-    for kind in ("comments", "form", "advert", "share", "footer"):
-        if rng.random() < {"footer": 0.8}.get(kind, 0.2):
-            body.append(_boiler(rng, kind))
-    inside = "".join(body)
-    for _ in range(rng.choice([0, 0, 1, 2])):
-        inside = f"<div{rng.choice(['', ' class=container', ' id=page', ' class=wrapper'])}>{inside}</div>"
-    return f"<!DOCTYPE html><html><head><title>x</title></head><body>{inside}</body></html>"
