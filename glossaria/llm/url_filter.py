@@ -1,7 +1,7 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams of host and path.
 
 Everything runs as Spark expressions. The model is trained on a small labelled table of URLs with the DataFrame
-API's own logistic regression; its weights, of a fixed number, go into the plan as one literal array.
+API's own logistic regression; its weights, of a fixed number, go into the plan as one literal.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict that the
 model gives to an empty URL. Every row is returned, repeated rows too. Extra columns are not looked at.
@@ -9,11 +9,16 @@ model gives to an empty URL. Every row is returned, repeated rows too. Extra col
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, Normalizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import CountVectorizer, Normalizer, VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .url_table import labelled_urls
+
 #: (host, path prefix, verdict). Fixed values.
 RULES = [
     ("net", "/", "block"),
@@ -22,24 +27,8 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 
-#: Labelled URLs that the model learns from. Words of hosts that sell, bet or track, and of others.
-BLOCKED_NAMES = """casino casino-royal online-casino win-casino bets best-bets bet-now sport-bets
-poker poker-online jackpot slots free-slots lottery adult adult-video xxx xxx-tube porn porn-hub sex-club
-sex-cam hot-cams buy-pills pills pharma-pills viagra cialis-shop spam link-farm seo-spam spam-mail
-ads ad-server track-ads tracker click-track adclick popup-ads banner-ads payday payday-loan quick-loans
-crypto-win get-rich free-money free-iphone replica-watch warez crack-keys keygen torrent-crack""".split()
-ALLOWED_NAMES = """news daily-news weather library school college university museum theatre garden kitchen recipes
-travel maps history science physics biology chemistry mathematics music orchestra painting gallery city council
-health hospital clinic research journal archive books reading writing grammar language dictionary encyclopedia
-sports football cycling running swimming forum community help support docs manual developer software hardware
-engineering bridge railway airport harbour mountain river forest ocean island village market bakery coffee
-theory gathering ration nation station mention whether other neither north south theta thatch
-hatchery chateau chatham whatever weather-station estate thistle thesis theses synthetic threads threshold matter
-heather leather feather tether brother mother father anthem rhythm month worth earth health wealth strength""".split()
-PREFIXES, ENDINGS = ["", "www.", "m.", "blog."], ["example.com", "example.org", "example.net"]
-PATHS = ["/en/12", "/de/345.html", "/fr/678?page=2&ref=x", "/es/901#top", "/en/55/", "/index.html", "/fr/7", ""]
-
-DIMENSIONS, SIZES = 4096, (3, 4, 5)
+#: Buckets of host n-grams, and as many of path n-grams; sizes of n-grams.
+DIMENSIONS, SIZES = 1 << 14, (3, 4, 5)
 
 
 def host(url: Column) -> Column:
@@ -64,50 +53,65 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*(F.when(cond, F.lit(name)) for cond, name in fits))
 
 
-def buckets(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Buckets of all character n-grams of host and path, repeats included."""
+def buckets(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """The distinct buckets of all character n-grams of ``text`` between two marks."""
+    marked = F.concat(F.lit("^"), F.lower(text), F.lit("$"))
+
+    def grams(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(marked.substr(i, F.lit(size))), F.lit(dimensions)).cast("int"))
+
+    return F.array_distinct(F.concat(*(grams(n) for n in SIZES)))
+
 
-    def grams(text: Column, size: int, salt: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(salt), text.substr(i, F.lit(size))), F.lit(dimensions)).cast("int"))
+@dataclass
+class UrlModel:
+    """Weights of the buckets of hosts and paths, and the intercept. Of a fixed size, so it goes into plans as text."""
 
-    marked = F.concat(F.lit("^"), host, F.lit("$"))
-    return F.concat(*(grams(marked, n, 0) for n in SIZES), *(grams(path, n, 1) for n in SIZES))
+    hosts: list[float]
+    paths: list[float]
+    intercept: float
 
+    def score(self, host: Column, path: Column) -> Column:
+        """Likelihood of block. Each part adds its buckets' weights, divided by the root of their number."""
 
-def labelled(spark: SparkSession) -> DataFrame:
-    """The labelled URL table: every name under some prefix, ending and path; label 1: block."""
-    rows = []
-    for label, names in ((1.0, BLOCKED_NAMES), (0.0, ALLOWED_NAMES)):
-        for i, name in enumerate(names):
-            for j in range(4):
-                k = i + 3 * j
-                rows.append((f"http{'s' * (k % 2)}://{PREFIXES[(i + j) % 4]}{name}.{ENDINGS[k % 3]}{PATHS[k % 8]}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+        def part(text: Column, weights: list[float]) -> Column:
+            found = buckets(text, len(weights))
+            table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
+            return F.aggregate(found, F.lit(0.0), lambda total, i: total + F.get(table, i)) / F.sqrt(F.size(found))
 
+        return 1 / (1 + F.exp(-(part(host, self.hosts) + part(path, self.paths) + F.lit(self.intercept))))
 
-def train(spark: SparkSession, dimensions: int = DIMENSIONS) -> tuple[list[float], float]:
-    """Weights of the buckets and the intercept, from the labelled table."""
-    found = labelled(spark).select("label", buckets(host(F.col("url")), path(F.col("url")), dimensions).cast("array<string>").alias("b")).coalesce(1).cache()
-    counter = CountVectorizer(inputCol="b", outputCol="counts", vocabSize=dimensions).fit(found)
-    shares = Normalizer(inputCol="counts", outputCol="features", p=1.0).transform(counter.transform(found))
+
+def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> UrlModel:
+    """Learns from rows (url, label); label 1: block."""
+    url = F.col("url")
+    found = labelled.select("label", *(buckets(part, dimensions).cast("array<string>").alias(n) for n, part in (("h", host(url)), ("p", path(url))))).coalesce(1).cache()
+    counters = {n: CountVectorizer(inputCol=n, outputCol=f"{n}_all", vocabSize=dimensions, binary=True).fit(found) for n in "hp"}
+    shares = found
+    for n, counter in counters.items():
+        shares = Normalizer(inputCol=f"{n}_all", outputCol=f"{n}_part", p=2.0).transform(counter.transform(shares))
+    shares = VectorAssembler(inputCols=["h_part", "p_part"], outputCol="features").transform(shares)
     model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(shares)
     found.unpersist()
-    weights = [0.0] * dimensions
-    for bucket, weight in zip(counter.vocabulary, model.coefficients, strict=True):
-        weights[int(bucket)] = round(float(weight), 6)
-    return weights, float(model.intercept)
+    weights, learned = [[0.0] * dimensions for _ in "hp"], iter(model.coefficients.toArray().tolist())
+    for part, counter in zip(weights, counters.values(), strict=True):
+        for bucket, weight in zip(counter.vocabulary, learned, strict=False):
+            part[int(bucket)] = round(weight, 5)
+    return UrlModel(*weights, float(model.intercept))
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the model's score (likelihood of block) for every row."""
-    weights, intercept = train(pages.sparkSession)
+def url_parts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """page_id, host, path and the rule that fits, for every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     rows = rows.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("rule", rule(F.col("host"), F.col("path"), rules)).withColumn("b", buckets(F.col("host"), F.col("path")))
-    table = F.lit(weights)
-    margin = F.aggregate("b", F.lit(0.0), lambda total, i: total + F.get(table, i)) / F.size("b") + F.lit(intercept)
-    rows = rows.withColumn("score", 1 / (1 + F.exp(-margin)))
+    return rows.withColumn("rule", rule(F.col("host"), F.col("path"), rules))
+
+
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, model: UrlModel | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score (likelihood of block) for every row."""
+    judge = model or train(labelled_urls(pages.sparkSession))
+    rows = url_parts(pages, id_col, url_col, rules).withColumn("score", judge.score(F.col("host"), F.col("path")))
     by_rule = F.create_map(*(F.lit(x) for h, p, v in rules for x in (h + p, v)))
     verdict = F.coalesce(F.element_at(by_rule, F.col("rule")), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

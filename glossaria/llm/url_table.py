@@ -1,0 +1,91 @@
+"""The small labelled table that the URL model learns from: hosts of many names, endings and paths.
+
+Names are made of topic words by rules that both labels share, so that only the topics tell them apart; words of harmless
+names that contain a blocked word stand among the allowed ones. Nothing is taken from the tables that it is applied to.
+"""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Topics of hosts that sell, bet, track, pirate or show what corpora leave out.
+BLOCKED = """casino poker bet bets betting gambling gamble jackpot slots slot lottery roulette blackjack bingo spins wager porn porno
+xxx sex sexy adult nude nudes escort escorts camgirls livecams hentai erotic fetish milf viagra cialis pills pharma steroids
+replica warez crack cracked keygen torrent torrents pirate piratebay nulled serialkeys hacktool cheats phishing malware ads
+adserver adclick adtrack doubleclick tracker tracking popup popads banners affiliate spam spammer linkfarm backlinks seo
+payday loans quickloan cashadvance getrich freemoney freegift giveaway hookup singles webcam weightloss dietpills crypto
+doubler airdrop clickbait win winner prize cheap""".split()
+#: Topics of other hosts, with words that contain or resemble a blocked one.
+ALLOWED = """news weather library school college university museum theatre garden kitchen recipes travel maps history science
+physics biology chemistry mathematics music orchestra painting gallery city council health hospital clinic research journal
+archive books reading writing grammar dictionary encyclopedia sports football cycling running swimming forum community help
+support docs manual developer software hardware engineering bridge railway airport harbour mountain river forest ocean island
+village market bakery coffee essex sussex middlesex sextant unisex pillsbury pillow caterpillar alphabet better betty elizabeth
+bethlehem tibet abetter adobe address adidas madrid canada nomads readers shadow leads analytics classics essays casings cassini
+occasion pokemon pancake spokane slotcar crackers firecracker cracow spamalot seoul museology torrential pirates-history
+adulthood scunthorpe cockpit peacock therapist therapy pharmacology farm loansome balloons trackfield racetrack tracks
+cryptography cryptic singleton webcams-nature freedom freelance cheatham matchbox hacker-news lifehacks escorting-ship""".split()
+#: Well-known hosts, blocked and allowed.
+BLOCKED_HOSTS = """thepiratebay.org pornhub.com xvideos.com bet365.com pokerstars.com doubleclick.net 1xbet.com 888casino.com
+adultfriendfinder.com popads.net taboola.com xhamster.com williamhill.com partypoker.com kickass.to 1337x.to googlesyndication.com
+rarbg.to betfair.com unibet.com ladbrokes.com onlyfans.com chaturbate.com adnxs.com propellerads.com clickbank.net""".split()
+ALLOWED_HOSTS = """github.com wikipedia.org bbc.co.uk arxiv.org stackoverflow.com medium.com nytimes.com theguardian.com nature.com
+mit.edu stanford.edu ox.ac.uk essex.ac.uk sussex.ac.uk python.org apache.org mozilla.org debian.org gnu.org w3.org ietf.org nasa.gov
+nih.gov who.int un.org europa.eu bundestag.de spiegel.de zeit.de lemonde.fr elpais.es repubblica.it asahi.com cnn.com reuters.com
+economist.com imdb.com goodreads.com archive.org gutenberg.org wordpress.org gitlab.com docker.com kernel.org sciencedirect.com
+springer.com jstor.org acm.org ieee.org britannica.com merriam-webster.com pillsbury.com adobe.com adidas.com amazon.com apple.com
+microsoft.com ikea.com lego.com nintendo.com""".split()
+#: What surrounds topics in names, and endings and paths, of either label.
+FILLERS = "my the best top online world web home city hub zone 24 365 pro club daily live shop center group today info plus new big".split()
+PREFIXES = ["", "", "", "www.", "www.", "m.", "blog.", "en.", "cdn."]
+ENDINGS = "com com com org net co.uk de fr es it io edu info eu blogspot.com wordpress.com example.com example.org example.net".split()
+CHEAP_ENDINGS = "xyz top click bid win loan ru to biz cc".split()
+PATHS = ["", "/", "/{n}", "/en/{n}", "/de/{n}.html", "/index.html", "/{w}/{n}", "/{y}/{m}/{w}-{w}", "/wiki/{w}", "/about", "/{w}", "/{w}-{w}-{w}.html", "/news/{w}", "/article/{n}/{w}", "/docs/{w}.html", "/p/{n}/", "/forum/thread-{n}", "/images/{w}.jpg", "/{w}.php"]
+BLOCKED_PATHS = ["/click/{n}", "/track/{n}", "/go/{b}", "/{b}", "/{b}-{b}", "/{b}/{n}", "/out.php", "/free-{b}.html", "/{b}-bonus", "/buy-{b}-online"]
+
+
+def _made_up(rng: random.Random) -> str:
+    """A name that means nothing."""
+    letters = "bcdfghjklmnprstvwyz"
+    return "".join(rng.choice(["", rng.choice(letters), rng.choice(letters) + rng.choice("hlrst")]) + rng.choice("aeiou") + rng.choice(["", rng.choice("nrstlmdh")]) for _ in range(rng.randint(2, 4)))
+
+
+def _name(rng: random.Random, word: str) -> str:
+    other = rng.choice(FILLERS) if rng.random() < 0.6 else _made_up(rng)
+    return rng.choice([word, word, f"{word}{other}", f"{other}{word}", f"{word}-{other}", f"{other}-{word}", f"{word}{rng.randint(1, 999)}"])
+
+
+def _path(rng: random.Random, blocked: bool) -> str:
+    word = lambda: rng.choice(ALLOWED) if rng.random() < 0.6 else _made_up(rng)
+    shape = rng.choice(BLOCKED_PATHS if blocked else PATHS)
+    for mark, value in (("{n}", lambda: str(rng.randint(1, 9999))), ("{y}", lambda: str(rng.randint(1996, 2026))), ("{m}", lambda: f"{rng.randint(1, 12):02}"), ("{w}", word), ("{b}", lambda: rng.choice(BLOCKED))):
+        while mark in shape:
+            shape = shape.replace(mark, value(), 1)
+    return shape + rng.choice(["", "", "", f"?page={rng.randint(1, 9)}", "#top", "?q=" + _made_up(rng)])
+
+
+def made_urls(count: int, seed: int, hosts: bool = True) -> list[tuple[str, float]]:
+    """``count`` URLs by the rules, half of them blocked, and the well-known ``hosts``."""
+    rng, rows = random.Random(seed), []
+    for i in range(count):
+        blocked = i % 2 == 0
+        kind = rng.random()
+        if blocked:
+            name = _name(rng, rng.choice(BLOCKED)) if kind < 0.88 else rng.choice([_made_up(rng), _name(rng, rng.choice(ALLOWED))])
+            ending = rng.choice(CHEAP_ENDINGS if rng.random() < 0.3 else ENDINGS)
+            path = _path(rng, kind >= 0.88 or rng.random() < 0.15)
+        else:
+            name = _name(rng, rng.choice(ALLOWED)) if kind < 0.55 else _made_up(rng) + rng.choice(["", "", "-" + _made_up(rng)])
+            ending = rng.choice(CHEAP_ENDINGS if rng.random() < 0.04 else ENDINGS)
+            path = _path(rng, False)
+        rows.append((f"http{rng.choice(['', 's'])}://{rng.choice(PREFIXES)}{name}.{ending}{path}", float(blocked)))
+    for label, known in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS)) if hosts else ():
+        rows += [(f"https://{rng.choice(['', 'www.'])}{h}{_path(rng, False)}", label) for h in known for _ in range(4)]
+    return rows
+
+
+def labelled_urls(spark: SparkSession, count: int = 8000, seed: int = 1) -> DataFrame:
+    """The labelled table: url, label; 1: block."""
+    return spark.createDataFrame(made_urls(count, seed), "url string, label double")
