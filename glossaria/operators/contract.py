@@ -1,6 +1,6 @@
 """What the prompt asks of a response, as checks on notes. None of them drops a row."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import sentence_list
@@ -12,10 +12,17 @@ def sentence_count_ok(sentences: Column, expected: int = SENTENCES) -> Column:
     return F.coalesce(F.size(sentence_list(sentences)) == expected, F.lit(False))
 
 
-def bold_ok(sentences: Column) -> Column:
-    """Whether every sentence emboldens something."""
-    return F.coalesce(F.forall(sentence_list(sentences), lambda s: s.contains("<strong>")), F.lit(False))
+def bold_ok(sentences: Column, word: Column) -> Column:
+    """Whether there are sentences and each emboldens the word itself, whatever its capitals."""
+    items, bold = sentence_list(sentences), F.concat(F.lit("<strong>"), F.lower(word), F.lit("</strong>"))
+    return F.coalesce((F.size(items) > 0) & F.forall(items, lambda s: F.lower(s).contains(bold)), F.lit(False))
 
 
 def pronounced(pronunciation: Column) -> Column:
     return F.coalesce(pronunciation, F.lit("")) != ""
+
+
+def checked(notes: DataFrame) -> DataFrame:
+    """``notes`` with four_sentences, all_bold and has_pronunciation."""
+    sentences = F.col("Sentences")
+    return notes.withColumns({"four_sentences": sentence_count_ok(sentences), "all_bold": bold_ok(sentences, F.col("Word")), "has_pronunciation": pronounced(F.col("Pronunciation"))})

@@ -15,23 +15,35 @@ from glossaria.schema import FIELDS, WORD_DEFINITION
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _wrapped(response: Column, element: str) -> Column:
-    """The response within one more array: text after it, or a root that is no array, can't pass."""
-    return F.from_json(F.concat(F.lit("["), response, F.lit("]")), f"array<array<{element}>>", _STRICT)
+def json_array(text: Column, element: str) -> Column:
+    """The elements of a text that is one JSON array and nothing else; null where it isn't.
+
+    Spark's parser stops at the end of the first value. So the text is read twice: as the one element of an array, which
+    shows a second value or an early ``}``, and as the one member of an object, which shows an early ``]``. What both
+    accept can have nothing but blanks after it.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<array<{element}>>", _STRICT)
+    member = F.from_json(F.concat(F.lit('{"a":'), text, F.lit("}")), f"a array<{element}>", _STRICT)
+    return F.when((F.size(listed) == 1) & member["a"].isNotNull(), F.get(listed, F.lit(0)))
+
+
+def json_rows(rows: DataFrame, column: str, element: str, carry: tuple[str, ...]) -> DataFrame:
+    """carry, pos and item for each element of the JSON arrays in ``column``; texts that are none give no rows."""
+    return rows.select(*carry, F.posexplode(json_array(F.col(column), element)).alias("pos", "item"))
 
 
 @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
 def _by_python(responses: pd.Series) -> pd.Series:
-    """json.loads; null where it or the array of objects fails. Values that are no strings are written as JSON."""
+    """json.loads; null where it or the array of objects and nulls fails. Values that are no strings are written as JSON."""
 
     def one(text):
         try:
             found = json.loads(text)
         except (TypeError, ValueError):
             return None
-        if not isinstance(found, list) or not all(isinstance(x, dict) for x in found):
+        if not isinstance(found, list) or not all(x is None or isinstance(x, dict) for x in found):
             return None
-        return [{k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in x.items()} for x in found]
+        return [x and {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in x.items()} for x in found]
 
     return responses.map(one)
 
@@ -39,21 +51,23 @@ def _by_python(responses: pd.Series) -> pd.Series:
 def parsed(responses: DataFrame, parser: str = "native", carry: tuple[str, ...] = ("batch_id",)) -> DataFrame:
     """One row for each element of each response, and one for each response that can't be parsed.
 
-    Columns: ``carry``, pos, the four members, and problem: null, ``document``, ``element`` or the missing members.
+    Columns: ``carry``, pos, the four members, problem: null, ``document``, ``element`` or the missing members, and raw:
+    the element as JSON, or the whole response where it can't be parsed.
     ``parser``: native, in Spark expressions, or python, exactly json.loads.
     """
     if parser == "python":
         items = responses.withColumn("_keys", _by_python("response")).withColumn("_ok", F.col("_keys").isNotNull())
         both = F.transform("_keys", lambda m: F.struct(m.alias("m"), F.struct(*(F.element_at(m, f).alias(f) for f in FIELDS)).alias("d")))
     else:
-        items = responses.withColumn("_maps", _wrapped(F.col("response"), "map<string,string>")).withColumn("_structs", _wrapped(F.col("response"), f"struct<{WORD_DEFINITION}>"))
-        items = items.withColumn("_ok", F.coalesce((F.size("_maps") == 1) & F.get("_maps", F.lit(0)).isNotNull(), F.lit(False)))
-        both = F.zip_with(F.get("_maps", F.lit(0)), F.get("_structs", F.lit(0)), lambda m, d: F.struct(m.alias("m"), d.alias("d")))
+        items = responses.withColumn("_maps", json_array(F.col("response"), "map<string,string>")).withColumn("_structs", json_array(F.col("response"), f"struct<{WORD_DEFINITION}>"))
+        items = items.withColumn("_ok", F.col("_maps").isNotNull())
+        both = F.zip_with("_maps", "_structs", lambda m, d: F.struct(m.alias("m"), d.alias("d")))
     failed = F.array(F.struct(F.lit(None).cast("map<string,string>").alias("m"), F.lit(None).cast(f"struct<{WORD_DEFINITION}>").alias("d")))
-    rows = items.select(*carry, "_ok", F.posexplode(F.when(F.col("_ok"), both).otherwise(failed)).alias("pos", "_e"))
+    rows = items.select(*carry, "_ok", F.col("response").alias("_whole"), F.posexplode(F.when(F.col("_ok"), both).otherwise(failed)).alias("pos", "_e"))
     missing = F.array_join(F.filter(F.array(*map(F.lit, FIELDS)), lambda f: ~F.coalesce(F.map_contains_key("_e.m", f), F.lit(False))), ",")
     problem = F.when(~F.col("_ok"), "document").when(F.col("_e.m").isNull(), "element").when(missing != "", F.concat(F.lit("missing "), missing))
-    return rows.select(*carry, "pos", *(F.col(f"_e.d.{f}").alias(f) for f in FIELDS), problem.alias("problem"))
+    raw = F.when(~F.col("_ok"), F.col("_whole")).otherwise(F.coalesce(F.to_json("_e.m"), F.lit("null")))
+    return rows.select(*carry, "pos", *(F.col(f"_e.d.{f}").alias(f) for f in FIELDS), problem.alias("problem"), raw.alias("raw"))
 
 
 def notes(responses: DataFrame, mode: str = "failfast", parser: str = "native", carry: tuple[str, ...] = ("batch_id",)) -> DataFrame:
@@ -69,8 +83,8 @@ def notes(responses: DataFrame, mode: str = "failfast", parser: str = "native",
 
 
 def rejects(responses: DataFrame, parser: str = "native", carry: tuple[str, ...] = ("batch_id",)) -> DataFrame:
-    """What permissive notes leave out: carry, pos and reason."""
-    return parsed(responses, parser, carry).where("problem is not null").select(*carry, "pos", F.col("problem").alias("reason"))
+    """What permissive notes leave out, so that it can be repaired: carry, pos, reason and raw."""
+    return parsed(responses, parser, carry).where("problem is not null").select(*carry, "pos", F.col("problem").alias("reason"), "raw")
 
 
 def accumulated(batches: list[DataFrame], accumulate: bool = True) -> DataFrame:

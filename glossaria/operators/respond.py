@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossaria.sources.files import required_setting
+
 Provider = Callable[[str], str]
+_ANSWERS = "prompt_sha string, response string"
+#: Prompts that one task asks; a lost task asks for no more than these again.
+CALLS = 100
 
 
 def compose(requests: DataFrame, prompt: str, words: str = "words") -> DataFrame:
@@ -17,21 +24,41 @@ def compose(requests: DataFrame, prompt: str, words: str = "words") -> DataFrame
     return requests.withColumn("model_input", full).withColumn("prompt_sha", F.sha2(full, 256))
 
 
-def respond(composed: DataFrame, make_provider: Callable[[], Provider], path: str) -> DataFrame:
-    """Calls the provider once for each row and writes the responses to ``path`` before anything reads them.
+def with_key(setting: str, make: Callable[[str], Provider]) -> Callable[[], Provider]:
+    """A maker of providers that get the key from the driver's environment; a missing setting is an error at once."""
+    key = required_setting(setting)
+    return lambda: make(key)
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt_sha, response) that ``respond`` has written to ``path`` so far."""
+    try:
+        return spark.read.schema(_ANSWERS).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], _ANSWERS)
+
+
+def respond(composed: DataFrame, make_provider: Callable[[], Provider], path: str, calls: int = CALLS) -> DataFrame:
+    """``composed`` with response. Each prompt that ``path`` has no answer to is asked for once, and its answer is written
+    there before anything reads it.
 
-    ``make_provider`` runs once in each partition, so that a client is shared by its rows. Without the written table
-    a retried task or a second action would call again. A row whose input is null gets a null response.
+    ``make_provider`` runs once in each task, so that a client is shared by its prompts. Equal prompts share an answer;
+    a null input gets a null response. A run that broke off goes on where it stopped. A task lost on its way asks for its
+    own ``calls`` prompts again: only answers of tasks that ended are kept.
     """
+    spark = composed.sparkSession
+    prompts = composed.where("model_input is not null").groupBy("prompt_sha").agg(F.min("model_input").alias("model_input"))
+    new = prompts.join(answers(spark, path), "prompt_sha", "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make_provider()
         for rows in batches:
-            yield rows.assign(response=[None if x is None else provider(x) for x in rows["model_input"]])
+            yield pd.DataFrame({"prompt_sha": rows["prompt_sha"], "response": [provider(x) for x in rows["model_input"]]})
 
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in composed.schema]
-    composed.mapInPandas(call, ", ".join([*columns, "response string"])).write.mode("overwrite").parquet(path)
-    return composed.sparkSession.read.parquet(path)
+    count = new.count()
+    if count:
+        new.repartition(math.ceil(count / calls), "prompt_sha").mapInPandas(call, _ANSWERS).write.mode("append").parquet(path)
+    return replay(composed, answers(spark, path))
 
 
 def replay(composed: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -1,21 +1,40 @@
 """Which sentence a card shows, from the order of its fronts and backs."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import seeded_pick
 
 
+def _bucket(views: DataFrame, column: str) -> Column:
+    """Stretches of a day, or of 86,400 of a number, in the order of ``column``."""
+    return F.date_trunc("day", F.col(column)) if views.schema[column].dataType.typeName().startswith("timestamp") else F.floor(F.col(column) / 86_400)
+
+
 def epochs(views: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Adds epoch to rows with side front or back: how many backs of the key came before. A back shows its front's
-    sentence and then forgets it, so that a new epoch begins after it."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    backs = F.sum(F.when(F.col("side") == "back", 1).otherwise(0)).over(before)
-    return views.withColumn("epoch", F.coalesce(backs, F.lit(0)).cast("long"))
+    sentence and then forgets it, so that a new epoch begins after it.
+
+    Counts run within a stretch of the first order column and start from the sums of the stretches before, so that no
+    task holds all views of a key.
+    """
+    back = F.when(F.col("side") == "back", 1).otherwise(0)
+    placed = views.withColumn("_stretch", _bucket(views, order[0]))
+    sums = placed.groupBy(key, "_stretch").agg(F.sum(back).alias("_backs"))
+    earlier = F.sum("_backs").over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(key).alias("_key"), F.col("_stretch").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.sum(back).over(Window.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    counted = placed.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    joined = counted.join(sums, F.col(key).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_of")))
+    return joined.withColumn("epoch", (F.col("_before") + F.col("_inside")).cast("long")).select(*views.columns, "epoch")
 
 
-def shown(views: DataFrame, notes: DataFrame, key: str = "key", seed: str = "") -> DataFrame:
-    """Joins views with each key's sentence_list and adds chosen, the sentence of its epoch. Keys without views and
-    views without notes give no rows; a key has one note here, keyed state in a stream takes several."""
-    joined = epochs(views, key).join(notes, key)
-    return joined.withColumn("chosen", seeded_pick(F.col("sentence_list"), F.concat_ws("#", F.lit(seed), F.col(key).cast("string"), F.col("epoch").cast("string"))))
+def shown(views: DataFrame, notes: DataFrame, key: str = "key", seed: str = "", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Joins views with each key's sentence_list and adds chosen, the sentence of its epoch, which the first view of the
+    epoch draws. Keys without views and views without notes give no rows; a key has one note here, keyed state in a
+    stream takes several."""
+    placed = epochs(views, key, order)
+    draws = placed.groupBy(key, "epoch").agg(F.min_by("event_id", F.struct(*order)).alias("_drawn"))
+    joined = placed.join(draws, [key, "epoch"]).join(notes, key)
+    by = F.concat_ws("#", F.lit(seed), F.col(key).cast("string"), F.col("_drawn").cast("string"))
+    return joined.withColumn("chosen", seeded_pick(F.col("sentence_list"), by)).drop("_drawn")

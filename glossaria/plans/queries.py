@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossaria.functions.cards import back_html, front_html
-from glossaria.functions.text import needs_choice, seeded_pick, sentence_list, state_key
-from glossaria.operators.contract import bold_ok, sentence_count_ok
-from glossaria.operators.parse import accumulated, notes, parsed
-from glossaria.operators.respond import compose, replay
-from glossaria.operators.state import epochs
-from glossaria.schema import FIELDS, LOG_BREAK, TEMPLATE_NAME
-from glossaria.sources.sinks import log_text
+from glossaria.functions.text import needs_choice, random_pick, sentence_list, state_key
+from glossaria.operators.cards import cards
+from glossaria.operators.contract import checked
+from glossaria.operators.parse import accumulated, json_rows, notes, parsed, rejects
+from glossaria.operators.respond import compose, replay, respond
+from glossaria.operators.state import epochs, shown
+from glossaria.plans.run import make_deck_from_files
+from glossaria.schema import DECK_ID, DECK_NAME, FIELDS, NOTE_TYPE_ID, NOTE_TYPE_NAME, TEMPLATE_NAME
+from glossaria.sources.files import read_log, read_package, whole_text
+from glossaria.sources.scratch import fresh_folder
+from glossaria.sources.sinks import append_log, write_package
+from glossaria.streaming.session_state import stream_choices
 
 PROMPT = "Define each of the following words and answer as a JSON array.\nWords:\n\n"
 
@@ -31,7 +37,11 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _definitions(spark, sf_dir).select("p_partkey", F.to_json(F.array(F.struct(*FIELDS))).alias("response"))
+    """A response for every part: its definition, for some a second meaning of the same word, for some the first again."""
+    one = F.struct(*FIELDS)
+    other = F.struct("Word", "Sentences", F.concat(F.lit("other "), "Meaning").alias("Meaning"), "Pronunciation")
+    objects = F.when(F.col("p_size") % 6 == 0, F.array(one, other, one)).when(F.col("p_size") % 2 == 0, F.array(one, other)).otherwise(F.array(one))
+    return _definitions(spark, sf_dir).select("p_partkey", F.to_json(objects).alias("response"))
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,19 +49,27 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DEFINITIONS_SQL = r"""
-WITH raw AS (
-  SELECT p_partkey, p_size, p_name AS "Word", p_type AS "Meaning",
+WITH one AS (
+  SELECT p_partkey, p_size, 0 AS pos, p_name AS "Word", p_type AS "Meaning",
     CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS "Pronunciation",
     CASE WHEN p_size % 4 = 0 THEN '' ELSE ' ' || p_name || chr(9) || '|' || p_type || '||<strong>' || p_name || '</strong> ' || p_brand
       || CASE WHEN p_size % 2 = 0 THEN '|a <strong>b</strong>' ELSE '' END END AS "Sentences"
   FROM part),
+raw AS (
+  SELECT * FROM one
+  UNION ALL SELECT * REPLACE (1 AS pos, 'other ' || "Meaning" AS "Meaning") FROM one WHERE p_size % 2 = 0
+  UNION ALL SELECT * REPLACE (2 AS pos) FROM one WHERE p_size % 6 = 0),
 defs AS (
   SELECT *, list_filter(list_transform(string_split("Sentences", '|'),
     lambda x: regexp_replace(x, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')), lambda x: x <> '') AS items FROM raw),
 picked AS (
   SELECT *, CASE WHEN len(items) > 0 THEN items[1 + ('0x' || substr(md5("Word"), 1, 8))::BIGINT % len(items)] END AS chosen FROM defs),
 fronts AS (
-  SELECT *, '<div class="sentence" style="text-align: center;">' || coalesce(chosen, '') || '</div>' AS front_html FROM picked)
+  SELECT *, '<div class="sentence" style="text-align: center;">' || coalesce(chosen, '') || '</div>' AS front_html FROM picked),
+backs AS (
+  SELECT *, '<div style="text-align: center;">' || chr(10) || front_html || chr(10) || '<hr>' || chr(10)
+    || CASE WHEN "Pronunciation" <> '' THEN '<div class="notes"><i>' || "Pronunciation" || '</i></div>' || chr(10) ELSE '' END
+    || '<div class="meaning">' || "Meaning" || '</div>' || chr(10) || '</div>' AS back_html FROM fronts)
 """
 
 
@@ -60,8 +78,8 @@ def prompt_compose(spark, sf_dir):
 
 
 def json_explode_events(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").select("event_id", F.from_json(F.concat(F.lit("["), "props", F.lit("]")), "array<struct<k:bigint>>").alias("items"))
-    return events.select("event_id", F.posexplode("items").alias("pos", "item")).select("event_id", "pos", F.col("item.k").alias("k"))
+    events = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), "props", F.lit("]")).alias("items"))
+    return json_rows(events, "items", "struct<k:bigint>", ("event_id",)).select("event_id", "pos", F.col("item.k").alias("k"))
 
 
 def notes_from_response(spark, sf_dir):
@@ -73,13 +91,15 @@ def sentence_split(spark, sf_dir):
     return items.select("doc_id", F.posexplode("items").alias("pos", "sentence"))
 
 
-def _chosen(spark, sf_dir):
-    items = _notes(spark, sf_dir).withColumn("sentence_list", sentence_list(F.col("Sentences")))
-    return items.withColumn("chosen", seeded_pick(F.col("sentence_list"), F.col("Word")))
+def sentence_choice(spark, sf_dir):
+    return cards(_notes(spark, sf_dir)).select("p_partkey", "pos", "chosen")
 
 
-def sentence_choice(spark, sf_dir):
-    return _chosen(spark, sf_dir).select("p_partkey", "chosen")
+def random_choice(spark, sf_dir):
+    """Whether a random pick is one of the sentences, or none where there is none: the pick itself differs in each run."""
+    items = _definitions(spark, sf_dir).withColumn("items", sentence_list(F.col("Sentences"))).withColumn("pick", random_pick(F.col("items")))
+    member = F.coalesce(F.array_contains("items", F.col("pick")), F.size("items") == 0)
+    return items.select("p_partkey", member.alias("member"))
 
 
 def sentence_membership(spark, sf_dir):
@@ -93,12 +113,11 @@ def state_key_plain_text(spark, sf_dir):
 
 
 def front_render(spark, sf_dir):
-    return _chosen(spark, sf_dir).select("p_partkey", "Word", front_html(F.col("chosen")).alias("front_html"))
+    return cards(_notes(spark, sf_dir)).select("p_partkey", "pos", "Word", "front_html")
 
 
 def back_render(spark, sf_dir):
-    front = _chosen(spark, sf_dir).withColumn("front_html", front_html(F.col("chosen")))
-    return front.select("p_partkey", F.lit(TEMPLATE_NAME).alias("template_name"), back_html(F.col("front_html"), F.col("Pronunciation"), F.col("Meaning")).alias("back_html"))
+    return cards(_notes(spark, sf_dir)).select("p_partkey", "pos", "template_name", "back_html")
 
 
 def deck_accumulate(spark, sf_dir):
@@ -107,9 +126,62 @@ def deck_accumulate(spark, sf_dir):
 
 
 def log_entries(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log_id"), F.col("turn").alias("batch_id"), F.col("text").alias("response"))
-    pieces = log_text(turns).select("log_id", F.posexplode(F.split("log", LOG_BREAK)).alias("pos", "entry"))
-    return pieces.where("pos > 0").select(F.col("log_id").alias("conv_id"), (F.col("pos") - 1).alias("pos"), "entry")
+    """A log appended to twice, and read back in order."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("response"))
+    path = fresh_folder(spark, "log")
+    for rest in (0, 1):
+        append_log(turns.where(F.col("conv_id") % 2 == rest), path, ("conv_id", "turn", "response"))
+    numbered = read_log(spark, path).withColumn("pos", F.row_number().over(Window.orderBy("place")) - 1)  # one number for the whole table: this query's report
+    return numbered.select("pos", F.col("response").alias("entry"))
+
+
+def text_sources(spark, sf_dir):
+    """Files of words with line ends of two characters, a folder for each item, read whole."""
+    path = fresh_folder(spark, "words")
+    lines = _table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit("\r\nsecond\rthird")).alias("value"))
+    lines.repartition("item_id").write.partitionBy("item_id").text(path)
+    return whole_text(spark, path).select(F.col("item_id").cast("long").alias("item_id"), "words")
+
+
+def _write_text(df: DataFrame, path: str) -> str:
+    df.coalesce(1).write.text(path)
+    return path
+
+
+def recorded_definitions(model_input: str) -> str:
+    """A provider that needs no network: two meanings for each line of words after the prompt's last blank line."""
+    words = [w for w in model_input.rpartition("\n\n")[2].split("\n") if w]
+    return json.dumps([{"Word": w, "Sentences": f"A <strong>{w}</strong>.|The {w} here", "Meaning": f"{kind} {w}", "Pronunciation": "" if kind == "first" else w.lower()} for w in words for kind in ("first", "second")])
+
+
+def run_deck(spark, sf_dir):
+    """The whole run over files: the nations of each region are a list of words, from the prompt's file to the cards."""
+    path = fresh_folder(spark, "run")
+    nations = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.sort_array(F.collect_list("n_name")), "\n").alias("value"))  # five regions
+    nations.repartition("region").write.partitionBy("region").text(f"{path}/words")
+    _write_text(spark.createDataFrame([(PROMPT.rstrip("\n") + "\n",)], "value string"), f"{path}/prompt")
+    out = make_deck_from_files(spark, f"{path}/words", f"{path}/prompt", lambda: recorded_definitions, f"{path}/out")
+    return out.select("pos", "Word", "Meaning", "chosen", "front_html", "back_html")
+
+
+def deck_package(spark, sf_dir):
+    """The deck as written and read back: every note with its note type and deck."""
+    path = fresh_folder(spark, "deck")
+    write_package(_notes(spark, sf_dir).withColumnRenamed("p_partkey", "batch_id"), path)
+    found, kind, deck = read_package(spark, path)
+    kind = kind.select("note_type_id", F.col("name").alias("note_type"), F.array_join("fields", ",").alias("fields"), "template_name")
+    return found.crossJoin(F.broadcast(kind)).crossJoin(F.broadcast(deck.withColumnRenamed("name", "deck"))).select(F.col("batch_id").alias("p_partkey"), "pos", "Word", "note_key", "note_type_id", "note_type", "fields", "template_name", "deck_id", "deck")
+
+
+def rejected_responses(spark, sf_dir):
+    """Broken responses, one for each part, and why they are rejected, with what was rejected."""
+    good = F.regexp_replace(F.col("response"), r"^\[|\]$", "")
+    broken = [
+        F.col("response"), F.concat("response", F.lit("]")), F.concat("response", F.lit("] junk")), F.concat(F.lit("["), good, F.lit("] ],[ ["), good, F.lit("]")), F.concat("response", F.lit(" \n\t")),
+        F.concat("response", F.lit("}")), F.expr("substr(response, 1, length(response) - 1)"), F.concat(F.lit("[null,"), good, F.lit("]")), F.lit('[{"Word":"a","Meaning":"b"}]'), F.concat("response", F.lit(',"a":[]')), F.lit("[] ],[ []"),
+    ]
+    which = F.element_at(F.array(*broken), (F.col("p_partkey") % len(broken) + 1).cast("int"))
+    return rejects(_responses(spark, sf_dir).select("p_partkey", which.alias("response")), carry=("p_partkey",))
 
 
 def required_keys(spark, sf_dir):
@@ -118,12 +190,12 @@ def required_keys(spark, sf_dir):
     return found.select("p_partkey", F.coalesce("problem", F.lit("ok")).alias("problem"))
 
 
-def contract_sentence_count(spark, sf_dir):
-    return _notes(spark, sf_dir).select("p_partkey", sentence_count_ok(F.col("Sentences")).alias("four_sentences"))
-
-
-def contract_bold(spark, sf_dir):
-    return _notes(spark, sf_dir).select("p_partkey", bold_ok(F.col("Sentences")).alias("all_bold"))
+def contract_checks(spark, sf_dir):
+    bold = F.concat(F.lit("<strong>"), F.initcap("p_name"), F.lit("</strong> a|b <strong>"), F.upper("p_name"), F.lit("</strong>"))
+    part = _table(spark, sf_dir, "part")
+    sentences = F.when(F.col("p_size") % 5 == 0, F.concat(bold, F.lit("|c "), "p_name")).when(F.col("p_size") % 5 == 1, "").when(F.col("p_size") % 5 == 2, F.concat(bold, F.lit("|"), bold)).otherwise(bold)
+    rows = part.select("p_partkey", F.col("p_name").alias("Word"), sentences.alias("Sentences"), F.when(F.col("p_size") % 3 > 0, F.expr("repeat(p_brand, p_size % 3 - 1)")).alias("Pronunciation"))
+    return checked(rows).select("p_partkey", "four_sentences", "all_bold", "has_pronunciation")
 
 
 def session_epochs(spark, sf_dir):
@@ -132,6 +204,29 @@ def session_epochs(spark, sf_dir):
     return epochs(views).select("event_id", "key", "side", "epoch")
 
 
+def _views(spark, sf_dir):
+    """Views of cards in the order of event_id; a key's card has up to three sentences."""
+    side = F.when(F.col("event_type") == "view", "front").when(F.col("event_type") == "click", "back")
+    views = _table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("ts"), F.concat(F.lit("k"), "user_id").alias("key"), side.alias("side"), (F.col("user_id") % 4).cast("int").alias("n"))
+    return views.where("side is not null").withColumn("sentences", F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, F.col("n"))).drop("n")
+
+
+def session_choices(spark, sf_dir):
+    views = _views(spark, sf_dir)
+    items = views.select("key", F.col("sentences").alias("sentence_list")).distinct()
+    return shown(views.drop("sentences"), items).select("event_id", "key", "side", "chosen")
+
+
+def session_stream(spark, sf_dir):
+    """The same, by keyed state in a stream over files."""
+    path, views = fresh_folder(spark, "stream"), _views(spark, sf_dir).select("key", "event_id", "side", "sentences")
+    views.write.parquet(f"{path}/in")
+    stream = stream_choices(spark.readStream.schema(views.schema).parquet(f"{path}/in"))
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "key", "side", "chosen")
+
+
 #: Responses that a strict parse accepts or rejects, with what is expected: the number of notes, or the problem.
 CASES = [
     ("one", '[{"Word":"a","Sentences":"b","Meaning":"c","Pronunciation":"d"}]', "1"),
@@ -169,40 +264,74 @@ def replay_provider(spark, sf_dir):
     return replay(composed, recorded).select("item_id", "response")
 
 
+def provider_answers(spark, sf_dir):
+    """A provider asked for two thirds of the prompts, and another for all of them: answered prompts aren't asked again."""
+    composed, path = compose(_table(spark, sf_dir, "benchmark"), PROMPT, "text"), fresh_folder(spark, "answers")
+    respond(composed.where("item_id % 3 <> 0"), lambda: lambda text: f"first {len(text)}", path)
+    return respond(composed, lambda: lambda text: f"second {len(text)}", path).select("item_id", "response")
+
+
 QUERIES = {f.__name__: f for f in (
-    prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, sentence_membership, state_key_plain_text, front_render, back_render,
-    deck_accumulate, log_entries, required_keys, contract_sentence_count, contract_bold, session_epochs, strict_parse_cases, replay_provider,
+    prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, random_choice, sentence_membership, state_key_plain_text, front_render, back_render,
+    deck_accumulate, deck_package, log_entries, text_sources, run_deck, required_keys, rejected_responses, contract_checks, session_epochs, session_choices, session_stream,
+    strict_parse_cases, replay_provider, provider_answers,
 )}
 
 _PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
 
+#: The first view of an epoch draws by its event_id.
+_SESSIONS_SQL = """WITH v AS (SELECT event_id, 'k' || user_id AS key, user_id % 4 AS n, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side FROM events WHERE event_type IN ('view', 'click')),
+e AS (SELECT *, coalesce(sum(CASE side WHEN 'back' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM v),
+d AS (SELECT *, min(event_id) OVER (PARTITION BY key, epoch) AS drawn FROM e)
+SELECT event_id, key, side, CASE WHEN n > 0 THEN chr((97 + ('0x' || substr(md5('#' || key || '#' || drawn), 1, 8))::BIGINT % n)::INT) END AS chosen FROM d"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 ORACLE_SQL = {
     "prompt_compose": f"SELECT item_id, {_PROMPT_SQL} || text AS model_input, sha256({_PROMPT_SQL} || text) AS prompt_sha FROM benchmark",
     "json_explode_events": """SELECT event_id, (unnest(generate_series(0, len(items) - 1)))::INT AS pos, unnest(items).k AS k
 FROM (SELECT event_id, from_json('[' || props || ']', '[{"k":"BIGINT"}]') AS items FROM events)""",
-    "notes_from_response": _DEFINITIONS_SQL + 'SELECT p_partkey, 0 AS pos, "Word", "Sentences", "Meaning", "Pronunciation" FROM raw',
+    "notes_from_response": _DEFINITIONS_SQL + 'SELECT p_partkey, pos, "Word", "Sentences", "Meaning", "Pronunciation" FROM raw',
     "sentence_split": r"""SELECT doc_id, (unnest(generate_series(0, len(items) - 1)))::INT AS pos, unnest(items) AS sentence
 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '|'),
   lambda x: regexp_replace(x, '^[\t\n\x0B\f\r\p{Z}\x{FEFF}]+|[\t\n\x0B\f\r\p{Z}\x{FEFF}]+$', '', 'g')), lambda x: x <> '') AS items FROM documents)
 WHERE len(items) > 0""",
-    "sentence_choice": _DEFINITIONS_SQL + "SELECT p_partkey, chosen FROM picked",
+    "sentence_choice": _DEFINITIONS_SQL + "SELECT p_partkey, pos, chosen FROM picked",
+    "random_choice": "SELECT p_partkey, TRUE AS member FROM part",
     "sentence_membership": _DEFINITIONS_SQL + """SELECT p_partkey, stored IS NULL OR stored = '' OR NOT list_contains(items, stored) AS redraw
-FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'stale' ELSE "Meaning" END AS stored FROM defs)""",
+FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'stale' ELSE "Meaning" END AS stored FROM defs WHERE pos = 0)""",
     "state_key_plain_text": "SELECT page_id, 'vocab-sentence-' || regexp_replace(html, '<[^>]*>', '', 'g') AS key FROM pages",
-    "front_render": _DEFINITIONS_SQL + 'SELECT p_partkey, "Word", front_html FROM fronts',
-    "back_render": _DEFINITIONS_SQL + f"""SELECT p_partkey, '{TEMPLATE_NAME}' AS template_name,
-'<div style="text-align: center;">' || chr(10) || front_html || chr(10) || '<hr>' || chr(10)
-|| CASE WHEN "Pronunciation" <> '' THEN '<div class="notes"><i>' || "Pronunciation" || '</i></div>' || chr(10) ELSE '' END
-|| '<div class="meaning">' || "Meaning" || '</div>' || chr(10) || '</div>' AS back_html FROM fronts""",
-    "deck_accumulate": _DEFINITIONS_SQL + """SELECT 0 AS batch_order, p_partkey, 0 AS pos, "Word" FROM raw WHERE p_partkey % 2 = 0
-UNION ALL SELECT 1, p_partkey, 0, "Word" FROM raw""",
-    "log_entries": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::INT AS pos, text AS entry FROM conversations",
+    "front_render": _DEFINITIONS_SQL + 'SELECT p_partkey, pos, "Word", front_html FROM fronts',
+    "back_render": _DEFINITIONS_SQL + f"SELECT p_partkey, pos, '{TEMPLATE_NAME}' AS template_name, back_html FROM backs",
+    "deck_accumulate": _DEFINITIONS_SQL + """SELECT 0 AS batch_order, p_partkey, pos, "Word" FROM raw WHERE p_partkey % 2 = 0
+UNION ALL SELECT 1, p_partkey, pos, "Word" FROM raw""",
+    "deck_package": _DEFINITIONS_SQL + f"""SELECT p_partkey, pos, "Word", sha256("Word" || chr(31) || "Sentences" || chr(31) || "Meaning" || chr(31) || "Pronunciation") AS note_key,
+{NOTE_TYPE_ID}::BIGINT AS note_type_id, '{NOTE_TYPE_NAME}' AS note_type, '{",".join(FIELDS)}' AS fields, '{TEMPLATE_NAME}' AS template_name, {DECK_ID}::BIGINT AS deck_id, '{DECK_NAME}' AS deck FROM raw""",
+    "log_entries": "SELECT (row_number() OVER (ORDER BY conv_id % 2, conv_id, turn, text) - 1)::INT AS pos, text AS entry FROM conversations",
+    "text_sources": "SELECT item_id, replace(text, chr(13) || chr(10), chr(10)) || chr(10) || 'second' || chr(10) || 'third' || chr(10) AS words FROM benchmark",
+    "run_deck": """WITH n AS (SELECT n_name AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i FROM nation),
+d AS (SELECT (2 * i + k)::INT AS pos, w AS "Word", CASE k WHEN 0 THEN 'first ' ELSE 'second ' END || w AS "Meaning", CASE k WHEN 0 THEN '' ELSE lower(w) END AS p,
+  CASE ('0x' || substr(md5(w), 1, 8))::BIGINT % 2 WHEN 0 THEN 'A <strong>' || w || '</strong>.' ELSE 'The ' || w || ' here' END AS chosen FROM n, range(2) AS r(k)),
+f AS (SELECT *, '<div class="sentence" style="text-align: center;">' || chosen || '</div>' AS front_html FROM d)
+SELECT pos, "Word", "Meaning", chosen, front_html, '<div style="text-align: center;">' || chr(10) || front_html || chr(10) || '<hr>' || chr(10)
+  || CASE WHEN p <> '' THEN '<div class="notes"><i>' || p || '</i></div>' || chr(10) ELSE '' END || '<div class="meaning">' || "Meaning" || '</div>' || chr(10) || '</div>' AS back_html FROM f""",
+    "rejected_responses": _DEFINITIONS_SQL + """, objects AS (
+  SELECT p_partkey, string_agg(to_json({'Word': "Word", 'Sentences': "Sentences", 'Meaning': "Meaning", 'Pronunciation': "Pronunciation"})::VARCHAR, ',' ORDER BY pos) AS o FROM raw GROUP BY p_partkey),
+broken AS (SELECT p_partkey, CASE p_partkey % 11 WHEN 1 THEN '[' || o || ']]' WHEN 2 THEN '[' || o || ']] junk' WHEN 3 THEN '[' || o || '] ],[ [' || o || ']' WHEN 5 THEN '[' || o || ']}'
+  WHEN 6 THEN '[' || o WHEN 7 THEN 'null' WHEN 8 THEN '{"Word":"a","Meaning":"b"}' WHEN 9 THEN '[' || o || '],"a":[]' WHEN 10 THEN '[] ],[ []' END AS raw FROM objects)
+SELECT p_partkey, 0 AS pos, CASE p_partkey % 11 WHEN 7 THEN 'element' WHEN 8 THEN 'missing Sentences,Pronunciation' ELSE 'document' END AS reason, raw FROM broken WHERE raw IS NOT NULL""",
     "required_keys": """SELECT p_partkey, CASE WHEN p_size % 35 = 0 THEN 'missing Meaning,Pronunciation' WHEN p_size % 5 = 0 THEN 'missing Meaning'
 WHEN p_size % 7 = 0 THEN 'missing Pronunciation' ELSE 'ok' END AS problem FROM part""",
-    "contract_sentence_count": _DEFINITIONS_SQL + "SELECT p_partkey, len(items) = 4 AS four_sentences FROM defs",
-    "contract_bold": _DEFINITIONS_SQL + "SELECT p_partkey, len(list_filter(items, lambda x: NOT contains(x, '<strong>'))) = 0 AS all_bold FROM defs",
+    "contract_checks": """SELECT p_partkey, p_size % 5 = 2 AS four_sentences, p_size % 5 >= 2 AS all_bold, p_size % 3 = 2 AS has_pronunciation FROM part""",
     "session_epochs": """SELECT event_id, user_id AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
 coalesce(sum(CASE event_type WHEN 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS epoch
 FROM events WHERE event_type IN ('view', 'click')""",
+    "session_choices": _SESSIONS_SQL,
+    "session_stream": _SESSIONS_SQL,
+    "strict_parse_cases": f"SELECT name, outcome FROM (VALUES {', '.join(f'({_quoted(n)}, {_quoted(o)})' for n, _, o in CASES)}) AS t(name, outcome)",
+    "provider_answers": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN 'first ' ELSE 'second ' END || (length(text) + {len(PROMPT)}) AS response FROM benchmark",
     "replay_provider": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN '[] for ' || md5({_PROMPT_SQL} || text) END AS response FROM benchmark",
 }

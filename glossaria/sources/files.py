@@ -11,9 +11,11 @@ from glossaria.schema import LOG_BREAK, REQUESTS
 
 
 def whole_text(spark: SparkSession, path: str, column: str = "words") -> DataFrame:
-    """One row for each file: batch_id, the file's name, and its text as UTF-8 with line ends made one newline."""
+    """One row for each file: batch_id, the file's name, its text as UTF-8 with line ends made one newline, and the
+    values that its folders name."""
+    read = spark.read.text(path, wholetext=True)
     text = F.regexp_replace("value", "\r\n?", "\n").alias(column)
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("batch_id"), text)
+    return read.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("batch_id"), text, *(c for c in read.columns if c != "value"))
 
 
 def from_strings(spark: SparkSession, rows: list[tuple[str, str]], schema: str = REQUESTS) -> DataFrame:
@@ -26,6 +28,19 @@ def required_setting(name: str) -> str:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a response log, whose separator stands before each: the first, empty piece is left out."""
-    pieces = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", LOG_BREAK)).alias("pos", "response"))
-    return pieces.where("pos > 0").select((F.col("pos") - 1).alias("pos"), "response")
+    """The entries of a response log, one file or many: response, and ``place``, by which they are in order.
+
+    The separator stands before each entry, so what a file begins with is left out. Files are read in parts, whatever
+    their size. Of the newline that begins a separator one is taken off each entry; the last entry may have none.
+    """
+    meta = F.col("_metadata")
+    pieces = spark.read.text(path, lineSep=LOG_BREAK.lstrip("\n")).select(
+        F.struct(meta["file_modification_time"].alias("written"), meta["file_path"].alias("file"), meta["file_block_start"].alias("part"), F.monotonically_increasing_id().alias("serial")).alias("place"), F.regexp_replace("value", "\n\\z", "").alias("response")
+    )
+    first = pieces.groupBy(F.col("place.file").alias("_file")).agg(F.min("place").alias("_first"))
+    return pieces.join(first, F.col("place.file") == F.col("_file")).where(F.col("place") > F.col("_first")).select("place", "response")
+
+
+def read_package(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Notes, note type and deck of a written package."""
+    return spark.read.parquet(f"{path}/notes"), spark.read.json(f"{path}/note_type"), spark.read.json(f"{path}/deck")

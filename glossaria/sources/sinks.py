@@ -13,14 +13,12 @@ def write_latest(responses: DataFrame, path: str) -> None:
     responses.write.mode("overwrite").parquet(path)
 
 
-def append_log(responses: DataFrame, path: str) -> None:
-    responses.select("batch_id", "response").write.mode("append").parquet(path)
+def append_log(responses: DataFrame, path: str, order: tuple[str, ...] = ("batch_id",)) -> None:
+    """Appends the responses to the log's text files, in order, each after the separator; ``files.read_log`` reads them.
 
-
-def log_text(responses: DataFrame, order: str = "batch_id") -> DataFrame:
-    """The log as one text for each group of ``log_id``: the separator stands before every entry."""
-    entries = F.sort_array(F.collect_list(F.struct(order, "response")))
-    return responses.groupBy("log_id").agg(F.array_join(F.transform(entries, lambda e: F.concat(F.lit(LOG_BREAK), e["response"])), "").alias("log"))
+    The files one after another, behind one newline, are the log as one text. Null responses are left out."""
+    entries = responses.where("response is not null").orderBy(*order)
+    entries.select(F.concat(F.lit(LOG_BREAK.lstrip("\n")), "response")).write.mode("append").text(path)
 
 
 def write_package(notes: DataFrame, path: str) -> str:

@@ -16,22 +16,27 @@ def stream_choices(views: DataFrame, seed: str = "") -> DataFrame:
     """For rows (key, event_id, side, sentences): the sentence that each view shows.
 
     A stored sentence is kept while it is among the view's sentences, so notes that share a word and lists that change
-    are handled. Within a micro-batch views are taken in the order of event_id.
+    are handled; else the view draws one by its event_id. A back removes the key's state. Within a micro-batch views are
+    taken in the order of event_id: a key's rows of one micro-batch are sorted in memory, so the trigger and the source's
+    limit of files bound them.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored, draws = state.get if state.exists else (None, 0)
+        stored = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("event_id")
         out = []
         for event_id, side, sentences in zip(rows["event_id"], rows["side"], rows["sentences"], strict=True):
             options = [] if sentences is None else list(sentences)
             if not stored or stored not in options:
-                number = int(hashlib.md5(f"{seed}#{key[0]}#{draws}".encode()).hexdigest()[:8], 16)
-                stored, draws = (options[number % len(options)] if options else None), draws + 1
+                number = int(hashlib.md5(f"{seed}#{key[0]}#{event_id}".encode()).hexdigest()[:8], 16)
+                stored = options[number % len(options)] if options else None
             out.append((key[0], event_id, side, stored))
             if side == "back":
                 stored = None
-        state.update((stored, draws))
+        if stored:
+            state.update((stored,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "event_id", "side", "chosen"])
 
-    return views.groupBy("key").applyInPandasWithState(step, OUT, "stored string, draws long", "append", GroupStateTimeout.NoTimeout)
+    return views.groupBy("key").applyInPandasWithState(step, OUT, "stored string", "append", GroupStateTimeout.NoTimeout)
