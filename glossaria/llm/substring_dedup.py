@@ -4,7 +4,7 @@ Documents are dealt to chunks of ascending id, so that the order of chunks is th
 
 1. Every chunk makes a sparse count-min sketch of its windows: in each of DEPTH rows the cells that they fall in, sent
    by blocks of cells. A block merges the sketches of all chunks and answers each chunk which of its cells others fill
-   too. The merged count of a window's emptiest cell is never below the number of chunks that hold the window, so
+   too; where there are very many blocks, groups of chunks merge theirs first. The merged count of a window's emptiest cell is never below the number of chunks that hold the window, so
    no repeated window is lost; windows that are estimated to occur once go no further.
 2. Windows estimated repeated are grouped exactly, by 128-bit hashes of their words. A chunk sends each distinct one
    once, whatever its copies in the chunk, and learns which of them an earlier chunk holds.
@@ -36,6 +36,8 @@ from .words import word_hash_pairs
 WINDOW, CHUNK_BYTES = 20, 4 << 20
 #: Rows of the sketch, its cells for each byte of text, cells of a block, and windows aimed at for a block of hashes.
 DEPTH, CELLS_PER_BYTE, BLOCK_BITS, BLOCK_WINDOWS = 2, 1.5, 23, 1 << 20
+#: Bits of the number of blocks that a chunk sends its sketch in; more blocks are reached over groups of GROUP chunks.
+COARSE_BITS, GROUP = 12, 1024
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -140,17 +142,22 @@ def _cells(h: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
 
 
 def _deltas(cells: np.ndarray) -> bytes:
-    """Ascending places within a block, as steps of 16 bits; longer steps as full ones and a rest."""
+    """Ascending places within a block, as steps of 16 bits; longer steps as full ones and a rest. Where that would be
+    longer, the places themselves, behind a byte."""
     steps = np.diff(cells.astype(np.int64), prepend=0)
     many = steps // 0xFFFF
-    if many.any():
-        out = np.full(len(steps) + int(many.sum()), 0xFFFF, np.uint16)
-        out[np.cumsum(many + 1) - 1] = steps % 0xFFFF
-        return out.tobytes()
-    return steps.astype(np.uint16).tobytes()
+    if not many.any():
+        return steps.astype(np.uint16).tobytes()
+    if int(many.sum()) > 3 * len(steps):
+        return b"\1" + cells.astype("<i8").tobytes()
+    out = np.full(len(steps) + int(many.sum()), 0xFFFF, np.uint16)
+    out[np.cumsum(many + 1) - 1] = steps % 0xFFFF
+    return out.tobytes()
 
 
 def _undeltas(data: bytes) -> np.ndarray:
+    if len(data) % 2:
+        return np.frombuffer(data, "<i8", offset=1)
     steps = np.frombuffer(data, np.uint16)
     return np.cumsum(steps, dtype=np.int64)[steps != 0xFFFF]
 
@@ -162,10 +169,10 @@ def _by_block(sorted_values: np.ndarray, shift: int) -> tuple[np.ndarray, np.nda
     return block[at].astype(np.int64), np.append(at, len(block))
 
 
-def sketch(rows: pa.Table, window: int, cell_bits: int) -> list[tuple[int, bytes]]:
+def sketch(rows: pa.Table, window: int, cell_bits: int, block_bits: int) -> list[tuple[int, bytes]]:
     """The chunk's sparse sketch: for each block (row and high bits of the cell) the cells in it."""
     h, _, _ = chunk_windows(rows, window)
-    out, block_bits = [], min(BLOCK_BITS, cell_bits)
+    out = []
     for row in range(DEPTH):
         cells = np.unique(_cells(h, row, cell_bits))
         blocks, at = _by_block(cells, block_bits)
@@ -183,7 +190,44 @@ def shared_cells(sent: list[bytes], block_bits: int) -> list[bytes]:
     return [np.packbits(counts[_undeltas(data)] > 1).tobytes() for data in sent]
 
 
-def repeated(rows: pa.Table, answers: dict[int, bytes], window: int, cell_bits: int, hash_bits: int) -> list[tuple[int, bytes]]:
+def group_cells(sent: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of a block that a group of chunks fills, and which of them several of its chunks fill."""
+    cells, n = np.unique(np.concatenate([_undeltas(x) for x in sent]), return_counts=True)
+    return cells.astype(_U), n > 1
+
+
+def group_sketch(sent: list[bytes], block_bits: int) -> list[tuple[int, bytes]]:
+    """A group's merged sketch of one coarse block, by its fine blocks: cells, and a bit for each that several fill."""
+    cells, several = group_cells(sent)
+    fine, at = _by_block(cells, block_bits)
+    inner, out = cells & _U((1 << block_bits) - 1), []
+    for b, a, e in zip(fine.tolist(), at[:-1], at[1:], strict=True):
+        steps = _deltas(inner[a:e])
+        out.append((b, len(steps).to_bytes(8, "little") + steps + np.packbits(several[a:e]).tobytes()))
+    return out
+
+
+def shared_by_groups(sent: list[bytes], block_bits: int) -> list[bytes]:
+    """``shared_cells`` over the merged sketches of groups."""
+    counts, read = np.zeros(1 << block_bits, np.uint8), []
+    for data in sent:
+        end = 8 + int.from_bytes(data[:8], "little")
+        cells = _undeltas(data[8:end])
+        several = np.unpackbits(np.frombuffer(data, np.uint8, offset=end), count=len(cells))
+        counts[cells] = np.minimum(counts[cells] + 1 + several, 2)
+        read.append(cells)
+    return [np.packbits(counts[cells] > 1).tobytes() for cells in read]
+
+
+def group_answers(sent: list[bytes], answers: dict[int, bytes], block_bits: int) -> list[bytes]:
+    """What ``shared_cells`` answers each chunk of a group, from the answers to the group by fine block."""
+    cells, _ = group_cells(sent)
+    fine, at = _by_block(cells, block_bits)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(answers[b], np.uint8), count=e - a) for b, a, e in zip(fine.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    return [np.packbits(bits[np.searchsorted(cells, _undeltas(x).astype(_U))]).tobytes() for x in sent]
+
+
+def repeated(rows: pa.Table, answers: dict[int, bytes], window: int, cell_bits: int, block_bits: int, hash_bits: int) -> list[tuple[int, bytes]]:
     """What the exact step gets from a chunk: for each block of hashes the distinct windows that others may hold, and
     under block -1 the windows that an earlier one of the same chunk equals."""
     h1, h2, start = chunk_windows(rows, window)
@@ -192,7 +236,7 @@ def repeated(rows: pa.Table, answers: dict[int, bytes], window: int, cell_bits:
     again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])[: len(h1)]
     out = [(-1, start[again].astype("<u4").tobytes())]
     h1, h2, start = h1[~again], h2[~again], start[~again]
-    block_bits, maybe = min(BLOCK_BITS, cell_bits), np.ones(len(h1), bool)
+    maybe = np.ones(len(h1), bool)
     for row in range(DEPTH):
         cells = _cells(h1, row, cell_bits)
         distinct, of = np.unique(cells, return_inverse=True)
@@ -244,6 +288,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell_bits = max(10, math.ceil(math.log2(max(1, size * CELLS_PER_BYTE))))
     hash_bits = max(0, math.ceil(math.log2(max(1, size / 6 / BLOCK_WINDOWS))))
     block_bits = min(BLOCK_BITS, cell_bits)
+    fine_bits = max(0, cell_bits - block_bits - COARSE_BITS)
+    sent_bits = block_bits + fine_bits  # of the blocks in which chunks send their sketches
     dealt = chunks.groupBy("chunk")
     packed = "chunk int, block long, data binary"
 
@@ -251,16 +297,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "block": pa.array(block, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def make_sketch(rows):
-        found = sketch(in_order(rows), window, cell_bits)
+        found = sketch(in_order(rows), window, cell_bits, sent_bits)
         return table([rows["chunk"][0].as_py()] * len(found), [b for b, _ in found], [x for _, x in found])
 
     def merge_sketches(rows):
         return pa.table([rows["chunk"], rows["block"], pa.array(shared_cells(rows["data"].to_pylist(), block_bits), pa.binary())], names=["chunk", "block", "data"])
 
+    def gather(rows):
+        found, coarse = group_sketch(rows["data"].to_pylist(), block_bits), rows["block"][0].as_py()
+        return pa.table([pa.array([rows["grp"][0].as_py()] * len(found), pa.int32()), pa.array([coarse] * len(found), pa.int64()), pa.array([coarse << fine_bits | b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["grp", "coarse", "block", "data"])
+
+    def merge_groups(rows):
+        return rows.set_column(3, "data", pa.array(shared_by_groups(rows["data"].to_pylist(), block_bits), pa.binary()))
+
+    def spread(rows, answers):
+        by_fine = {b & (1 << fine_bits) - 1: x for b, x in zip(answers["block"].to_pylist(), answers["data"].to_pylist(), strict=True)}
+        return table(rows["chunk"].to_pylist(), rows["block"].to_pylist(), group_answers(rows["data"].to_pylist(), by_fine, block_bits))
+
     def find_repeated(rows, answers):
         if not rows.num_rows:
             return table([], [], [])
-        found = repeated(in_order(rows), dict(zip(answers["block"].to_pylist(), answers["data"].to_pylist(), strict=True)), window, cell_bits, hash_bits)
+        found = repeated(in_order(rows), dict(zip(answers["block"].to_pylist(), answers["data"].to_pylist(), strict=True)), window, cell_bits, sent_bits, hash_bits)
         return table([rows["chunk"][0].as_py()] * len(found), [b for b, _ in found], [x for _, x in found])
 
     def settle(rows):
@@ -281,7 +338,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out["kept"] = pa.array([r[2].decode() if r[1] else t for t, r in zip(rows["text"].to_pylist(), result, strict=True)], pa.string())
         return pa.table(out | {f"_{c}": rows[f"_{c}"] for c in columns})
 
-    answers = dealt.applyInArrow(make_sketch, packed).groupBy("block").applyInArrow(merge_sketches, packed)
+    sketches = dealt.applyInArrow(make_sketch, packed)
+    if not fine_bits:
+        answers = sketches.groupBy("block").applyInArrow(merge_sketches, packed)
+    else:
+        # Beyond 2 ** COARSE_BITS blocks a row of one chunk and one block would hold next to nothing: groups of chunks
+        # merge their sketches of a coarse block first, and only the groups' meet in the fine blocks.
+        grouped = sketches.withColumn("grp", (F.col("chunk") / GROUP).cast("int"))
+        finer = "grp int, coarse long, block long, data binary"
+        settled = grouped.groupBy("block", "grp").applyInArrow(gather, finer).groupBy("block").applyInArrow(merge_groups, finer)
+        answers = grouped.groupBy("block", "grp").cogroup(settled.groupBy("coarse", "grp")).applyInArrow(spread, packed)
     candidates = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(find_repeated, packed)
     # What a chunk found within itself needs no other chunk: it is grouped by chunk under block -1 - chunk.
     homed = candidates.withColumn("block", F.when(F.col("block") < 0, -1 - F.col("chunk").cast("long")).otherwise(F.col("block")))

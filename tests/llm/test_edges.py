@@ -75,8 +75,13 @@ def test_substring_dedup(spark, docs, none, monkeypatch, chunk):
     assert all(r["n"] == "?" for r in kept) and {r["kept"] for r in kept if not r["n_removed"]} <= {t or "" for _, t in ROWS}
 
 
-def test_substring_dedup_finds_every_window_when_the_sketch_is_full(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CELLS_PER_BYTE", 1e-9)
+@pytest.mark.parametrize(("cells", "block_bits", "coarse_bits"), [(1e-9, 23, 12), (1e-9, 6, 2), (1.5, 4, 3), (5000.0, 21, 2)])
+def test_substring_dedup_finds_every_window(spark, monkeypatch, cells, block_bits, coarse_bits):
+    """With a full sketch, and with sketches that groups of chunks merge first."""
+    monkeypatch.setattr(substring_dedup, "CELLS_PER_BYTE", cells)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", block_bits)
+    monkeypatch.setattr(substring_dedup, "COARSE_BITS", coarse_bits)
+    monkeypatch.setattr(substring_dedup, "GROUP", 3)
     rng = np.random.default_rng(1)
     pieces = [" ".join(f"v{x}" for x in rng.integers(0, 3, 45)) for _ in range(12)]
     rows = [(i, " ".join(pieces[j] for j in rng.integers(0, 12, 6))) for i in range(40)]
