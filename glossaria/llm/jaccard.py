@@ -49,13 +49,19 @@ def _slices(batch: pa.RecordBatch):
         yield batch.slice(a, b - a)
 
 
-def prefix_keys(chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def _distinct_shingles(batch: pa.RecordBatch, fold: bool) -> list[np.ndarray]:
+    """For each text of ``batch`` the hashes of its shingles, each once; ``fold``: of its words with A-Z lower-cased."""
+    text = pc.ascii_lower(batch["text"]) if fold else batch["text"]
+    return [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": text})))]
+
+
+def prefix_keys(chosen: DataFrame, similar: float = SIMILAR, fold: bool = False) -> DataFrame:
     """The rarest shingles of each text of ``chosen`` (rep, text; reps are distinct): rows (key, rep, n, pos, own).
 
     A text of n distinct shingles names the first n - ceil(similar * n) + 1 in an order that all texts share, rare ones
     first. Two texts whose index is ``similar`` or more have one of these in common, whatever the order is. Shingles
     that no other text has are left out. ``pos``: the shingle's place in the text's order; ``own``: the share of
-    shingles that only this text has.
+    shingles that only this text has. ``fold``: words are taken with A-Z lower-cased.
 
     The order is by a class of the frequency, then by hash. Frequencies are counted by cells of the hash, in ranges of
     the hash that each fit a task; a shared cell is a shared key, so a collision can only add a candidate.
@@ -65,7 +71,7 @@ def prefix_keys(chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def deal(batches):
         for whole in batches:
             for batch in _slices(whole):
-                found = [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": batch["text"]})))]
+                found = _distinct_shingles(batch, fold)
                 flat = np.concatenate(found)
                 owner = np.repeat(np.arange(len(found), dtype="<u2"), [len(x) for x in found])
                 at = ((flat >> _U(32)) * _U(ranges) >> _U(32)).astype(np.uint16)
@@ -109,10 +115,10 @@ def prefix_keys(chosen: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return counted.groupBy("piece").applyInArrow(choose, "key long, rep long, n long, pos long, own double")
 
 
-def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR) -> DataFrame:
+def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR, fold: bool = False) -> DataFrame:
     """Links (a, b) that connect, with the links ``known``, all texts that share a key and whose index is ``similar`` or
     more, through chains of such texts too. ``keys``: key, rep, n, pos and own as by ``prefix_keys`` (0 where the key is
-    no prefix). ``chosen``: rep, text.
+    no prefix). ``chosen``: rep, text. ``fold``: as for ``prefix_keys``.
 
     Texts that chains of links connect already are not compared. In each of ROUNDS rounds all members of a bucket meet
     one leader, first the one of the fewest shingles of its own: copies link to their original. Then, in buckets whose
@@ -123,7 +129,7 @@ def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = N
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     open_ = written(join_classes(keys, sizes, ["key"], "m", keys.count()), "buckets")
     named = open_.select("rep").distinct()
-    sets = written(_shingle_sets(chosen.join(named, "rep", "left_semi")), "shingle-sets")
+    sets = written(_shingle_sets(chosen.join(named, "rep", "left_semi"), fold), "shingle-sets")
     links = written(known if known is not None else named.sparkSession.createDataFrame([], "a long, b long"), "known-links")
     done = None
     for number in range(ROUNDS + 1):
@@ -171,13 +177,13 @@ def _across(members: DataFrame, similar: float) -> DataFrame:
     return _met(others.join(every, ["key", "block"]), similar)
 
 
-def _shingle_sets(chosen: DataFrame) -> DataFrame:
+def _shingle_sets(chosen: DataFrame, fold: bool) -> DataFrame:
     """rep and the hashes of its distinct shingles."""
 
     def cut(batches):
         for whole in batches:
             for batch in _slices(whole):
-                found = [np.unique(x) for x in shingles(*chunk_words(pa.table({"text": batch["text"]})))]
+                found = _distinct_shingles(batch, fold)
                 yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["rep", "shingles"])
 
     return chosen.select("rep", "text").mapInArrow(cut, "rep long, shingles array<long>")

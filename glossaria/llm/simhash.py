@@ -247,7 +247,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
 
 def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, component_id and kept over two kinds of links: whole fingerprints within BITS, as by ``simhash``,
-    and texts whose sets of five-word shingles have a Jaccard index of at least ``similar``.
+    and texts whose sets of five-word shingles, A-Z lower-cased, have a Jaccard index of at least ``similar``.
 
     Each distinct text, known by a 128-bit digest, is searched, by a prefix filter that misses no such pair. Several
     texts under one id are several texts. Null ids are left out. ``kept``: one document of each component.
@@ -257,7 +257,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id"
 
     def linked() -> DataFrame:
         whole = written(simhash(chosen, "rep").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b"), "whole-links")
-        return components(bucket_links(prefix_keys(chosen, similar), chosen, whole, similar))
+        return components(bucket_links(prefix_keys(chosen, similar, fold=True), chosen, whole, similar, fold=True))
 
     _, roots = settled(linked, spark, "roots")
     return least_ids(written(rows.select("doc_id", "digest"), "ids"), chosen, roots, "component_id")

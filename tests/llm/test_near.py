@@ -12,6 +12,7 @@ def frame(spark, rows):
 
 def brute(texts, similar=0.8, also=()):
     """For each text the least place that chains of links lead to."""
+    texts = list(texts)
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
     label = list(range(len(texts)))
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j])]
@@ -21,6 +22,10 @@ def brute(texts, similar=0.8, also=()):
     return label
 
 
+def folded(texts):
+    return [t.translate({c: c + 32 for c in range(65, 91)}) for t in texts]
+
+
 def edited(rng, words, n):
     out = list(words)
     for i in rng.choice(len(words), n, replace=False):
@@ -129,6 +134,15 @@ def test_texts_under_repeated_ids_keep_their_links(spark, search, name):
     assert sorted(r["doc_id"] for r in out if r["kept"]) == [7, 7, 7]  # two groups, one of which has a repeated row
 
 
+def test_near_texts_take_no_account_of_case(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+    texts = [" ".join(base), " ".join(w.upper() if i % 3 else w for i, w in enumerate(edited(rng, base, 3))), "Ä Ö Ü ä ö ü", "ä ö ü Ä Ö Ü", "A", "a", None]
+    want = brute(folded(t or "" for t in texts), also=fp_links(t or "" for t in texts))
+    assert want == [0, 0, 2, 3, 4, 4, 6] and brute(t or "" for t in texts)[1] == 1
+    assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == want
+
+
 def test_pairs_in_a_crowd_that_shares_a_long_passage_are_all_found(spark):
     rng = np.random.default_rng(8)
     common, texts = [f"c{i}" for i in range(240)], []

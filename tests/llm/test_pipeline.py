@@ -16,7 +16,7 @@ from glossaria.llm import quality as Q
 from glossaria.llm.common import written
 
 from test_edges import brute_substrings
-from test_near import brute, fp_links
+from test_near import brute, folded, fp_links
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +71,7 @@ def test_stages_equal_plain_python(spark):
             want = {i: t for t, i in {before[i]: i for i in ids}.items()}
         elif name == "simhash":
             texts = [before[i] for i in ids]
-            want = {ids[k]: before[ids[k]] for k in set(brute(texts, also=fp_links(texts)))}
+            want = {ids[k]: before[ids[k]] for k in set(brute(folded(texts), also=fp_links(texts)))}
         elif name == "substring_dedup":
             left = brute_substrings(sorted(before.items()))
             want = {i: kept for (i, n, gone, _), kept in zip(left, left_words(sorted(before.items()))) if not gone or gone < n}
