@@ -1,8 +1,8 @@
-"""The queries of the ten operators over the driver's tables, and SQL where it can express one.
+"""The queries of the thirteen operators over the driver's tables, and SQL where it can express one.
 
-SQL can express neither fingerprints and trees of hashes (1, 5) nor tokenizers (2, 3, 9) nor trained models (6, 7, 8):
-tests hold those against the tokenizers library, brute force in plain Python, pages whose main text is known, and
-held-out labels. What of operators 1 and 7 SQL can express has queries of its own.
+SQL can express neither fingerprints and trees of hashes (1, 5) nor tokenizers (2, 3, 9) nor trained models (6, 7, 8, 11)
+nor eigenvectors (13): tests hold those against the tokenizers library, brute force in plain Python and numpy, pages whose
+main text is known, and held-out labels. What of operators 1 and 7 SQL can express has queries of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import public_tokenizers
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .language import languages
+from .lexical_search import lexical_search
 from .lexicon import encode_and_decode
 from .minhash import fingerprints, near_duplicates
 from .packing import packing
@@ -20,6 +22,7 @@ from .simhash import simhash
 from .substring_dedup import substring_dedup
 from .token_files import token_files
 from .url_filter import url_filter, url_parts
+from .whitening import whiten
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -64,6 +67,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark, sf_dir):
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def near_duplicate_classes(spark, sf_dir):
     """Operator 1's bands and verified links over all documents."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
@@ -74,11 +89,23 @@ def url_rules(spark, sf_dir):
     return url_parts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_bpe, op4_substring_dedup, op5_simhash, op6_html, op7_url_filter, op8_quality, op9_token_files, op10_exact_dedup, near_duplicate_classes, url_rules)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_bpe, op4_substring_dedup, op5_simhash, op6_html, op7_url_filter, op8_quality, op9_token_files, op10_exact_dedup, op11_language, op12_search, op13_whitening, near_duplicate_classes, url_rules)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
 ORACLE_SQL = {
+    "op12_search": f"""
+WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, docs),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM d, c),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""",
     "op4_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS k FROM w, unnest(range(1, len(words) - 18)) AS t(i)),
