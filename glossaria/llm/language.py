@@ -31,7 +31,7 @@ from .common import written
 #: Features, sizes of n-grams, and the parts of a text that are taken up at a time (characters).
 BUCKETS, SIZES, TOGETHER = 1 << 16, (1, 2, 3, 4), 1 << 20
 #: Bounds of the fit, shards that learn side by side and rounds; one text in CALIBRATION serves the temperature alone.
-FIT_ROWS, LANGUAGES, SHARDS, ROUNDS, CALIBRATION = 3000, 500, 8, 3, 5
+FIT_ROWS, LANGUAGES, SHARDS, ROUNDS, CALIBRATION = 1000, 500, 8, 3, 5
 #: FTRL: learning rate, its delay, and the L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 UNKNOWN = "und"
@@ -158,7 +158,7 @@ def _features(docs: DataFrame, shares: dict[str, float]) -> DataFrame:
                 df[at] += 1
                 texts += bool(len(at))
                 if chosen.as_py() and len(at):
-                    some.append((0, lang.as_py(), part.as_py(), at.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
+                    some.append((0, lang.as_py(), part.as_py(), at.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
             yield rows_of(some)
         yield rows_of([(texts, None, None, df.tobytes(), None)])
 
@@ -169,6 +169,10 @@ def _features(docs: DataFrame, shares: dict[str, float]) -> DataFrame:
     return rows.mapInArrow(work, "texts long, lang string, part int, at binary, n binary")
 
 
+def _pair(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)
+
+
 def _frequencies(features: DataFrame) -> tuple[int, np.ndarray]:
     """Texts, and how many of them hold each feature: each task's numbers are added up by Spark, feature by feature."""
 
@@ -194,7 +198,7 @@ def _round(model: Model, number: dict[str, int], state: np.ndarray, turn: int) -
         leader = Leader(*state.copy())
         texts = sorted(zip(*(rows[c].to_pylist() for c in ("lang", "at", "n")), strict=True))
         for i in np.random.default_rng(turn).permutation(len(texts)).tolist():
-            at, n = (np.frombuffer(x, "<i4").astype(np.int64) for x in texts[i][1:])
+            at, n = _pair(*texts[i][1:])
             leader.learn(np.append(at, BUCKETS), model.values(at, n), number[texts[i][0]])
         moved = np.stack([leader.z, leader.n])
         some = np.flatnonzero(moved[1].any(axis=1))
@@ -227,7 +231,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.logits(*(np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in pair)).tolist() for pair in zip(batch["at"], batch["n"], strict=True)]
+            found = [model.logits(*_pair(at.as_py(), n.as_py())).tolist() for at, n in zip(batch["at"], batch["n"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(found, pa.list_(pa.float64()))], ["lang", "logits"])
 
     judged = sample.where(F.col("part") % CALIBRATION == 0).select("lang", "at", "n").mapInArrow(judge, "lang string, logits array<double>").collect()
