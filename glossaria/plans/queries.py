@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import json
+import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import needs_choice, random_pick, sentence_list, state_key
 from glossaria.operators.cards import cards
 from glossaria.operators.contract import checked
+from glossaria.operators.coverage import coverage
 from glossaria.operators.parse import accumulated, json_rows, notes, parsed, rejects
-from glossaria.operators.respond import compose, replay, respond
-from glossaria.operators.state import epochs, shown
-from glossaria.plans.run import make_deck_from_files
+from glossaria.operators.respond import ask, compose, log_answers, replay, respond, with_key
+from glossaria.operators.state import epochs, replayed, shown
+from glossaria.plans.run import deck_from_file, make_deck_from_files
 from glossaria.schema import DECK_ID, DECK_NAME, FIELDS, NOTE_TYPE_ID, NOTE_TYPE_NAME, TEMPLATE_NAME
-from glossaria.sources.files import read_log, read_package, whole_text
+from glossaria.sources.files import from_strings, read_log, read_package, whole_text, with_positions
 from glossaria.sources.scratch import fresh_folder
-from glossaria.sources.sinks import append_log, write_package
+from glossaria.sources.sinks import add_to_deck, append_log, read_deck, read_latest, write_latest, write_package
 from glossaria.streaming.session_state import stream_choices
 
 PROMPT = "Define each of the following words and answer as a JSON array.\nWords:\n\n"
@@ -126,13 +128,64 @@ def deck_accumulate(spark, sf_dir):
 
 
 def log_entries(spark, sf_dir):
-    """A log appended to twice, and read back in order."""
+    """A log appended to twice, in four files each time, and read back in order."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("response"))
     path = fresh_folder(spark, "log")
     for rest in (0, 1):
-        append_log(turns.where(F.col("conv_id") % 2 == rest), path, ("conv_id", "turn", "response"))
-    numbered = read_log(spark, path).withColumn("pos", F.row_number().over(Window.orderBy("place")) - 1)  # one number for the whole table: this query's report
-    return numbered.select("pos", F.col("response").alias("entry"))
+        append_log(turns.where(F.col("conv_id") % 2 == rest), path, ("conv_id", "turn", "response"), files=4)
+    return with_positions(read_log(spark, path)).select(F.col("pos").cast("int").alias("pos"), F.col("response").alias("entry"))
+
+
+def log_of_calls(spark, sf_dir):
+    """The log of three calls, of which the second asks for a third of the prompts and the last for nothing new."""
+    items = _table(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 12, "0").alias("batch_id"), "item_id", F.col("text").alias("words"))
+    composed, path = compose(items, PROMPT), fresh_folder(spark, "calls")
+    for some in (composed.where("item_id % 3 <> 0"), composed, composed):
+        ask(some, lambda: lambda text: f"{len(text)} {text[-40:]}", f"{path}/answers")
+        log_answers(some, f"{path}/answers", f"{path}/log")
+    return with_positions(read_log(spark, f"{path}/log")).select("pos", F.col("response").alias("entry"))
+
+
+def latest_responses(spark, sf_dir):
+    """Responses published twice: the second ones are read."""
+    path, responses = fresh_folder(spark, "latest"), _responses(spark, sf_dir)
+    write_latest(responses.where("p_partkey % 2 = 0"), path)
+    write_latest(responses.where("p_partkey % 2 = 1"), path)
+    return notes(read_latest(spark, path), carry=("p_partkey",)).select("p_partkey", "pos", "Word")
+
+
+def deck_growth(spark, sf_dir):
+    """A deck that lives on: two batches are added, and the first of them again."""
+    every, path = _notes(spark, sf_dir), fresh_folder(spark, "deck")
+    for key, rows in (("even", every.where("p_partkey % 2 = 0")), ("all", every), ("even", every.where("p_partkey % 2 = 0"))):
+        add_to_deck(rows, path, key)
+    return read_deck(spark, path).select("batch_order", "batch_key", "p_partkey", "pos", "Word")
+
+
+def notes_from_file(spark, sf_dir):
+    """Saved responses, a JSON file for the parts of each size, to notes and cards."""
+    path = fresh_folder(spark, "saved")
+    rows = F.sort_array(F.collect_list(F.struct("p_partkey", *FIELDS)))
+    saved = _definitions(spark, sf_dir).groupBy("p_size").agg(F.to_json(F.transform(rows, lambda r: F.struct(*(r[f].alias(f) for f in FIELDS)))).alias("value"))  # a file holds what its size has
+    saved.repartition("p_size").write.partitionBy("p_size").text(f"{path}/responses")
+    return deck_from_file(spark, f"{path}/responses", path).select("pos", "Word", "Meaning", "chosen", "front_html")
+
+
+def keyed_provider(spark, sf_dir):
+    """A provider that takes its key from a named setting, and the strings asked about given from memory."""
+    os.environ.setdefault("GLOSSARIA_TRIAL_KEY", "trial")
+    regions = [(str(r["r_regionkey"]), r["r_name"]) for r in _table(spark, sf_dir, "region").collect()]  # five rows
+    composed = compose(from_strings(spark, regions), PROMPT)
+    answered = respond(composed, with_key("GLOSSARIA_TRIAL_KEY", lambda key: lambda text: f"{key[:0]}{len(text)}"), fresh_folder(spark, "keyed"))
+    return answered.select("batch_id", "words", "response")
+
+
+def package_status(spark, sf_dir):
+    """What writing the package returns, and how many notes are then there for each word."""
+    path = fresh_folder(spark, "package")
+    status = write_package(_notes(spark, sf_dir).withColumnRenamed("p_partkey", "batch_id"), path)
+    found = read_package(spark, path)[0].groupBy("Word").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("Word", "n", F.lit(status.removeprefix(path)).alias("status"))
 
 
 def text_sources(spark, sf_dir):
@@ -271,10 +324,45 @@ def provider_answers(spark, sf_dir):
     return respond(composed, lambda: lambda text: f"second {len(text)}", path).select("item_id", "response")
 
 
+def session_notes(spark, sf_dir):
+    """Views of words that have three notes each, whose lists differ and change: later views have a sentence more."""
+    side = F.when(F.col("event_type") == "view", "front").when(F.col("event_type") == "click", "back")
+    letters, shift = F.array(*map(F.lit, "abcdef")), (F.col("event_id") % 3).cast("int")
+    more = F.when(F.col("event_id") % 5 > 2, 1).otherwise(0)
+    lists = F.slice(letters, shift + 1, (F.col("user_id") % 3).cast("int") + more + 1)
+    views = _table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("k"), F.col("user_id") % 10).alias("key"), side.alias("side"), lists.alias("sentences")).where("side is not null")
+    return replayed(views, stretch=1000).select("event_id", "key", "side", "chosen")
+
+
+def salvaged_notes(spark, sf_dir):
+    """Notes of responses of which some are cut off, anywhere."""
+    cut = F.floor(F.length("response") * (F.col("p_partkey") % 11) / 10).cast("int")
+    responses = _responses(spark, sf_dir).select("p_partkey", F.substring(F.col("response"), F.lit(1), cut).alias("response"))
+    return notes(responses, "salvage", carry=("p_partkey",)).select("p_partkey", "pos", *FIELDS)
+
+
+def salvage_rejects(spark, sf_dir):
+    """How many objects of each response that was cut off are whole."""
+    cut = F.floor(F.length("response") * (F.col("p_partkey") % 11) / 10).cast("int")
+    responses = _responses(spark, sf_dir).select("p_partkey", F.substring(F.col("response"), F.lit(1), cut).alias("response"))
+    return rejects(responses, carry=("p_partkey",), salvaging=True).select("p_partkey", "pos", "reason")
+
+
+def word_coverage(spark, sf_dir):
+    """Which words got a card, where answers lack words, have others, or have them with letters missing, changed or added."""
+    word = F.concat("p_name", F.lit(" "), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 4))
+    asked = _table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("batch_id"), word.alias("word"), (F.col("p_partkey") % 8).alias("kind"))
+    w = F.col("word")
+    given = F.when(F.col("kind") == 1, F.concat(w.substr(1, 1), F.substring(w, 3, 99))).when(F.col("kind") == 2, F.concat(w.substr(2, 1), w.substr(1, 1), F.substring(w, 3, 99)))
+    given = given.when(F.col("kind") == 3, F.concat(w, F.lit("x"))).when(F.col("kind") == 4, F.reverse(w)).when(F.col("kind") == 5, F.upper(w)).otherwise(w)
+    return coverage(asked, asked.where("kind > 0").select("batch_id", given.alias("Word")))
+
+
 QUERIES = {f.__name__: f for f in (
     prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, random_choice, sentence_membership, state_key_plain_text, front_render, back_render,
     deck_accumulate, deck_package, log_entries, text_sources, run_deck, required_keys, rejected_responses, contract_checks, session_epochs, session_choices, session_stream,
-    strict_parse_cases, replay_provider, provider_answers,
+    strict_parse_cases, replay_provider, provider_answers, log_of_calls, latest_responses, deck_growth, notes_from_file, keyed_provider, package_status,
+    session_notes, salvaged_notes, salvage_rejects, word_coverage,
 )}
 
 _PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
@@ -286,6 +374,12 @@ d AS (SELECT *, min(event_id) OVER (PARTITION BY key, epoch) AS drawn FROM e)
 SELECT event_id, key, side, CASE WHEN n > 0 THEN chr((97 + ('0x' || substr(md5('#' || key || '#' || drawn), 1, 8))::BIGINT % n)::INT) END AS chosen FROM d"""
 
 
+#: Where each object of a response ends, and how much of the response is kept.
+_CUT_SQL = """, objects AS (SELECT *, length(to_json({'Word': "Word", 'Sentences': "Sentences", 'Meaning': "Meaning", 'Pronunciation': "Pronunciation"})::VARCHAR) + 1 AS n FROM raw),
+cut AS (SELECT *, sum(n) OVER (PARTITION BY p_partkey ORDER BY pos) AS upto, ((sum(n) OVER (PARTITION BY p_partkey) + 1) * (p_partkey % 11)) // 10 AS keep FROM objects)
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -311,6 +405,33 @@ UNION ALL SELECT 1, p_partkey, pos, "Word" FROM raw""",
     "deck_package": _DEFINITIONS_SQL + f"""SELECT p_partkey, pos, "Word", sha256("Word" || chr(31) || "Sentences" || chr(31) || "Meaning" || chr(31) || "Pronunciation") AS note_key,
 {NOTE_TYPE_ID}::BIGINT AS note_type_id, '{NOTE_TYPE_NAME}' AS note_type, '{",".join(FIELDS)}' AS fields, '{TEMPLATE_NAME}' AS template_name, {DECK_ID}::BIGINT AS deck_id, '{DECK_NAME}' AS deck FROM raw""",
     "log_entries": "SELECT (row_number() OVER (ORDER BY conv_id % 2, conv_id, turn, text) - 1)::INT AS pos, text AS entry FROM conversations",
+    "log_of_calls": f"""WITH runs AS (SELECT 0 AS run, text, min(item_id) AS i FROM benchmark WHERE item_id % 3 <> 0 GROUP BY text
+UNION ALL SELECT 1, text, min(item_id) FROM benchmark WHERE text NOT IN (SELECT text FROM benchmark WHERE item_id % 3 <> 0) GROUP BY text)
+SELECT row_number() OVER (ORDER BY run, i) - 1 AS pos, (length(text) + {len(PROMPT)}) || ' ' || right({_PROMPT_SQL} || text, 40) AS entry FROM runs""",
+    "latest_responses": _DEFINITIONS_SQL + 'SELECT p_partkey, pos, "Word" FROM raw WHERE p_partkey % 2 = 1',
+    "deck_growth": _DEFINITIONS_SQL + """SELECT 0 AS batch_order, 'even' AS batch_key, p_partkey, pos, "Word" FROM raw WHERE p_partkey % 2 = 0
+UNION ALL SELECT 1, 'all', p_partkey, pos, "Word" FROM raw""",
+    "notes_from_file": _DEFINITIONS_SQL + """SELECT (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS pos, "Word", "Meaning", chosen, front_html FROM fronts WHERE pos = 0""",
+    "keyed_provider": f"SELECT r_regionkey::VARCHAR AS batch_id, r_name AS words, (length(r_name) + {len(PROMPT)})::VARCHAR AS response FROM region",
+    "session_notes": """WITH RECURSIVE v AS (SELECT event_id, 'k' || user_id % 10 AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
+  ['a', 'b', 'c', 'd', 'e', 'f'][event_id % 3 + 1 : event_id % 3 + 1 + user_id % 3 + CASE WHEN event_id % 5 > 2 THEN 1 ELSE 0 END] AS l,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('view', 'click')),
+d AS (SELECT *, l[1 + ('0x' || substr(md5('#' || key || '#' || event_id), 1, 8))::BIGINT % len(l)] AS drawn FROM v),
+r AS (SELECT event_id, key, side, i, drawn AS chosen FROM d WHERE i = 1
+  UNION ALL SELECT d.event_id, d.key, d.side, d.i, CASE WHEN r.side = 'front' AND list_contains(d.l, r.chosen) THEN r.chosen ELSE d.drawn END FROM r JOIN d ON d.key = r.key AND d.i = r.i + 1)
+SELECT event_id, key, side, chosen FROM r""",
+    "salvaged_notes": _DEFINITIONS_SQL + _CUT_SQL + """SELECT p_partkey, pos, "Word", "Sentences", "Meaning", "Pronunciation" FROM cut WHERE upto <= keep""",
+    "salvage_rejects": _DEFINITIONS_SQL + _CUT_SQL + """SELECT p_partkey, (count(*) FILTER (WHERE upto <= keep))::INT AS pos, 'document' AS reason FROM cut WHERE p_partkey % 11 < 10 GROUP BY p_partkey""",
+    "word_coverage": """WITH a AS (SELECT p_size::VARCHAR AS batch_id, p_name || ' ' || substr(md5(p_partkey::VARCHAR), 1, 4) AS w, p_partkey % 8 AS kind FROM part),
+want AS (SELECT DISTINCT batch_id, w AS word FROM a),
+have AS (SELECT DISTINCT batch_id, lower(CASE kind WHEN 1 THEN w[1] || substr(w, 3) WHEN 2 THEN w[2] || w[1] || substr(w, 3) WHEN 3 THEN w || 'x' WHEN 4 THEN reverse(w) ELSE w END) AS answer FROM a WHERE kind > 0),
+pairs AS (SELECT batch_id, word, answer, levenshtein(word, answer)::INT AS edits FROM want JOIN have USING (batch_id)
+  WHERE (batch_id, word) NOT IN (SELECT (batch_id, answer) FROM have) AND (batch_id, answer) NOT IN (SELECT (batch_id, word) FROM want)),
+best AS (SELECT batch_id, word, answer, edits FROM pairs WHERE edits <= CASE WHEN greatest(length(word), length(answer)) >= 6 THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY batch_id, word ORDER BY edits, answer) = 1)
+SELECT batch_id, word, word AS answer, 'answered' AS status, 0 AS edits FROM want WHERE (batch_id, word) IN (SELECT (batch_id, answer) FROM have)
+UNION ALL SELECT batch_id, word, answer, CASE WHEN answer IS NULL THEN 'skipped' ELSE 'corrected' END, edits FROM want LEFT JOIN best USING (batch_id, word) WHERE (batch_id, word) NOT IN (SELECT (batch_id, answer) FROM have)
+UNION ALL SELECT batch_id, NULL, answer, 'unasked', NULL FROM have WHERE (batch_id, answer) NOT IN (SELECT (batch_id, word) FROM want) AND (batch_id, answer) NOT IN (SELECT (batch_id, answer) FROM best)""",
+    "package_status": _DEFINITIONS_SQL + """SELECT "Word", count(*) AS n, ': deck written' AS status FROM raw GROUP BY "Word\"""",
     "text_sources": "SELECT item_id, replace(text, chr(13) || chr(10), chr(10)) || chr(10) || 'second' || chr(10) || 'third' || chr(10) AS words FROM benchmark",
     "run_deck": """WITH n AS (SELECT n_name AS w, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i FROM nation),
 d AS (SELECT (2 * i + k)::INT AS pos, w AS "Word", CASE k WHEN 0 THEN 'first ' ELSE 'second ' END || w AS "Meaning", CASE k WHEN 0 THEN '' ELSE lower(w) END AS p,
