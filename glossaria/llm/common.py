@@ -138,7 +138,9 @@ def _bounded(ranged: DataFrame, chunk_bytes: int) -> DataFrame:
     every = ranged.join(hot, "chunk", "left_anti").select(*ranged.columns, F.lit(0).alias("_part")).unionByName(cut)
     counted = every.select("chunk", "_part").distinct()
     numbers = counted.select("chunk", "_part", (F.row_number().over(Window.orderBy("chunk", "_part")) - 1).alias("_number"))  # one small row for each chunk
-    return every.join(F.broadcast(written(numbers, "chunk-numbers")), ["chunk", "_part"]).withColumn("chunk", F.col("_number")).select(*ranged.columns)
+    numbers = written(numbers, "chunk-numbers")
+    numbers = F.broadcast(numbers) if numbers.count() <= RANGES * RANGES // 4 else numbers
+    return every.join(numbers, ["chunk", "_part"]).withColumn("chunk", F.col("_number")).select(*ranged.columns)
 
 
 def _id_ranges(docs: DataFrame, bounds: list[int]) -> DataFrame:

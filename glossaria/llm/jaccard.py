@@ -16,7 +16,7 @@ from .fusefilter import mix
 from .substring_dedup import _windowed, chunk_words
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Text bytes for each range of shingle hashes that one task counts, and the most ranges.
+#: Text bytes for each range of shingle hashes that one task counts, and into how many ranges a task deals what it has.
 RANGE_BYTES, RANGES = 12 << 20, 4096
 #: Rounds in which every member of a bucket meets one leader, and members that the last search holds against each other at a time.
 ROUNDS, BLOCK = 2, 1000
@@ -64,9 +64,12 @@ def prefix_keys(chosen: DataFrame, similar: float = SIMILAR, fold: bool = False)
     shingles that only this text has. ``fold``: words are taken with A-Z lower-cased.
 
     The order is by a class of the frequency, then by hash. Frequencies are counted by cells of the hash, in ranges of
-    the hash that each fit a task; a shared cell is a shared key, so a collision can only add a candidate.
+    the hash that each fit a task; a shared cell is a shared key, so a collision can only add a candidate. Beyond RANGES
+    ranges, cells have 64 bits instead of 32, and ranges are dealt in several levels (``_kinds``), whatever their number.
     """
-    ranges = min(RANGES, max(1, math.ceil(text_bytes(chosen) / RANGE_BYTES)))
+    ranges = max(1, math.ceil(text_bytes(chosen) / RANGE_BYTES))
+    wide, first = ranges > RANGES, min(RANGES, ranges)
+    form = "<u8" if wide else "<u4"
 
     def deal(batches):
         for whole in batches:
@@ -74,47 +77,115 @@ def prefix_keys(chosen: DataFrame, similar: float = SIMILAR, fold: bool = False)
                 found = _distinct_shingles(batch, fold)
                 flat = np.concatenate(found)
                 owner = np.repeat(np.arange(len(found), dtype="<u2"), [len(x) for x in found])
-                at = ((flat >> _U(32)) * _U(ranges) >> _U(32)).astype(np.uint16)
+                at = _digit(flat, 1, first)
                 order = np.argsort(at, kind="stable")
-                ends = np.cumsum(np.bincount(at, minlength=ranges))
-                cells, owner, lo = flat[order].astype("<u4"), owner[order], 0
+                ends = np.cumsum(np.bincount(at, minlength=first))
+                cells, owner, lo = flat[order].astype(form), owner[order], 0
                 reps = batch["rep"].to_pylist()
-                columns = [[reps[0]] * ranges, list(range(ranges)), [reps, *[None] * (ranges - 1)], [], []]
+                columns = [[reps[0]] * first, list(range(first)), [reps, *[None] * (first - 1)], [], []]
                 for end in ends.tolist():
                     columns[3].append(cells[lo:end].tobytes())
                     columns[4].append(owner[lo:end].tobytes())
                     lo = end
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "part", "reps", "cells", "owners"])
 
     def count(rows):
-        cells = [np.frombuffer(x, "<u4") for x in rows["cells"].to_pylist()]
-        _, where, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
-        kind = np.minimum(255, 8 * np.log2(n)).astype(np.uint8)[where]
-        ends = np.cumsum([len(x) for x in cells])
-        return rows.append_column("kinds", pa.array([kind[e - len(x) : e].tobytes() for e, x in zip(ends.tolist(), cells, strict=True)], pa.binary()))
+        return rows.append_column("kinds", _counted(rows["cells"], form))
 
     def choose(rows):
         reps = np.array(next(x for x in rows["reps"].to_pylist() if x is not None), np.int64)
-        cells, owner, kind = (np.concatenate([np.frombuffer(x, t) for x in rows[c].to_pylist()]) for c, t in (("cells", "<u4"), ("owners", "<u2"), ("kinds", "u1")))
-        part = np.repeat(rows["part"].to_numpy(), [len(x) // 4 for x in rows["cells"].to_pylist()])
-        low = mix(part.astype(_U) << _U(32) | cells.astype(_U), 12) >> _U(24)
-        ordered = np.sort(owner.astype(_U) << _U(48) | kind.astype(_U) << _U(40) | low)
-        owner = (ordered >> _U(48)).astype(np.int64)
+        cells, owner, kind = (np.concatenate([np.frombuffer(x, t) for x in rows[c].to_pylist()]) for c, t in (("cells", form), ("owners", "<u2"), ("kinds", "u1")))
+        if wide:
+            keys = mix(cells, 12)
+            order = np.lexsort((keys, kind, owner))
+            owner, kind, keys = owner[order].astype(np.int64), kind[order], keys[order]
+        else:
+            part = np.repeat(rows["part"].to_numpy(), [len(x) // 4 for x in rows["cells"].to_pylist()])
+            low = mix(part.astype(_U) << _U(32) | cells.astype(_U), 12) >> _U(24)
+            ordered = np.sort(owner.astype(_U) << _U(48) | kind.astype(_U) << _U(40) | low)
+            owner, kind, keys = (ordered >> _U(48)).astype(np.int64), ordered >> _U(40) & _U(255), ordered & _U((1 << 48) - 1)
         n = np.bincount(owner, minlength=len(reps))
         prefix = n - np.ceil(similar * n - 1e-9).astype(np.int64) + 1
-        pos = np.arange(len(ordered)) - (np.cumsum(n) - n)[owner]
-        shared = (ordered >> _U(40) & _U(255)) > 0
+        pos = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+        shared = kind > 0
         own = 1 - np.bincount(owner[shared], minlength=len(reps)) / np.maximum(n, 1)
-        keep = shared & (pos < prefix[owner]) & np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
-        owner, keys = owner[keep], ordered[keep] & _U((1 << 48) - 1)
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])[: len(owner)]
+        keep = shared & (pos < prefix[owner]) & new
+        owner, keys = owner[keep], keys[keep]
         return pa.table([pa.array(keys.view(np.int64)), pa.array(reps[owner]), pa.array(n[owner]), pa.array(pos[keep]), pa.array(own[owner])], names=["key", "rep", "n", "pos", "own"])
 
-    dealt = chosen.select("rep", "text").mapInArrow(deal, "piece long, part int, reps array<long>, cells binary, owners binary")
-    counted = dealt.groupBy("part").applyInArrow(count, "piece long, part int, reps array<long>, cells binary, owners binary, kinds binary")
+    held = "piece long, part long, reps array<long>, cells binary, owners binary"
+    dealt = chosen.select("rep", "text").mapInArrow(deal, held)
+    if wide:
+        dealt = written(dealt, "dealt-shingles")
+        counted = _with_kinds(dealt, _kinds(dealt.select("piece", "part", "cells"), ranges / first))
+    else:
+        counted = dealt.groupBy("part").applyInArrow(count, held + ", kinds binary")
     return counted.groupBy("piece").applyInArrow(choose, "key long, rep long, n long, pos long, own double")
 
 
+def _digit(hashes: np.ndarray, level: int, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges each hash belongs to. On every level it is another, independent part of the hash."""
+    x = hashes if level == 1 else mix(hashes, 100 + level)
+    return ((x >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _counted(column: pa.ChunkedArray, form: str) -> pa.Array:
+    """For each row's cells the classes of how often they occur in all rows: 0 for once, a byte for each."""
+    cells = [np.frombuffer(x, form) for x in column.to_pylist()]
+    _, where, n = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    kind = np.minimum(255, 8 * np.log2(n)).astype(np.uint8)[where]
+    ends = np.cumsum([len(x) for x in cells])
+    return pa.array([kind[e - len(x) : e].tobytes() for e, x in zip(ends.tolist(), cells, strict=True)], pa.binary())
+
+
+def _with_kinds(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    return rows.join(kinds.select(F.col("piece").alias("_piece"), F.col("part").alias("_part"), "kinds"), (F.col("piece") == F.col("_piece")) & (F.col("part") == F.col("_part"))).drop("_piece", "_part")
+
+
+def _kinds(rows: DataFrame, more: float, level: int = 2) -> DataFrame:
+    """piece, part and kinds for rows (piece, part, cells of 64 bits), where each part is still ``more`` ranges' worth.
+
+    The rows of a part are taken together in blocks of about RANGES pieces, so that a block is as large as a piece was;
+    each block deals its cells to at most RANGES finer parts. What they count comes back to the block, and from it to the
+    rows. Where a finer part is still too large, its blocks are dealt once more in the same way.
+    """
+    blocks = max(1, math.ceil(rows.select("piece").distinct().count() / RANGES))
+    finer = min(RANGES, math.ceil(more))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
+
+    def inside(block: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes of the block's rows in the order of piece, all their cells, and in which order they are dealt."""
+        block = block.sort_by("piece")
+        cells = [np.frombuffer(x, "<u8") for x in block["cells"].to_pylist()]
+        flat = np.concatenate(cells)
+        at = _digit(flat, level, finer)
+        return [len(x) for x in cells], flat, at, np.argsort(at, kind="stable")
+
+    def deal(block: pa.Table) -> pa.Table:
+        _, flat, at, order = inside(block)
+        ends = np.cumsum(np.bincount(at, minlength=finer)).tolist()
+        dealt = np.split(flat[order], ends[:-1])
+        part, number = block["part"][0].as_py(), block["block"][0].as_py()
+        return pa.table([[number] * finer, [part * finer + i for i in range(finer)], pa.array([x.tobytes() for x in dealt], pa.binary())], names=["piece", "part", "cells"])
+
+    def back(block: pa.Table, found: pa.Table) -> pa.Table:
+        sizes, flat, _, order = inside(block)
+        kinds = np.empty(len(flat), np.uint8)
+        kinds[order] = np.frombuffer(b"".join(found.sort_by("part")["kinds"].to_pylist()), np.uint8)
+        block = block.sort_by("piece")
+        return pa.table([block["piece"], block["part"], pa.array([x.tobytes() for x in np.split(kinds, np.cumsum(sizes)[:-1])], pa.binary())], names=["piece", "part", "kinds"])
+
+    dealt = written(placed.groupBy("part", "block").applyInArrow(deal, "piece long, part long, cells binary"), f"dealt-{level}")
+    if more > RANGES:
+        counted = _kinds(dealt, more / finer, level + 1)
+    else:
+        counted = dealt.groupBy("part").applyInArrow(lambda rows: rows.select(["piece", "part"]).append_column("kinds", _counted(rows["cells"], "<u8")), "piece long, part long, kinds binary")
+    counted = counted.select(F.col("piece").alias("block"), F.floor(F.col("part") / finer).cast("long").alias("of"), "part", "kinds")
+    return written(placed.groupBy("part", "block").cogroup(counted.groupBy("of", "block")).applyInArrow(back, "piece long, part long, kinds binary"), f"kinds-{level}")
+
+
 def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR, fold: bool = False) -> DataFrame:
     """Links (a, b) that connect, with the links ``known``, all texts that share a key and whose index is ``similar`` or
     more, through chains of such texts too. ``keys``: key, rep, n, pos and own as by ``prefix_keys`` (0 where the key is
@@ -135,6 +206,8 @@ def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = N
     for number in range(ROUNDS + 1):
         roots = written(components(links), "roots")
         open_ = written(_unsettled(open_, roots), f"open-{number}")
+        if not open_.head(1):
+            return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         pairs = (_led(open_, number, similar) if number < ROUNDS else _across(open_, similar)).distinct()
         pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
@@ -165,16 +238,38 @@ def _led(members: DataFrame, number: int, similar: float) -> DataFrame:
     return _met(join_classes(members, leader, ["key"], "size", members.count()), similar)
 
 
+#: Texts whose numbers of shingles have the same logarithm to this base meet as one class.
+LENGTHS = 1.03
+
+
+def _partners(members: DataFrame, similar: float) -> DataFrame:
+    """Each row once for every class of lengths in which a text could be alike to its own: ``least`` and ``most``, the
+    lower and the higher of both classes.
+
+    What follows the shared shingle in the text must be enough for the index with the shortest text of that class. So a
+    text whose shared shingle comes late doesn't meet texts of its length at all, however many share it.
+    """
+    classes = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(LENGTHS) + 1e-9).cast("int")
+    n, own = F.col("n"), classes(F.col("n"))
+    reach = F.sequence(F.greatest(classes(F.floor(n * similar)) - 1, F.lit(0)), classes(F.ceil(n / similar)) + 1)
+    shortest = lambda c: F.floor(F.pow(F.lit(LENGTHS), c.cast("double")) * (1 - 1e-9))
+    fits = F.filter(reach, lambda c: n - F.col("pos") >= similar / (1 + similar) * (n + F.when(n > 0, shortest(c)).otherwise(0)) - 1e-6)
+    rows = members.withColumn("_other", F.explode(fits))
+    return rows.select(*members.columns, F.least(own, F.col("_other")).alias("least"), F.greatest(own, F.col("_other")).alias("most"), (own <= F.col("_other")).alias("lower"), (own >= F.col("_other")).alias("higher"))
+
+
 def _across(members: DataFrame, similar: float) -> DataFrame:
-    """Every member outside its bucket's largest group with every member of another group, in blocks of about BLOCK."""
+    """Every member outside its bucket's largest group with every member of another group that is of a fitting length, in
+    blocks of about BLOCK."""
     groups = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root"))
     main = groups.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.sum("n_root").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    full = written(join_classes(members, main, ["key"], "size", members.count()).withColumn("blocks", blocks), "across")
+    full = written(_partners(join_classes(members, main, ["key"], "size", members.count()).withColumn("blocks", blocks), similar), "across")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = full.select("key", block.alias("block"), *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "root")))
-    others = full.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "pos", "root")
-    return _met(others.join(every, ["key", "block"]), similar)
+    every = full.select("key", "least", "most", block.alias("block"), F.col("lower").alias("lower2"), F.col("higher").alias("higher2"), *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "pos", "root")))
+    others = full.where("root <> main").select("key", "least", "most", "lower", "higher", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "n", "pos", "root")
+    pairs = others.join(every, ["key", "least", "most", "block"]).where("(lower and higher2) or (higher and lower2)")
+    return _met(pairs, similar)
 
 
 def _shingle_sets(chosen: DataFrame, fold: bool) -> DataFrame:

@@ -156,3 +156,53 @@ def test_pairs_in_a_crowd_that_shares_a_long_passage_are_all_found(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()} == want
     links = simhash.near_texts(frame(spark, rows)).select("doc_id", "component_id").collect()
     assert all(r["component_id"] == {r["doc_id"]: r["component_id"] for r in links}[want[r["doc_id"]]] for r in links)
+
+
+@pytest.mark.parametrize(("range_bytes", "fan"), [(400, 7)])
+def test_ranges_of_shingles_in_several_levels(spark, monkeypatch, range_bytes, fan):
+    rng, texts = np.random.default_rng(12), []
+    for count in (20, 9):
+        texts += copies(rng, count, count // 2)
+    texts += ["", "one", "one two three four five", "one two three four five six"] + [" ".join(f"w{x}" for x in rng.integers(0, 300, 150)) for _ in range(40)]
+    want = got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id")
+    chosen = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(7)
+    one_level = {(r["rep"], r["n"], r["pos"] == 0) for r in jaccard.prefix_keys(chosen).collect()}
+    monkeypatch.setattr(jaccard, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(jaccard, "RANGES", fan)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 3000)
+    levels = []
+    real = jaccard._kinds
+    monkeypatch.setattr(jaccard, "_kinds", lambda rows, more, level=2: levels.append(level) or real(rows, more, level))
+    keys = jaccard.prefix_keys(chosen).collect()
+    assert max(levels) >= 3 and {(r["rep"], r["n"], r["pos"] == 0) for r in keys} == one_level
+    found = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    shared = {}
+    for r in keys:
+        shared.setdefault(r["key"], set()).add(r["rep"])
+    for i, a in enumerate(found):
+        for j in range(i):
+            if a and len(a & found[j]) >= 0.8 * len(a | found[j]):
+                assert any({i, j} <= reps for reps in shared.values())
+    assert got(simhash.near_texts(frame(spark, list(enumerate(texts)))), "component_id") == want == brute(texts, also=fp_links(texts))
+
+
+def test_a_templated_crowd_forms_few_pairs(spark):
+    """20,000 texts that share a passage of 60 words and have 12 of their own: none is alike to another."""
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"w{x}" for x in own)) for i, own in enumerate(rng.integers(0, 10**7, (20_000, 12)))]
+    chosen = spark.createDataFrame(rows, "rep long, text string").repartition(8)
+    keys = jaccard.written(jaccard.prefix_keys(chosen), "keys")
+    crowd = keys.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert crowd > 10_000
+    members = keys.withColumn("root", keys["rep"])
+    assert jaccard._across(members, 0.8).count() < 20_000
+
+
+def test_pairs_of_a_bucket_are_those_that_can_be_alike(spark):
+    """Pruning by classes of lengths loses no pair that the plain condition lets meet."""
+    rng = np.random.default_rng(14)
+    rows = [(int(k), i, int(n), int(rng.integers(0, n // 5 + 1)), 0.0, i) for i, (k, n) in enumerate(zip(rng.integers(0, 3, 400), rng.choice([1, 2, 3, 5, 10, 31, 32, 33, 40, 100, 125, 126], 400), strict=True))]
+    members = spark.createDataFrame(rows, "key long, rep long, n long, pos long, own double, root long")
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and min(a[2] - a[3], b[2] - b[3]) >= 0.8 / 1.8 * (a[2] + b[2]) - 1e-6}
+    assert {tuple(r) for r in jaccard._across(members, 0.8).collect()} == want and len(want) > 500
