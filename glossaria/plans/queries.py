@@ -20,6 +20,8 @@ from glossaria.schema import DECK_ID, DECK_NAME, FIELDS, NOTE_TYPE_ID, NOTE_TYPE
 from glossaria.sources.files import from_strings, read_log, read_package, whole_text, with_positions
 from glossaria.sources.scratch import fresh_folder
 from glossaria.sources.sinks import add_to_deck, append_log, read_deck, read_latest, write_latest, write_package
+from glossaria.streaming.session_processor import STORE
+from glossaria.streaming.session_processor import session_choices as timed_choices
 from glossaria.streaming.session_state import stream_choices
 
 PROMPT = "Define each of the following words and answer as a JSON array.\nWords:\n\n"
@@ -324,14 +326,36 @@ def provider_answers(spark, sf_dir):
     return respond(composed, lambda: lambda text: f"second {len(text)}", path).select("item_id", "response")
 
 
-def session_notes(spark, sf_dir):
-    """Views of words that have three notes each, whose lists differ and change: later views have a sentence more."""
+def _note_views(spark, sf_dir):
+    """Views of words that have three notes each, whose lists differ and change: some views have a sentence more."""
     side = F.when(F.col("event_type") == "view", "front").when(F.col("event_type") == "click", "back")
     letters, shift = F.array(*map(F.lit, "abcdef")), (F.col("event_id") % 3).cast("int")
-    more = F.when(F.col("event_id") % 5 > 2, 1).otherwise(0)
-    lists = F.slice(letters, shift + 1, (F.col("user_id") % 3).cast("int") + more + 1)
-    views = _table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("k"), F.col("user_id") % 10).alias("key"), side.alias("side"), lists.alias("sentences")).where("side is not null")
-    return replayed(views, stretch=1000).select("event_id", "key", "side", "chosen")
+    lists = F.slice(letters, shift + 1, (F.col("user_id") % 3).cast("int") + F.when(F.col("event_id") % 5 > 2, 1).otherwise(0) + 1)
+    views = _table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("k"), F.col("user_id") % 10).alias("key"), side.alias("side"), lists.alias("sentences"))
+    return views.where("side is not null")
+
+
+def session_notes(spark, sf_dir):
+    """The sentences that views show, by stretches of views of which each is a function of the state before it."""
+    return replayed(_note_views(spark, sf_dir), stretch=1000).select("event_id", "key", "side", "chosen")
+
+
+def session_timed_stream(spark, sf_dir):
+    """The same by keyed state in event time, over a stream of several files that don't come in the order of time."""
+    path, views = fresh_folder(spark, "timed"), _note_views(spark, sf_dir)
+    end = views.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("end").alias("key"), F.lit("front").alias("side"), F.array(F.lit("a")).alias("sentences"))
+    views.repartition(4, "event_id").write.parquet(f"{path}/in")
+    end.write.mode("append").parquet(f"{path}/in")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, STORE)
+    try:
+        stream = timed_choices(spark.readStream.schema(views.schema).parquet(f"{path}/in"), "1 day")
+        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.parquet(f"{path}/out").where("key <> 'end'").select("event_id", "key", "side", "chosen")
 
 
 def salvaged_notes(spark, sf_dir):
@@ -362,7 +386,7 @@ QUERIES = {f.__name__: f for f in (
     prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, random_choice, sentence_membership, state_key_plain_text, front_render, back_render,
     deck_accumulate, deck_package, log_entries, text_sources, run_deck, required_keys, rejected_responses, contract_checks, session_epochs, session_choices, session_stream,
     strict_parse_cases, replay_provider, provider_answers, log_of_calls, latest_responses, deck_growth, notes_from_file, keyed_provider, package_status,
-    session_notes, salvaged_notes, salvage_rejects, word_coverage,
+    session_notes, session_timed_stream, salvaged_notes, salvage_rejects, word_coverage,
 )}
 
 _PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
@@ -374,6 +398,15 @@ d AS (SELECT *, min(event_id) OVER (PARTITION BY key, epoch) AS drawn FROM e)
 SELECT event_id, key, side, CASE WHEN n > 0 THEN chr((97 + ('0x' || substr(md5('#' || key || '#' || drawn), 1, 8))::BIGINT % n)::INT) END AS chosen FROM d"""
 
 
+#: One view after another of each key.
+_NOTES_SQL = """WITH RECURSIVE v AS (SELECT event_id, 'k' || user_id % 10 AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
+  ['a', 'b', 'c', 'd', 'e', 'f'][event_id % 3 + 1 : event_id % 3 + 1 + user_id % 3 + CASE WHEN event_id % 5 > 2 THEN 1 ELSE 0 END] AS l,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('view', 'click')),
+d AS (SELECT *, l[1 + ('0x' || substr(md5('#' || key || '#' || event_id), 1, 8))::BIGINT % len(l)] AS drawn FROM v),
+r AS (SELECT event_id, key, side, i, drawn AS chosen FROM d WHERE i = 1
+  UNION ALL SELECT d.event_id, d.key, d.side, d.i, CASE WHEN r.side = 'front' AND list_contains(d.l, r.chosen) THEN r.chosen ELSE d.drawn END FROM r JOIN d ON d.key = r.key AND d.i = r.i + 1)
+SELECT event_id, key, side, chosen FROM r"""
+
 #: Where each object of a response ends, and how much of the response is kept.
 _CUT_SQL = """, objects AS (SELECT *, length(to_json({'Word': "Word", 'Sentences': "Sentences", 'Meaning': "Meaning", 'Pronunciation': "Pronunciation"})::VARCHAR) + 1 AS n FROM raw),
 cut AS (SELECT *, sum(n) OVER (PARTITION BY p_partkey ORDER BY pos) AS upto, ((sum(n) OVER (PARTITION BY p_partkey) + 1) * (p_partkey % 11)) // 10 AS keep FROM objects)
@@ -413,13 +446,8 @@ SELECT row_number() OVER (ORDER BY run, i) - 1 AS pos, (length(text) + {len(PROM
 UNION ALL SELECT 1, 'all', p_partkey, pos, "Word" FROM raw""",
     "notes_from_file": _DEFINITIONS_SQL + """SELECT (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS pos, "Word", "Meaning", chosen, front_html FROM fronts WHERE pos = 0""",
     "keyed_provider": f"SELECT r_regionkey::VARCHAR AS batch_id, r_name AS words, (length(r_name) + {len(PROMPT)})::VARCHAR AS response FROM region",
-    "session_notes": """WITH RECURSIVE v AS (SELECT event_id, 'k' || user_id % 10 AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
-  ['a', 'b', 'c', 'd', 'e', 'f'][event_id % 3 + 1 : event_id % 3 + 1 + user_id % 3 + CASE WHEN event_id % 5 > 2 THEN 1 ELSE 0 END] AS l,
-  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('view', 'click')),
-d AS (SELECT *, l[1 + ('0x' || substr(md5('#' || key || '#' || event_id), 1, 8))::BIGINT % len(l)] AS drawn FROM v),
-r AS (SELECT event_id, key, side, i, drawn AS chosen FROM d WHERE i = 1
-  UNION ALL SELECT d.event_id, d.key, d.side, d.i, CASE WHEN r.side = 'front' AND list_contains(d.l, r.chosen) THEN r.chosen ELSE d.drawn END FROM r JOIN d ON d.key = r.key AND d.i = r.i + 1)
-SELECT event_id, key, side, chosen FROM r""",
+    "session_notes": _NOTES_SQL,
+    "session_timed_stream": _NOTES_SQL,
     "salvaged_notes": _DEFINITIONS_SQL + _CUT_SQL + """SELECT p_partkey, pos, "Word", "Sentences", "Meaning", "Pronunciation" FROM cut WHERE upto <= keep""",
     "salvage_rejects": _DEFINITIONS_SQL + _CUT_SQL + """SELECT p_partkey, (count(*) FILTER (WHERE upto <= keep))::INT AS pos, 'document' AS reason FROM cut WHERE p_partkey % 11 < 10 GROUP BY p_partkey""",
     "word_coverage": """WITH a AS (SELECT p_size::VARCHAR AS batch_id, p_name || ' ' || substr(md5(p_partkey::VARCHAR), 1, 4) AS w, p_partkey % 8 AS kind FROM part),

@@ -50,7 +50,8 @@ def commit(rows: DataFrame, path: str, key: str | None = None, form: str = "parq
         return
     rows.write.format(form).save(f"{path}/parts/part={part}")
     number = (commits(spark, path).agg(F.max("batch")).first()[0] or 0) + 1
-    spark.createDataFrame([(number, key, part)], _COMMITS).coalesce(1).write.parquet(f"{path}/commits/commit={part}")
+    row = spark.range(1).select(F.lit(number).cast("long").alias("batch"), F.lit(key).cast("string").alias("key"), F.lit(part).alias("part"))
+    row.coalesce(1).write.parquet(f"{path}/commits/commit={part}")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:

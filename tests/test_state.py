@@ -1,10 +1,12 @@
 """Session state of several notes of a word: stretches of views as functions, against a replay one view after another."""
 
+import datetime
 import random
 
 import pytest
 
 from glossaria.operators.state import Run, draw, replayed
+from glossaria.streaming.session_processor import STORE, session_choices
 
 KINDS = "key string, ts long, event_id long, side string, sentences array<string>"
 
@@ -63,3 +65,59 @@ def test_functions_of_stretches_compose():
                 assert len(instead) <= len(part[0][2])
             state = run.kept.get(state, run.other) if part else state
         assert state == now
+
+
+TIMED = "key string, ts timestamp, event_id long, side string, sentences array<string>"
+
+
+@pytest.fixture
+def store(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STORE)
+    yield
+    spark.conf.set(name, before)
+
+
+def timed(n, seed):
+    return [(k, datetime.datetime.fromtimestamp(1_700_000_000 + ts, datetime.UTC), i, side, s) for k, ts, i, side, s in made_views(n, seed, ("hot", "cold", "x"))]
+
+
+def stream(spark, path, **options):
+    out = session_choices(spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), "30 seconds", "s", **options)
+    query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return query
+
+
+def test_a_stream_that_restarts_equals_the_replay(spark, tmp_path, store):
+    rows = timed(180, 3)
+    mixed = sorted(rows, key=lambda r: (r[2] // 30, r[2] * 7919 % 30))  # out of order within 30 views, 10 seconds
+    end = ("end", datetime.datetime(2030, 1, 1, tzinfo=datetime.UTC), 10_000, "front", ["s0"])
+    for part in (mixed[:60], mixed[60:100]):
+        spark.createDataFrame(part, TIMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    first = stream(spark, tmp_path)
+    assert sum(p["numInputRows"] > 0 for p in first.recentProgress) == 2
+    early = spark.read.parquet(f"{tmp_path}/out").count()
+    for part in (mixed[100:], [end]):
+        spark.createDataFrame(part, TIMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream(spark, tmp_path)
+    got = {r["event_id"]: r["chosen"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    got.pop(10_000, None)
+    want = {r["event_id"]: r["chosen"] for r in replayed(spark.createDataFrame(rows, TIMED), "s", stretch=20).collect()}
+    assert got == want and len(got) == 180 and 0 < early < 100
+
+
+def test_sessions_begin_with_a_table_and_end(spark, tmp_path, store):
+    at = lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC)
+    options = [f"s{i}" for i in range(50)]
+    rows = [("a", at(0), 1, "front", options), ("a", at(50), 2, "front", options), ("a", at(200), 3, "front", options), ("b", at(5), 4, "front", options), ("c", at(5), 5, "front", ["z"]), ("end", at(100_000), 6, "front", ["z"])]
+    spark.createDataFrame(rows, TIMED).coalesce(1).write.parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([("a", "s7", 1_699_999_990_000), ("b", "s8", 1_699_999_000_000), ("c", "s9", 1_699_999_990_000), ("d", "s9", 1_699_999_990_000)], "key string, sentence string, seen long")
+    stream(spark, tmp_path, idle_ms=60_000, initial=known)
+    got = {r["event_id"]: r["chosen"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[1] == got[2] == "s7" and got[3] == draw(options, "s", "a", 3) and got[4] == draw(options, "s", "b", 4) and got[5] == "z"
+    spark.createDataFrame([("end", at(200_000), 7, "front", ["z"])], TIMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream(spark, tmp_path, idle_ms=60_000, initial=known)  # timers set by timers go off in the next batch
+    left = spark.read.format("statestore").option("stateVarName", "stored").load(f"{tmp_path}/state").collect()
+    assert [r["key"]["key"] for r in left] in ([], ["end"])  # timers removed what sessions had left
