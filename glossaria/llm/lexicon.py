@@ -33,14 +33,13 @@ LEXICON, LONGEST, FLOOR = 50_000, 32, 4
 
 
 def count_words(docs: DataFrame, vocabulary_path: str, floor: int = FLOOR) -> DataFrame:
-    """(word, n) over all plain texts of ``docs``: counts by partition, summed by Spark."""
+    """(word, n) over all texts of ``docs``: counts by partition, summed by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.of(vocabulary_path)
         hashes, totals, known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, f"S{LONGEST}")
         for batch in batches:
-            for data, first in _joined(words, batch["text"]):
-                begin, end = (cut_cased if words.cased else cut_bytes)(data, first)
+            for data, begin, end in _joined(words, batch["text"]):
                 short = end - begin <= LONGEST
                 begin, end = begin[short], end[short]
                 distinct, where, n = np.unique(word_hashes(data, begin, end), return_index=True, return_counts=True)
@@ -55,20 +54,29 @@ def count_words(docs: DataFrame, vocabulary_path: str, floor: int = FLOOR) -> Da
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _joined(words: Words, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Plain texts in a row, and where each begins; about TOGETHER bytes at a time."""
-    some, size = [], 0
+def _joined(words: Words, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in a row, about TOGETHER bytes at a time, and where their words begin and end. Texts that aren't plain are
+    cut by the library; those of a vocabulary that changes letters, or with a special token, are left out."""
+    some, odd, size = [], [], 0
     for text in [*column, None]:
         value = text.as_py() if text is not None else ""
         if value and words.plain(value):
             some.append(value.encode())
             size += len(some[-1])
-        if some and (text is None or size >= TOGETHER):
-            data = np.frombuffer(b"".join(some), np.uint8)
-            first = np.zeros(len(data), bool)
-            first[np.cumsum([0, *map(len, some[:-1])])] = True
-            yield (lowered(data) if words.cased else data), first
-            some, size = [], 0
+        elif value and (pieces := words.pieces(value)) is not None:
+            odd += pieces
+            size += len(value)
+        if text is None or size >= TOGETHER:
+            if some:
+                data = np.frombuffer(b"".join(some), np.uint8)
+                first = np.zeros(len(data), bool)
+                first[np.cumsum([0, *map(len, some[:-1])])] = True
+                data = lowered(data) if words.cased else data
+                yield data, *(cut_cased if words.cased else cut_bytes)(data, first)
+            if odd:
+                ends = np.cumsum([len(w) for w in odd], dtype=np.int64)
+                yield np.frombuffer(b"".join(odd), np.uint8), np.concatenate([[0], ends[:-1]]), ends
+            some, odd, size = [], [], 0
 
 
 def compile_lexicon(words: list[bytes], ids: list[np.ndarray]) -> dict[str, np.ndarray]:
@@ -183,19 +191,20 @@ class Decoder:
 
 
 def frequent_words(counts: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of ``counts`` (word, n), ``size`` at most, without a sort.
+    """The most frequent words of ``counts`` (word, n), ``size`` if there are as many, without a sort.
 
-    Words are counted by classes of their count, of which there are few hundred; all words of the highest classes that
-    hold ``size`` words at most come to the driver, and no other.
+    Words are counted by classes of their count, of which there are few hundred. All words of the highest classes come
+    to the driver, and of the next one as many as are still missing, those of the least hashes; no other.
     """
     classed = counts.withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int"))
-    total, least = 0, None
+    total, least, rest = 0, None, []
     for r in classed.groupBy("level").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
-        total += r["words"]
-        if total > size:
+        if total + r["words"] > size:
+            rest = classed.where(F.col("level") == r["level"]).orderBy(F.xxhash64("word"), "word").limit(size - total).select("word").collect()
             break
-        least = r["level"]
-    return [] if least is None else sorted(bytes(r["word"]) for r in classed.where(F.col("level") >= least).select("word").collect())
+        total, least = total + r["words"], r["level"]
+    every = classed.where(F.col("level") >= least).select("word").collect() if least is not None else []
+    return sorted(bytes(r["word"]) for r in [*every, *rest])
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, size: int = LEXICON) -> str:

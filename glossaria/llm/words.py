@@ -2,8 +2,9 @@
 
 A tokenizer's merges never cross the words that its pre-tokenizer cuts. Texts of ASCII and Latin letters are cut into
 words as array operations over their bytes; equal words are found by hashing and confirmed byte for byte, and each
-distinct one is merged once, or remembered from before. A text with any other character, with an apostrophe (they begin the pattern's contractions)
-or with a special token's string goes to the library whole.
+distinct one is merged once, or remembered from before. A text with any other character, or with an apostrophe (they
+begin the pattern's contractions), is cut by the library; its words are then merged here like others. Texts with a special
+token's string, and those for a vocabulary that changes letters, go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from .fusefilter import mix
-from .merges import Merges
+from .merges import Merges, byte_letters
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
 
@@ -38,6 +39,9 @@ _LOWER[65:91] += 32
 _BYTE_PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ſ]*")
 _CASE_PLAIN = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*")
 
+#: The byte that each letter of a byte-level vocabulary stands for.
+_BYTE_OF = {ord(letter): byte for byte, letter in byte_letters().items()}
+
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
@@ -162,13 +166,36 @@ class Words:
         pattern = _CASE_PLAIN if self.cased else _BYTE_PLAIN
         return bool(pattern.fullmatch(text)) and not ("<|" in text and any(s in text for s in self.specials))
 
+    def pieces(self, text: str) -> list[bytes] | None:
+        """The words that the library cuts a text into; None if its ids aren't those of its words one by one."""
+        if self.cased or any(s in text for s in self.specials):
+            return None
+        return [word.translate(_BYTE_OF).encode("latin-1") for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _encode_pieces(self, texts: list[tuple[int, list[bytes]]], out: list) -> None:
+        words = [w for _, pieces in texts for w in pieces]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        end, ids, counts = np.cumsum(lengths), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if words:
+            ids, counts = self._ids(np.frombuffer(b"".join(words), np.uint8), end - lengths, end)
+        marks = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *(len(pieces) for _, pieces in texts)])]
+        for k, (i, _) in enumerate(texts):
+            out[i] = ids[marks[k] : marks[k + 1]]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        some, size = [], 0
+        some, odd, size, odd_size = [], [], 0, 0
         for i, text in enumerate(texts):
             if not self.plain(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                if (pieces := self.pieces(text)) is None:
+                    out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    continue
+                odd.append((i, pieces))
+                odd_size += len(text)
+                if odd_size >= TOGETHER:
+                    self._encode_pieces(odd, out)
+                    odd, odd_size = [], 0
                 continue
             some.append((i, text.encode()))
             size += len(some[-1][1])
@@ -176,6 +203,7 @@ class Words:
                 self._encode_plain(some, out)
                 some, size = [], 0
         self._encode_plain(some, out)
+        self._encode_pieces(odd, out)
         return out
 
     def _encode_plain(self, some: list[tuple[int, bytes]], out: list) -> None:

@@ -1,13 +1,16 @@
 """Words are told apart by their bytes: words whose polynomial hashes agree, and hashes that collide on purpose."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from glossaria.llm import lexicon, substring_dedup, words
+from glossaria.llm.words import Words
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,3 +77,42 @@ def test_codes_of_such_words_through_spark(spark):
     tokenizer = words.Words.of(BYTE).tokenizer
     got = {r["doc_id"]: r["ids"] for r in lexicon.encode_and_decode(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, digests=False).collect()}
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in rows}
+
+
+def made_text(rng, n):
+    parts = ["it's", "we'll", "naïve", "Straße", "日本語の文章", "русский язык", "العربية", "हिन्दी", "ภาษาไทย", "한국어", "🙂🙃", "e\u0301", "\u200b", "\u3000", "…", "—", "١٢٣", "½", "٣", "x" * 201, "é" * 150, "  ", "\n\n", "\t", " ", "'s", "don't", "123", "a_b", "\x00", "\x85", "\ufeff", "𝔘𝔫𝔦", "<|", "|>"]
+    return "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n"]) for _ in range(n))
+
+
+def test_ids_of_every_script_are_the_library_s():
+    rng = random.Random(3)
+    texts = [made_text(rng, rng.randrange(30)) for _ in range(1500)] + ["<|endoftext|>", "a <|endoftext|> ü's", "", " ", "plain"]
+    for path in (BYTE, WORD):
+        library, words = Tokenizer.from_file(path), Words(path)
+        library.no_truncation(), library.no_padding()
+        got = words.encode(texts)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(not Words.of(BYTE).plain(t) for t in texts) > 1000
+
+
+def test_the_lexicon_meets_words_of_every_script(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["слово", "язык", "日本", "語", "it's", "naïve…", "한국어", "हिन्दी"]) for _ in range(40)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = [0, 0]
+    known = lexicon.Lexicon(lexicon.build_lexicon(docs, BYTE))
+    for text in texts:
+        numbers = known.numbers(Words.of(BYTE).pieces(text))
+        met[0] += int((numbers >= 0).sum())
+        met[1] += len(numbers)
+    assert met[0] / met[1] > 0.98, met
+    library = Tokenizer.from_file(BYTE)
+    for r in lexicon.encode_and_decode(docs, BYTE, digests=False).collect():
+        assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["decoded"] == texts[r["doc_id"]]
+
+
+def test_words_of_equal_count_fill_the_lexicon(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 7) for i in range(3000)] + [(b"often", 900)], "word binary, n long")
+    found = lexicon.frequent_words(counts, 1000)
+    assert len(found) == 1000 and b"often" in found and found == sorted(found)
+    assert found == lexicon.frequent_words(counts.repartition(7), 1000) and len(lexicon.frequent_words(counts, 5000)) == 3001
