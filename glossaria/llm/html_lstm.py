@@ -11,6 +11,7 @@ import random
 import zlib
 from dataclasses import dataclass
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 
@@ -227,3 +228,18 @@ def train(pages: int = 2400, epochs: int = 10, seed: int = 4) -> Labeller:
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 model.weights[k] = model.weights[k] - np.float32(0.02 * 0.82**epoch) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
     return model
+
+
+#: Where the weights that ``python -m glossaria.llm.html_lstm`` has learned are kept.
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
+
+
+@cache
+def pretrained() -> Labeller:
+    """The kept weights: what ``train`` learns. A change of the features, the pages or the fit needs them anew."""
+    with np.load(WEIGHTS) as kept:
+        return Labeller({name: kept[name] for name in kept.files})
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **train().weights)

@@ -6,7 +6,7 @@ import pytest
 
 from glossaria.llm.html_blocks import blocks
 from glossaria.llm.html_extract import main_texts
-from glossaria.llm.html_lstm import STRETCH, train
+from glossaria.llm.html_lstm import STRETCH, pretrained
 
 RECIPE = (
     """<html><head><title>Plum cake</title><style>.a{}</style></head><body>
@@ -64,7 +64,7 @@ PLAIN = ("<h1>A short note</h1><p>There is nothing else on this page.</p><p>It h
 @pytest.mark.parametrize("page", [RECIPE, NEWS, DOCS, OLD, BLOG, PLAIN], ids="recipe news docs old blog plain".split())
 def test_pages_by_hand(page):
     source, want = page
-    got = main_texts([source], train())[0].split("\n\n")
+    got = main_texts([source], pretrained())[0].split("\n\n")
     assert got == want
 
 
@@ -84,7 +84,7 @@ def test_long_pages_are_read_in_stretches_alike():
     page = blocks("<nav><a>m</a></nav><article>" + "".join(f"<p>Sentence number {i} of a text.</p>" for i in range(150)) + "</article><footer>f</footer>")
     import glossaria.llm.html_lstm as lstm
 
-    model, whole = train(), None
+    model, whole = pretrained(), None
     for stretch in (STRETCH, 40):
         lstm.STRETCH, before = stretch, lstm.STRETCH
         try:
