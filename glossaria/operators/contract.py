@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaria.functions.forms import forms, ipa
 from glossaria.functions.text import sentence_list
 
 SENTENCES = 4
@@ -22,6 +23,23 @@ def pronounced(pronunciation: Column) -> Column:
     return F.coalesce(pronunciation, F.lit("")) != ""
 
 
+def forms_bold(sentences: Column, word: Column, listed: Column | None = None) -> Column:
+    """Whether there are sentences and each emboldens the word or one of its ``forms``, whatever its capitals."""
+    items, allowed = sentence_list(sentences), forms(word, listed)
+    bold = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit("<strong>(.*?)</strong>")), F.trim)
+    return F.coalesce((F.size(items) > 0) & F.forall(items, lambda s: F.arrays_overlap(bold(s), allowed)), F.lit(False))
+
+
+def checked_forms(notes: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``notes`` with bold_forms and is_ipa. ``listed``: (word, form), forms that no rule makes."""
+    sentences, rows = F.col("Sentences"), notes
+    if listed is not None:
+        by_word = listed.groupBy(F.lower(F.trim("word")).alias("_head")).agg(F.collect_set("form").alias("_listed"))  # few forms of each word
+        rows = notes.join(by_word, F.lower(F.trim(F.col("Word"))) == F.col("_head"), "left")
+    bold = forms_bold(sentences, F.col("Word"), F.col("_listed") if listed is not None else None)
+    return rows.withColumns({"bold_forms": bold, "is_ipa": ipa(F.col("Pronunciation"))}).drop("_head", "_listed")
+
+
 def checked(notes: DataFrame) -> DataFrame:
     """``notes`` with four_sentences, all_bold and has_pronunciation."""
     sentences = F.col("Sentences")

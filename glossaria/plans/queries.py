@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions.text import needs_choice, random_pick, sentence_list, state_key
 from glossaria.operators.cards import cards
-from glossaria.operators.contract import checked
+from glossaria.operators.contract import checked, checked_forms
 from glossaria.operators.coverage import coverage
 from glossaria.operators.parse import accumulated, json_rows, notes, parsed, rejects
 from glossaria.operators.respond import ask, compose, log_answers, replay, respond, with_key
@@ -253,6 +253,17 @@ def contract_checks(spark, sf_dir):
     return checked(rows).select("p_partkey", "four_sentences", "all_bold", "has_pronunciation")
 
 
+def contract_forms(spark, sf_dir):
+    """Sentences that embolden a form of the word, one that a table lists, or another word; transcriptions and others."""
+    part, kind = _table(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    bold = F.when(kind == 0, F.concat("p_name", F.lit("s"))).when(kind == 1, F.upper("p_name")).when(kind == 2, F.concat("p_name", F.lit("zz"))).when(kind == 3, F.concat(F.lit("old "), "p_name")).otherwise(F.concat("p_name", F.lit("'s")))
+    letters = F.translate(F.col("p_name"), "aeioucgqy", "æɛɪɒʌkɡki")
+    spoken = F.when(kind == 0, F.concat(F.lit("/"), letters, F.lit("/"))).when(kind == 1, F.upper("p_name")).when(kind == 2, F.concat(F.lit("/"), letters)).when(kind == 3, F.concat(letters, F.lit("ˈ"))).otherwise(F.concat(F.lit("ˈ"), letters))
+    rows = part.select("p_partkey", F.col("p_name").alias("Word"), F.concat(F.lit("A <strong>"), bold, F.lit("</strong> here|<strong>"), "p_name", F.lit("</strong>")).alias("Sentences"), spoken.alias("Pronunciation"))
+    listed = part.where("p_size % 2 = 0").select(F.col("p_name").alias("word"), F.concat(F.lit("old "), "p_name").alias("form")).distinct()
+    return checked_forms(rows, listed).select("p_partkey", "bold_forms", "is_ipa")
+
+
 def session_epochs(spark, sf_dir):
     side = F.when(F.col("event_type") == "view", "front").when(F.col("event_type") == "click", "back")
     views = _table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("key"), side.alias("side")).where("side is not null")
@@ -386,7 +397,7 @@ QUERIES = {f.__name__: f for f in (
     prompt_compose, json_explode_events, notes_from_response, sentence_split, sentence_choice, random_choice, sentence_membership, state_key_plain_text, front_render, back_render,
     deck_accumulate, deck_package, log_entries, text_sources, run_deck, required_keys, rejected_responses, contract_checks, session_epochs, session_choices, session_stream,
     strict_parse_cases, replay_provider, provider_answers, log_of_calls, latest_responses, deck_growth, notes_from_file, keyed_provider, package_status,
-    session_notes, session_timed_stream, salvaged_notes, salvage_rejects, word_coverage,
+    contract_forms, session_notes, session_timed_stream, salvaged_notes, salvage_rejects, word_coverage,
 )}
 
 _PROMPT_SQL = "'" + PROMPT.replace("'", "''") + "'"
@@ -475,6 +486,8 @@ SELECT p_partkey, 0 AS pos, CASE p_partkey % 11 WHEN 7 THEN 'element' WHEN 8 THE
     "required_keys": """SELECT p_partkey, CASE WHEN p_size % 35 = 0 THEN 'missing Meaning,Pronunciation' WHEN p_size % 5 = 0 THEN 'missing Meaning'
 WHEN p_size % 7 = 0 THEN 'missing Pronunciation' ELSE 'ok' END AS problem FROM part""",
     "contract_checks": """SELECT p_partkey, p_size % 5 = 2 AS four_sentences, p_size % 5 >= 2 AS all_bold, p_size % 3 = 2 AS has_pronunciation FROM part""",
+    "contract_forms": """SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN FALSE WHEN 3 THEN p_name IN (SELECT p_name FROM part WHERE p_size % 2 = 0) ELSE TRUE END AS bold_forms,
+p_partkey % 5 IN (0, 4) AS is_ipa FROM part""",
     "session_epochs": """SELECT event_id, user_id AS key, CASE event_type WHEN 'view' THEN 'front' ELSE 'back' END AS side,
 coalesce(sum(CASE event_type WHEN 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS epoch
 FROM events WHERE event_type IN ('view', 'click')""",
