@@ -318,10 +318,13 @@ CASES = [
 
 
 def strict_parse_cases(spark, sf_dir):
-    rows = parsed(spark.createDataFrame([(n, r) for n, r, _ in CASES], "name string, response string"), carry=("name",))
-    found = rows.groupBy("name").agg(F.max("problem").alias("problem"), F.count(F.lit(1)).cast("string").alias("n"))
-    names = spark.createDataFrame([(n,) for n, _, _ in CASES], "name string")
-    return names.join(found, "name", "left").select("name", F.coalesce("problem", "n", F.lit("0")).alias("outcome"))
+    """A case for every part, with the part's name as the word: what the parse makes of it."""
+    part = _table(spark, sf_dir, "part")
+    case = F.element_at(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("text")) for n, r, _ in CASES)), (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    cases = part.select("p_partkey", case.alias("case"), F.concat(F.lit('"Word":"'), "p_name", F.lit('"')).alias("word"))
+    responses = cases.select("p_partkey", "case.name", F.replace("case.text", F.lit('"Word":"a"'), F.col("word")).alias("response"))
+    found = parsed(responses, carry=("p_partkey",)).groupBy("p_partkey").agg(F.max("problem").alias("problem"), F.count(F.lit(1)).cast("string").alias("n"))
+    return responses.join(found, "p_partkey", "left").select("p_partkey", "name", F.coalesce("problem", "n", F.lit("0")).alias("outcome"))
 
 
 def replay_provider(spark, sf_dir):
@@ -493,7 +496,7 @@ coalesce(sum(CASE event_type WHEN 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY
 FROM events WHERE event_type IN ('view', 'click')""",
     "session_choices": _SESSIONS_SQL,
     "session_stream": _SESSIONS_SQL,
-    "strict_parse_cases": f"SELECT name, outcome FROM (VALUES {', '.join(f'({_quoted(n)}, {_quoted(o)})' for n, _, o in CASES)}) AS t(name, outcome)",
+    "strict_parse_cases": f"SELECT p_partkey, name, outcome FROM part JOIN (VALUES {', '.join(f'({i}, {_quoted(n)}, {_quoted(o)})' for i, (n, _, o) in enumerate(CASES))}) AS t(i, name, outcome) ON i = p_partkey % {len(CASES)}",
     "provider_answers": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN 'first ' ELSE 'second ' END || (length(text) + {len(PROMPT)}) AS response FROM benchmark",
     "replay_provider": f"SELECT item_id, CASE WHEN item_id % 3 <> 0 THEN '[] for ' || md5({_PROMPT_SQL} || text) END AS response FROM benchmark",
 }

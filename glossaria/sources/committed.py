@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _COMMITS = "batch long, key string, part string"
-#: Commits that are broadcast; more are joined by shuffling.
-BROADCAST = 100_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,17 +28,20 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def commits(spark: SparkSession, path: str) -> DataFrame:
-    """batch, key, part of each batch that counts: one small row for each."""
+def _rows(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, f"{path}/commits"):
         return spark.createDataFrame([], _COMMITS)
-    rows = spark.read.schema(_COMMITS).parquet(f"{path}/commits").select("batch", "key", "part")
-    first = Window.partitionBy(F.coalesce("key", "part")).orderBy("batch", "part")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return spark.read.schema(_COMMITS).parquet(f"{path}/commits").select("batch", "key", "part")
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """batch, key, part of each batch that counts: one small row for each."""
+    first = F.min(F.struct("batch", "part")).alias("first")
+    return _rows(spark, path).groupBy(F.coalesce("key", "part").alias("_of"), "key").agg(first).select("first.batch", "key", "first.part")
 
 
 def committed(spark: SparkSession, path: str, key: str) -> bool:
-    return bool(commits(spark, path).where(F.col("key") == key).head(1))
+    return bool(_rows(spark, path).where(F.col("key") == key).head(1))
 
 
 def commit(rows: DataFrame, path: str, key: str | None = None, form: str = "parquet") -> None:
@@ -49,7 +50,7 @@ def commit(rows: DataFrame, path: str, key: str | None = None, form: str = "parq
     if key is not None and committed(spark, path, key):
         return
     rows.write.format(form).save(f"{path}/parts/part={part}")
-    number = (commits(spark, path).agg(F.max("batch")).first()[0] or 0) + 1
+    number = (_rows(spark, path).agg(F.max("batch")).first()[0] or 0) + 1
     row = spark.range(1).select(F.lit(number).cast("long").alias("batch"), F.lit(key).cast("string").alias("key"), F.lit(part).alias("part"))
     row.coalesce(1).write.parquet(f"{path}/commits/commit={part}")
 
@@ -63,9 +64,9 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``commits`` with place, from 0 in their order; broadcast unless there are very many."""
-    known = commits(spark, path).withColumn("place", (F.row_number().over(Window.orderBy("batch", "part")) - 1).cast("int"))  # one small row for each batch
-    return F.broadcast(known) if known.count() <= BROADCAST else known
+    """``commits`` with place, from 0 in their order."""
+    order = Window.orderBy("batch", "part")  # one small row for each batch
+    return commits(spark, path).withColumn("place", (F.row_number().over(order) - 1).cast("int"))
 
 
 def every(spark: SparkSession, path: str) -> DataFrame:
