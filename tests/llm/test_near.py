@@ -158,7 +158,7 @@ def test_pairs_in_a_crowd_that_shares_a_long_passage_are_all_found(spark):
     assert all(r["component_id"] == {r["doc_id"]: r["component_id"] for r in links}[want[r["doc_id"]]] for r in links)
 
 
-@pytest.mark.parametrize(("range_bytes", "fan"), [(400, 7)])
+@pytest.mark.parametrize(("range_bytes", "fan"), [(1500, 4)])
 def test_ranges_of_shingles_in_several_levels(spark, monkeypatch, range_bytes, fan):
     rng, texts = np.random.default_rng(12), []
     for count in (20, 9):
