@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import types as T
 
 from glossaria.llm import language, lexical_search, whitening
-from tests.llm.test_edges import CLASHES, ROWS, frame
+from test_edges import CLASHES, ROWS, frame
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 

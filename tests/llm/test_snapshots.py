@@ -4,7 +4,7 @@ import hashlib
 from collections import defaultdict
 
 from glossaria.llm import snapshots
-from tests.llm.test_edges import ROWS, SAME, frame
+from test_edges import ROWS, SAME, frame
 
 
 def test_a_batch_against_snapshots(spark, tmp_path):
