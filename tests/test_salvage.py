@@ -6,7 +6,7 @@ import re
 
 from glossaria.operators.parse import notes, parsed, rejects
 from glossaria.operators.salvage import whole_elements
-from tests.test_flashcards import _documents
+from test_flashcards import _documents
 
 _GAP = re.compile(r"[ \t\n\r]*")
 
