@@ -112,7 +112,11 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, penalty: float = PE
 def pretrained() -> UrlModel:
     """The kept weights: what ``train`` learns from ``labelled_urls``. A change of the table or the fit needs them anew."""
     kept = json.loads(WEIGHTS.read_text())
-    return UrlModel(*([dict(map(tuple, kept[n])).get(i, 0.0) for i in range(kept["dimensions"])] for n in ("hosts", "paths")), kept["intercept"])
+    weights = {n: [0.0] * kept["dimensions"] for n in ("hosts", "paths")}
+    for n, values in weights.items():
+        for bucket, weight in kept[n]:
+            values[bucket] = weight
+    return UrlModel(weights["hosts"], weights["paths"], kept["intercept"])
 
 
 def keep(model: UrlModel) -> None:
