@@ -19,4 +19,7 @@ def spark():
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from glossaria.sources.scratch import clear
+
+    clear(session)
     session.stop()
