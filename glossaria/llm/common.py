@@ -112,7 +112,7 @@ def id_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     fine = min(RANGES, math.ceil(n / RANGES))
     ranges = math.ceil(n / fine) if n < RANGES * RANGES else RANGES
     at = sorted({RANGES * i // ranges for i in range(1, ranges)} - {0})
-    ranged = _id_ranges(docs, [bounds[i - 1] for i in at] if bounds else [])
+    ranged = id_ranges(docs, [bounds[i - 1] for i in at] if bounds else [])
     if fine == 1:
         return _bounded(ranged, chunk_bytes), size
     probabilities = [i / fine for i in range(1, fine)]
@@ -143,15 +143,15 @@ def _bounded(ranged: DataFrame, chunk_bytes: int) -> DataFrame:
     return every.join(numbers, ["chunk", "_part"]).withColumn("chunk", F.col("_number")).select(*ranged.columns)
 
 
-def _id_ranges(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """``chunk`` by bounds that the driver holds."""
+def id_ranges(docs: DataFrame, bounds: list[int], column: str = "chunk") -> DataFrame:
+    """``column``: numbers of ranges of doc_id by bounds that the driver holds; null ids come last."""
     if not bounds:
-        return docs.withColumn("chunk", F.when(F.col("doc_id").isNull(), 1).otherwise(0))
+        return docs.withColumn(column, F.when(F.col("doc_id").isNull(), 1).otherwise(0))
     splits = sorted({-math.inf, *(float(x) + 0.5 for x in bounds), math.inf})
     numbered = docs.withColumn("chunk_key", F.col("doc_id").cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="chunk_key", outputCol="chunk", handleInvalid="keep")
+    cut = Bucketizer(splits=splits, inputCol="chunk_key", outputCol=column, handleInvalid="keep")
     last = F.lit(len(splits))
-    return cut.transform(numbered).withColumn("chunk", F.coalesce(F.col("chunk").cast("int"), last)).drop("chunk_key")
+    return cut.transform(numbered).withColumn(column, F.coalesce(F.col(column).cast("int"), last)).drop("chunk_key")
 
 
 #: A class is hot from this many rows, and from one HOT_SHARE-th of all rows.

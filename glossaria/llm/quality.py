@@ -124,12 +124,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from the labelled rows that aren't held out: all of them, or an even sample of about ``fit_rows``."""
+def learnable(labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id and y of the labels that aren't held out: all of them, or an even sample of about ``fit_rows``."""
     usable = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0)).where(~held_out(F.col("doc_id")))
     n = usable.count()
     if n > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(fit_rows / n * (1 << 20)))
+    return usable
+
+
+def fit(stats: DataFrame, usable: DataFrame) -> Model:
+    """Learns from the rows of ``stats`` that ``usable`` has labels for."""
     # The labels are bounded by about fit_rows, so they go to the statistics, which stay where they are.
     rows = written(stats.join(F.broadcast(usable), "doc_id").select("y", "stats"), "labelled")
     rng = np.random.default_rng(7)
@@ -184,13 +189,15 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     stats = written(document_statistics(texts(docs)), "statistics")
-    return scores(stats, fit(stats, labels))
+    return scores(stats, fit(stats, learnable(labels)))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose own text scores at least ``threshold``."""
-    stats = written(document_statistics(texts(docs)), "statistics")
-    model = fit(stats, labels)
+    usable = learnable(labels)
+    # Statistics are taken of labelled texts here, and of every text where it is judged, without keeping them.
+    labelled = texts(docs).join(F.broadcast(usable.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(document_statistics(labelled), usable)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

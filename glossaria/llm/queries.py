@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from .common import table
+from .common import table, texts
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .language import languages
@@ -20,7 +20,7 @@ from .packing import packing
 from .quality import quality
 from .simhash import simhash
 from .substring_dedup import substring_dedup
-from .token_files import token_files
+from .token_files import look_up, token_files, write_shards
 from .url_filter import url_filter, url_parts
 from .whitening import whiten
 
@@ -84,12 +84,18 @@ def near_duplicate_classes(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def token_ids_by_key(spark, sf_dir):
+    """Operator 9's files, asked for the ids of every document that has a label."""
+    manifest = write_shards(texts(table(spark, sf_dir, "documents")), public_tokenizers.path(BYTE))
+    return look_up(manifest, table(spark, sf_dir, "labels"))
+
+
 def url_rules(spark, sf_dir):
     """Operator 7's hosts, paths and rules, without the model."""
     return url_parts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_bpe, op4_substring_dedup, op5_simhash, op6_html, op7_url_filter, op8_quality, op9_token_files, op10_exact_dedup, op11_language, op12_search, op13_whitening, near_duplicate_classes, url_rules)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_bpe, op4_substring_dedup, op5_simhash, op6_html, op7_url_filter, op8_quality, op9_token_files, op10_exact_dedup, op11_language, op12_search, op13_whitening, near_duplicate_classes, token_ids_by_key, url_rules)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 

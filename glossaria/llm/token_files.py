@@ -7,7 +7,8 @@ reads a bounded number of places; a key that isn't there fails the fingerprint b
 
 Defined cases: a null text counts as empty and has only the end id. Repeated ids stay, ordered by text, as one run of
 rows under their key. Null ids come after all others and have no key; they are read by their place. An empty table
-gives no file and no rows. Extra columns are not looked at.
+gives no file and no rows. Extra columns are not looked at. ``look_up`` gives every row of a key, no row for null keys and for keys
+that aren't there, and repeats nothing for repeated keys.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, id_chunks, new_path, texts, written
+from .common import CHUNK_BYTES, RANGES, id_chunks, id_ranges, new_path, texts, written
 from .fusefilter import mix
 from .shared_files import pack, read_bytes, unpack, write_bytes
 from .words import Words
 
 END_ID = 2
+#: Ids that a look-up returns in one batch, but for a single document of more.
+BATCH_IDS = 1 << 20
 _U = np.uint64
 
 
@@ -95,12 +98,18 @@ class Shard:
         at[there], n[there] = self.arrays["at"][slot[there]], self.arrays["runs"][slot[there]]
         return at, n
 
+    def rows_of(self, key: int) -> range:
+        """The rows of one key, compared by the key itself."""
+        at, n = self.rows(np.array([key]))
+        return range(at[0], at[0] + n[0]) if n[0] and self.keys[at[0]] == key else range(0)
+
     def ids(self, row: int) -> np.ndarray:
         return self.payload[self.ends[row] : self.ends[row + 1]].astype("<u4")
 
 
 def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataFrame:
-    """Encodes ``docs`` (doc_id, text) and writes the shards. Returns their manifest: chunk, path, documents, tokens, start.
+    """Encodes ``docs`` (doc_id, text) and writes the shards. Returns their manifest: chunk, path, documents, tokens,
+    first_id, last_id (null where no row has an id), start.
 
     ``start``: the ids of all shards before. A lost task writes its shard again under another name, and only files of
     tasks that ended are in the manifest.
@@ -114,9 +123,11 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
         keys = rows["doc_id"].drop_null().to_numpy()
         path = f"{folder}/{uuid.uuid4().hex}.tokens"
         write_bytes(path, shard_parts(ids, keys, words.tokenizer.get_vocab_size()))
-        return pa.table({"chunk": rows["chunk"][:1], "path": [path], "documents": pa.array([len(ids)], pa.int64()), "tokens": pa.array([sum(map(len, ids))], pa.int64())})
+        numbers = [len(ids), sum(map(len, ids)), *((keys[0], keys[-1]) if len(keys) else (None, None))]
+        return pa.Table.from_arrays([rows["chunk"][:1].combine_chunks(), pa.array([path]), *(pa.array([x], pa.int64()) for x in numbers)], ["chunk", "path", "documents", "tokens", "first_id", "last_id"])
 
-    manifest = written(id_chunks(docs, CHUNK_BYTES)[0].groupBy("chunk").applyInArrow(write, "chunk int, path string, documents long, tokens long"), "manifest")
+    schema = "chunk int, path string, documents long, tokens long, first_id long, last_id long"
+    manifest = written(id_chunks(docs, CHUNK_BYTES)[0].groupBy("chunk").applyInArrow(write, schema), "manifest")
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one small row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -141,6 +152,46 @@ def read_shards(manifest: DataFrame, shards: int) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """The documents of ``keys`` from the files of ``manifest``: doc_id, start (ids of all documents before), n_tokens, ids.
+
+    A key meets the shards whose range of ids holds it: ranges are dealt to at most RANGES cells by their quantiles, so
+    that a key is compared with one shard in so many. Pairs of shard and key are then dealt by ranges of both; a shard that
+    many keys ask for is read by several tasks.
+    """
+    ranges = manifest.where("first_id IS NOT NULL").select("chunk", "path", "start", "first_id", "last_id")
+    bounds = ranges.agg(F.percentile_approx("first_id", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []
+    cells = [id_ranges(ranges.select("chunk", F.col(c).alias("doc_id")), bounds, "cell").select("chunk", F.col("cell").alias(f"{c}_cell")) for c in ("first_id", "last_id")]
+    spans = ranges.join(cells[0], "chunk").join(cells[1], "chunk")
+    spans = spans.select("*", F.explode(F.sequence("first_id_cell", "last_id_cell")).alias("cell"))
+    asked = id_ranges(keys.select(F.col(key_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), bounds, "cell")
+    met = asked.join(spans, "cell").where(F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    dealt = met.select("chunk", "doc_id", "path", "start").repartitionByRange("chunk", "doc_id").sortWithinPartitions("chunk", "doc_id")
+
+    def batch_of(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        ids, starts, held = zip(*out, strict=True)
+        ends = np.cumsum([0, *map(len, held)])
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(np.diff(ends), pa.int64()), flat], ["doc_id", "start", "n_tokens", "ids"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, shard, out, size = None, None, [], 0
+        for batch in batches:
+            for key, path, start in zip(*(batch[c].to_pylist() for c in ("doc_id", "path", "start")), strict=True):
+                if path != opened:
+                    opened, shard = path, Shard(path)
+                for row in shard.rows_of(key):
+                    out.append((key, start + int(shard.ends[row]), shard.ids(row)))
+                    size += len(out[-1][2])
+                    if size >= BATCH_IDS:
+                        yield batch_of(out)
+                        out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
 def token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     manifest = write_shards(texts(docs, id_col, text_col), vocabulary_path, end_id)
     return read_shards(manifest, manifest.count())

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from glossaria.llm import exact_dedup, html_extract, lexicon, minhash, packing, quality, simhash, substring_dedup, token_files, url_filter, url_table
+from glossaria.llm import common, exact_dedup, html_extract, lexicon, minhash, packing, quality, simhash, substring_dedup, token_files, url_filter, url_table
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 CLASHES = ["chunk", "sha", "fp", "n", "grp", "rep", "part", "bucket", "guest", "root", "block", "data", "stats", "top", "own"]
@@ -219,6 +219,26 @@ def test_token_files(spark, docs, none):
     assert token_files.token_files(none, BYTE).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [8 << 20, 3000])
+def test_token_files_by_key(spark, docs, none, monkeypatch, chunk):
+    """Every row of a key, also where its rows lie in several shards; nothing for absent and null keys."""
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(token_files, "BATCH_IDS", 50)
+    rows = [*ROWS, *((40 + i % 50, f"text number {i} of id {40 + i % 50}") for i in range(900)), *((60, f"hot {i}") for i in range(600))]
+    tokenizer, start, want = Tokenizer.from_file(BYTE), 0, []
+    keys = [7, 7, 60, 41, None, -5, 6, 10**12, 5_000_000_000, 1, 2, 30, 4]
+    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        want += [(i, start, len(ids), ids)] * (i in keys and i is not None)
+        start += len(ids)
+    manifest = token_files.write_shards(common.texts(frame(spark, rows)), BYTE)
+    assert (manifest.count() > 5) == (chunk == 3000)
+    asked = frame(spark, [(k, "") for k in keys], "key")
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in token_files.look_up(manifest, asked, "key").collect())
+    assert token_files.look_up(manifest, asked.limit(0), "key").count() == 0
+    assert token_files.look_up(token_files.write_shards(common.texts(none), BYTE), asked, "key").count() == 0
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 63, 5000):
         keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
@@ -264,7 +284,9 @@ def test_quality(spark, docs, none):
     assert quality.quality(none, labels).count() == 0
     filled = docs.fillna("", ["text"])
     assert quality.good_documents(filled, labels).schema == filled.schema
-    quality.good_documents(docs, labels).count()
+    one_text = [i for i, _ in ROWS if [j for j, _ in ROWS].count(i) == 1]  # elsewhere the id doesn't say which row a score is of
+    kept = [r["doc_id"] for r in quality.good_documents(docs, labels).collect()]
+    assert sorted(i for i in kept if i in one_text) == sorted(r["doc_id"] for r in got if r["doc_id"] in one_text and r["predicted"])
 
 
 def test_pool_adjacent():
@@ -288,6 +310,8 @@ def test_html(spark):
     assert len(got) == len(PAGES) and got[1, None] == "" and got[2, "no scheme"] == ""
     assert got[6, "://"] == "T t\n\none two three"
     assert html_extract.extract(frame(spark, [], "page_id", ("url", "html"))).count() == 0
+    thrice = [tuple(r) for r in html_extract.extract(frame(spark, PAGES * 3, "page_id", ("url", "html"))).collect()]
+    assert len(thrice) == 3 * len(PAGES) and all(thrice.count(r) == 3 for r in thrice)
 
 
 def test_html_labeller_on_unseen_pages():
@@ -328,6 +352,8 @@ def test_url_filter(spark):
     assert sorted(want, key=repr) == [g[:4] for g in got]
     assert {g[3]: g[4] for g in got if g[3]} == {"example.net/en/": "allow", "net/": "block", "org/fr/": "allow", "example.com/de/": "block"}
     assert url_filter.url_filter(frame(spark, [], "page_id", ("url", "html"))).count() == 0
+    thrice = [tuple(r) for r in url_filter.url_filter(frame(spark, PAGES * 3, "page_id", ("url", "html"))).collect()]
+    assert len(thrice) == 3 * len(PAGES) and all(thrice.count(r) == 3 for r in thrice)
 
 
 def test_url_model_on_domains_that_it_has_not_seen(spark):
