@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from glossaria.operators import coverage as coverage_module
 from glossaria.operators.coverage import asked_words, coverage, deletion_keys
 
 
@@ -72,3 +73,28 @@ def test_keys_are_few(spark):
 def test_asked_words_are_lines(spark):
     rows = asked_words(spark.createDataFrame([("1", "one\n\n two \n"), ("2", None)], "batch_id string, words string")).collect()
     assert [(r["batch_id"], r["word"]) for r in rows] == [("1", "one"), ("1", " two ")]
+
+
+def test_keys_are_not_broadcast(spark):
+    """A table of words looks small; its keys are a hundred times as many rows."""
+    words = spark.range(400).select(F.lit("b").alias("batch_id"), F.concat(F.lit("word "), F.substring(F.md5(F.col("id").cast("string")), 1, 6)).alias("word"))
+    words = spark.createDataFrame(words.collect(), words.schema)
+    plan = coverage(words.where("word < 'word 8'"), words.where("word >= 'word 8'").withColumnRenamed("word", "Word"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_keys_of_two_edits_are_made_for_open_words_only(spark, monkeypatch):
+    """Words with a partner one edit away don't meet those two edits away, and take the nearest all the same."""
+    met = []
+    nearest = coverage_module._nearest
+
+    def counted(open_, other, edits):
+        met.append((edits, sorted(r["word"] for r in open_.collect())))
+        return nearest(open_, other, edits)
+
+    monkeypatch.setattr(coverage_module, "_nearest", counted)
+    asked = spark.createDataFrame([("x", "valley"), ("x", "garden"), ("x", "lonely")], "batch_id string, word string")
+    answered = spark.createDataFrame([("x", "vallxy"), ("x", "aalexy"), ("x", "gardxx"), ("x", "gaxxen")], "batch_id string, Word string")
+    got = {r["word"]: (r["answer"], r["edits"]) for r in coverage(asked, answered).where("word is not null").collect()}
+    assert got == {"valley": ("vallxy", 1), "garden": ("gardxx", 2), "lonely": (None, None)}
+    assert met == [(1, ["garden", "lonely", "valley"]), (2, ["garden", "lonely"])]
