@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,10 +15,14 @@ OUT = "key string, event_id long, side string, chosen string"
 _VIEW = "us: long, event_id: long, side: string, sentences: array<string>"
 #: What Spark's state store must be for this operator.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Milliseconds whose views wait together, and views of a key that are dealt to them at a time.
+WIDTH, VIEWS = 3_600_000, 50_000
 
 
 class Session(StatefulProcessor):
-    """Views wait, by their time, until the watermark has passed it; a timer then takes those of that time one after another.
+    """Views wait, in parts by the hour of their time, until the watermark has passed it; an hour's timer, set to its first
+    view, then takes all that are due one after another. So the calls of the state store are as many as parts, not views,
+    and no part is written again because others come.
 
     The key's state is the stored sentence and when it was last seen. A session without views for ``idle_ms`` has ended:
     the next view finds nothing stored, and a timer removes what was. Without ``idle_ms`` sessions don't end.
@@ -29,7 +34,8 @@ class Session(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.stored = handle.getValueState("stored", "sentence string, seen long")
-        self.waiting = handle.getMapState("waiting", "ms long", f"views array<struct<{_VIEW}>>")
+        self.parts = handle.getMapState("parts", "hour long", "n int")
+        self.waiting = handle.getMapState("waiting", "hour long, part int", f"views array<struct<{_VIEW}>>")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
         if initialState["sentence"]:
@@ -37,33 +43,58 @@ class Session(StatefulProcessor):
             if self.idle:
                 self.handle.registerTimer(initialState["seen"] + self.idle)
 
+    def _wait(self, views: list[tuple]) -> None:
+        """A new part for each hour of ``views`` (us, event_id, side, sentences)."""
+        for hour, found in groupby(sorted(views, key=lambda v: v[0]), lambda v: v[0] // 1000 // WIDTH):
+            part, n = list(found), self.parts.getValue((hour,))
+            n = n[0] if n else 0
+            self.waiting.updateValue((hour, n), (part,))
+            self.parts.updateValue((hour,), (n + 1,))
+            self.handle.registerTimer(part[0][0] // 1000)
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in rows:
-            ms = row["us"] // 1000
-            before = self.waiting.getValue((ms,))
-            view = (row["us"], row["event_id"], row["side"], list(row["sentences"] or []))
-            self.waiting.updateValue((ms,), ([*(tuple(v) for v in before[0]), view] if before else [view],))
-            self.handle.registerTimer(ms)
+        views = []
+        for _, _, us, event_id, side, sentences in rows:
+            views.append((us, event_id, side, list(sentences or [])))
+            if len(views) == VIEWS:
+                self._wait(views)
+                views = []
+        self._wait(views)
         return iter(())
 
+    def _due(self, hour: int, ms: int, watermark: int) -> list[tuple]:
+        """The hour's views that the watermark has passed, in order; the others wait on, as one part."""
+        n = self.parts.getValue((hour,))
+        if not n:
+            return []
+        views = sorted(tuple(v) for i in range(n[0]) for v in self.waiting.getValue((hour, i))[0])
+        due = [v for v in views if v[0] // 1000 <= ms or v[0] // 1000 < watermark]
+        for i in range(n[0]):
+            self.waiting.removeKey((hour, i))
+        self.parts.removeKey((hour,))
+        if len(due) < len(views):
+            self._wait(views[len(due) :])
+        return due
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         ms = expiredTimerInfo.getExpiryTimeInMs()
         state = self.stored.get()
         sentence, seen = state if state else (None, ms)
-        if self.idle and ms - seen >= self.idle:
-            sentence = None
-        held = self.waiting.getValue((ms,))
-        for _, event_id, side, options in sorted(map(tuple, held[0])) if held else ():
+        due = self._due(ms // WIDTH, ms, timerValues.getCurrentWatermarkInMs())
+        for us, event_id, side, options in due:
+            if self.idle and us // 1000 - seen >= self.idle:
+                sentence = None
             if not sentence or sentence not in options:
                 sentence = draw(list(options), self.seed, key[0], event_id)
             yield Row(key=key[0], event_id=event_id, side=side, chosen=sentence)
-            sentence, seen = None if side == "back" else sentence, ms
-        if held:
-            self.waiting.removeKey((ms,))
+            sentence, seen = None if side == "back" else sentence, us // 1000
+        if self.idle and ms - seen >= self.idle:
+            sentence = None
         if sentence:
-            self.stored.update((sentence, seen))
-            if held and self.idle:
-                self.handle.registerTimer(ms + self.idle)
+            if due:
+                self.stored.update((sentence, seen))
+                if self.idle:
+                    self.handle.registerTimer(seen + self.idle)
         elif state:
             self.stored.clear()
 
@@ -77,5 +108,6 @@ def session_choices(views: DataFrame, delay: str = "10 minutes", seed: str = "",
     left out. Whoever starts the query must have set the state store to STORE.
     """
     rows = views.where("key is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    rows = rows.select("key", "ts", "us", "event_id", "side", "sentences")  # as handleInputRows takes them apart
     known = initial.groupBy("key") if initial is not None else None
     return rows.groupBy("key").transformWithState(Session(seed, idle_ms), OUT, "Append", "EventTime", known)

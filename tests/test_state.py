@@ -6,6 +6,7 @@ import random
 import pytest
 
 from glossaria.operators.state import Run, draw, replayed
+from glossaria.streaming import session_processor
 from glossaria.streaming.session_processor import STORE, session_choices
 
 KINDS = "key string, ts long, event_id long, side string, sentences array<string>"
@@ -121,3 +122,77 @@ def test_sessions_begin_with_a_table_and_end(spark, tmp_path, store):
     stream(spark, tmp_path, idle_ms=60_000, initial=known)  # timers set by timers go off in the next batch
     left = spark.read.format("statestore").option("stateVarName", "stored").load(f"{tmp_path}/state").collect()
     assert [r["key"]["key"] for r in left] in ([], ["end"])  # timers removed what sessions had left
+
+
+class Store:
+    """The state of one key, in memory, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.value = 0, set(), {}, None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def getValueState(self, *_):
+        return ValueOf(self)
+
+    def getMapState(self, name, *_):
+        return MapOf(self, self.maps.setdefault(name, {}))
+
+
+class ValueOf:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.value = value
+
+    def clear(self):
+        self.update(None)
+
+
+class MapOf:
+    def __init__(self, store, held):
+        self.store, self.held = store, held
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        self.held.pop(key, None)
+
+
+class At:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_calls_of_the_state_store_are_fewer_than_views(monkeypatch):
+    """Batches of views that come late and out of order, and watermarks that cut hours: the replay's sentences, by few calls."""
+    monkeypatch.setattr(session_processor, "VIEWS", 300)
+    rng, store, got = random.Random(5), Store(), {}
+    rows = [(k, ts * 20_000, i, side, s) for k, ts, i, side, s in made_views(4000, 5, ("hot",))]  # 20 seconds apart, in ms
+    session = session_processor.Session("s", None)
+    session.init(store)
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(3_000_000))
+    for at in range(0, len(mixed), 1000):
+        session.handleInputRows(("hot",), iter([(k, None, ms * 1000 + 7, i, side, s) for k, ms, i, side, s in mixed[at : at + 1000]]), None)
+        watermark = mixed[at + 1000][1] - 3_000_000 if at + 1000 < len(mixed) else 1 << 60
+        for ms in sorted(t for t in store.timers if t < watermark):
+            store.timers.discard(ms)
+            for r in session.handleExpiredTimer(("hot",), At(watermark), At(ms)):
+                got[r["event_id"]] = r["chosen"]
+    assert got == one_after_another(rows, "s") and not store.maps["waiting"] and not store.maps["parts"]
+    assert store.calls < len(rows) / 4
