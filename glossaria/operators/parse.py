@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossaria.operators.dealt import dealt
 from glossaria.operators.salvage import salvage
 from glossaria.schema import FIELDS
 
@@ -62,6 +63,8 @@ def parsed(responses: DataFrame, parser: str = "native", carry: tuple[str, ...]
     problem comes after them, with what is left as raw, and ``at`` says which character the first error stands at.
     """
     text, broken = F.col("response"), []
+    if salvaging or parser == "python":
+        responses = dealt(responses)
     if salvaging:
         responses = responses.select(*carry, "response", salvage("response").alias("_left"))
         text = F.when(F.col("_left.at").isNull(), F.col("response")).otherwise(F.concat(F.lit("["), F.array_join("_left.elements", ","), F.lit("]")))

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+from glossaria.operators import salvage as salvage_module
 from glossaria.operators.parse import notes, parsed, rejects
 from glossaria.operators.salvage import whole_elements
 from test_flashcards import _documents
@@ -100,3 +101,28 @@ def test_members_given_twice(spark):
     for parser in ("native", "python"):
         r = parsed(rows, parser, ("i",)).first()
         assert (r["Word"], r["Meaning"], r["problem"]) == (None, "n", None)
+
+
+def test_responses_of_one_file_are_salvaged_by_several_tasks(spark):
+    rows = spark.createDataFrame([(i, '[{"Word":"a"},{"b') for i in range(100)], "i int, response string").coalesce(1)
+    found = parsed(rows, carry=("i",), salvaging=True)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 200
+
+
+def test_plain_objects_are_not_taken_apart(monkeypatch):
+    """A response of many objects costs a few tokens for each, and gives what goes token by token in nested ones too."""
+    seen = []
+
+    class Counted:
+        @staticmethod
+        def match(text, at):
+            seen.append(at)
+            return token.match(text, at)
+
+    token = salvage_module._TOKEN
+    monkeypatch.setattr(salvage_module, "_TOKEN", Counted)
+    plain, nested = '{"a":"b\\"","c":-1.5}', '{"a":["b"]}'
+    text = "[" + ",".join([plain] * 50 + [nested] + [plain] * 50) + ',{"a'
+    spans, at = whole_elements(text)
+    assert [text[a:b] for a, b in spans] == [plain] * 50 + [nested] + [plain] * 50 and at == len(text) - 2
+    assert len(seen) < 220
