@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions.forms import forms, ipa
 from glossaria.functions.text import sentence_list
+from glossaria.operators.dealt import dealt
 
 SENTENCES = 4
 
@@ -27,7 +28,10 @@ def forms_bold(sentences: Column, word: Column, listed: Column | None = None) ->
     """Whether there are sentences and each emboldens the word or one of its ``forms``, whatever its capitals."""
     items, allowed = sentence_list(sentences), forms(word, listed)
     bold = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit("<strong>(.*?)</strong>")), F.trim)
-    return F.coalesce((F.size(items) > 0) & F.forall(items, lambda s: F.arrays_overlap(bold(s), allowed)), F.lit(False))
+    # The forms are named once, as the variable of a function: within that of the sentences they would be made for each.
+    both = F.array(F.struct(items.alias("items"), allowed.alias("allowed")))
+    every = F.get(F.transform(both, lambda x: (F.size(x["items"]) > 0) & F.forall(x["items"], lambda s: F.arrays_overlap(bold(s), x["allowed"]))), F.lit(0))
+    return F.coalesce(every, F.lit(False))
 
 
 def checked_forms(notes: DataFrame, listed: DataFrame | None = None) -> DataFrame:
@@ -37,7 +41,7 @@ def checked_forms(notes: DataFrame, listed: DataFrame | None = None) -> DataFram
         by_word = listed.groupBy(F.lower(F.trim("word")).alias("_head")).agg(F.collect_set("form").alias("_listed"))  # few forms of each word
         rows = notes.join(by_word, F.lower(F.trim(F.col("Word"))) == F.col("_head"), "left")
     bold = forms_bold(sentences, F.col("Word"), F.col("_listed") if listed is not None else None)
-    return rows.withColumns({"bold_forms": bold, "is_ipa": ipa(F.col("Pronunciation"))}).drop("_head", "_listed")
+    return dealt(rows).withColumns({"bold_forms": bold, "is_ipa": ipa(F.col("Pronunciation"))}).drop("_head", "_listed")
 
 
 def checked(notes: DataFrame) -> DataFrame:

@@ -59,3 +59,11 @@ def test_transcriptions_by_hand(spark):
     for words, want in ((IPA, True), (RESPELLED, False)):
         rows = spark.createDataFrame([(w.replace("_", " "),) for w in words], "p string")
         assert [r["p"] for r in rows.where(ipa(F.col("p")) != want).collect()] == []
+
+
+def test_notes_of_one_file_are_checked_by_several_tasks(spark):
+    rows = spark.createDataFrame([("run", "a <strong>runs</strong>|b <strong>ran</strong>", "/rʌn/"), ("run", "a <strong>runs</strong>|b <strong>walks</strong>", "ruhn"), (None, None, None)], "Word string, Sentences string, Pronunciation string").coalesce(1)
+    listed = spark.createDataFrame([("run", "ran")], "word string, form string")
+    found = checked_forms(rows, listed)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["bold_forms"], r["is_ipa"]) for r in found.collect()} == {(True, True), (False, False)}
