@@ -98,10 +98,12 @@ class Shard:
         at[there], n[there] = self.arrays["at"][slot[there]], self.arrays["runs"][slot[there]]
         return at, n
 
-    def rows_of(self, key: int) -> range:
-        """The rows of one key, compared by the key itself."""
-        at, n = self.rows(np.array([key]))
-        return range(at[0], at[0] + n[0]) if n[0] and self.keys[at[0]] == key else range(0)
+    def rows_of(self, keys: np.ndarray) -> list[range]:
+        """The rows of each key, compared by the key itself."""
+        at, n = self.rows(keys)
+        there = n > 0
+        there[there] = self.keys[at[there]] == keys[there]
+        return [range(a, a + k) for a, k in zip(at.tolist(), np.where(there, n, 0).tolist(), strict=True)]
 
     def ids(self, row: int) -> np.ndarray:
         return self.payload[self.ends[row] : self.ends[row + 1]].astype("<u4")
@@ -156,8 +158,9 @@ def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Da
     """The documents of ``keys`` from the files of ``manifest``: doc_id, start (ids of all documents before), n_tokens, ids.
 
     A key meets the shards whose range of ids holds it: ranges are dealt to at most RANGES cells by their quantiles, so
-    that a key is compared with one shard in so many. Pairs of shard and key are then dealt by ranges of both; a shard that
-    many keys ask for is read by several tasks.
+    that a key is compared with one shard in so many. Pairs of shard and key are then dealt by ranges of both, to as many
+    tasks as there are shards: a shard that many keys ask for is read by several tasks. A task looks up the keys that ask
+    for one shard together.
     """
     ranges = manifest.where("first_id IS NOT NULL").select("chunk", "path", "start", "first_id", "last_id")
     bounds = ranges.agg(F.percentile_approx("first_id", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []
@@ -166,7 +169,7 @@ def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Da
     spans = spans.select("*", F.explode(F.sequence("first_id_cell", "last_id_cell")).alias("cell"))
     asked = id_ranges(keys.select(F.col(key_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), bounds, "cell")
     met = asked.join(spans, "cell").where(F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
-    dealt = met.select("chunk", "doc_id", "path", "start").repartitionByRange("chunk", "doc_id").sortWithinPartitions("chunk", "doc_id")
+    dealt = met.select("chunk", "doc_id", "path", "start").repartitionByRange(max(1, ranges.count()), "chunk", "doc_id").sortWithinPartitions("chunk", "doc_id")
 
     def batch_of(out: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         ids, starts, held = zip(*out, strict=True)
@@ -177,15 +180,18 @@ def look_up(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Da
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, shard, out, size = None, None, [], 0
         for batch in batches:
-            for key, path, start in zip(*(batch[c].to_pylist() for c in ("doc_id", "path", "start")), strict=True):
-                if path != opened:
-                    opened, shard = path, Shard(path)
-                for row in shard.rows_of(key):
-                    out.append((key, start + int(shard.ends[row]), shard.ids(row)))
-                    size += len(out[-1][2])
-                    if size >= BATCH_IDS:
-                        yield batch_of(out)
-                        out, size = [], 0
+            paths, starts, asked_keys = batch["path"].to_pylist(), batch["start"].to_pylist(), batch["doc_id"].to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(len(paths)) if not i or paths[i] != paths[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(paths)], strict=True):
+                if paths[a] != opened:
+                    opened, shard = paths[a], Shard(paths[a])
+                for key, found in zip(asked_keys[a:b].tolist(), shard.rows_of(asked_keys[a:b]), strict=True):
+                    for row in found:
+                        out.append((key, starts[a] + int(shard.ends[row]), shard.ids(row)))
+                        size += len(out[-1][2])
+                        if size >= BATCH_IDS:
+                            yield batch_of(out)
+                            out, size = [], 0
         if out:
             yield batch_of(out)
 

@@ -239,6 +239,17 @@ def test_token_files_by_key(spark, docs, none, monkeypatch, chunk):
     assert token_files.look_up(token_files.write_shards(common.texts(none), BYTE), asked, "key").count() == 0
 
 
+def test_keys_are_looked_up_together_in_as_many_tasks_as_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 3000)
+    manifest = token_files.write_shards(common.texts(frame(spark, [(i, f"text number {i}") for i in range(2000)])), BYTE)
+    found = token_files.look_up(manifest, frame(spark, [(i, "") for i in range(0, 3000, 3)]))
+    assert found.rdd.getNumPartitions() == manifest.count() > 5 and found.count() == 667
+    path, first = manifest.orderBy("chunk").select("path", "first_id").first()
+    shard = token_files.Shard(path)
+    some = np.array([first, first - 1, first + 1, 10**9, first])
+    assert [list(r) for r in shard.rows_of(some)] == [[0], [], [1], [], [0]] and shard.rows_of(some[:0]) == []
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 63, 5000):
         keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
