@@ -186,15 +186,19 @@ def _kinds(rows: DataFrame, more: float, level: int = 2) -> DataFrame:
     return written(placed.groupBy("part", "block").cogroup(counted.groupBy("of", "block")).applyInArrow(back, "piece long, part long, kinds binary"), f"kinds-{level}")
 
 
-def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR, fold: bool = False) -> DataFrame:
+def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = None, similar: float = SIMILAR, fold: bool = False, bands: bool = False) -> DataFrame:
     """Links (a, b) that connect, with the links ``known``, all texts that share a key and whose index is ``similar`` or
-    more, through chains of such texts too. ``keys``: key, rep, n, pos and own as by ``prefix_keys`` (0 where the key is
-    no prefix). ``chosen``: rep, text. ``fold``: as for ``prefix_keys``.
+    more, through chains of such texts too. ``keys``: key, rep, n, pos and own as by ``prefix_keys``, or ``bands``, whose
+    n, pos and own are 0. ``chosen``: rep, text. ``fold``: as for ``prefix_keys``.
 
     Texts that chains of links connect already are not compared. In each of ROUNDS rounds all members of a bucket meet
     one leader, first the one of the fewest shingles of its own: copies link to their original. Then, in buckets whose
     members are not yet all connected, every member outside the bucket's largest group meets every other one of another
     group. So nothing is left out, and the pairs grow with a bucket's square only where its texts are not alike.
+
+    Texts that share a passage share ``bands``, in pairs that grow with the square of their number; few of them share a
+    rare shingle, too. So after the first leader, texts meet where they share a band and a prefix shingle, as any two do
+    that share a band and are alike; again they first meet the one of the fewest shingles of its own.
     """
     keys = written(keys, "keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -202,13 +206,16 @@ def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = N
     named = open_.select("rep").distinct()
     sets = written(_shingle_sets(chosen.join(named, "rep", "left_semi"), fold), "shingle-sets")
     links = written(known if known is not None else named.sparkSession.createDataFrame([], "a long, b long"), "known-links")
-    done = None
+    done = held = None
     for number in range(ROUNDS + 1):
         roots = written(components(links), "roots")
         open_ = written(_unsettled(open_, roots), f"open-{number}")
         if not open_.head(1):
             return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        pairs = (_led(open_, number, similar) if number < ROUNDS else _across(open_, similar)).distinct()
+        if bands and number == 1:
+            held, open_ = open_, _by_prefix(open_, chosen, roots, similar, fold)
+        pairs = (_led(open_, 0 if bands else number, similar) if number < ROUNDS else _across(open_, similar)).distinct()
+        pairs = _sharing(pairs, held) if held is not None else pairs
         pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(pairs, sets, similar))
@@ -223,6 +230,20 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return join_classes(written(labelled, "labelled"), mixed, ["key"], "size", members.count()).select(*columns, "root")
 
 
+def _by_prefix(members: DataFrame, chosen: DataFrame, roots: DataFrame, similar: float, fold: bool) -> DataFrame:
+    """The texts of ``members`` once more, by their prefix shingles that several roots have. Texts without shingles have
+    none: they are all alike, and connected since the first leader."""
+    named = chosen.join(members.select("rep").distinct(), "rep", "left_semi")
+    return written(_unsettled(written(prefix_keys(named, similar, fold), "prefixes"), roots), "open-prefixes")
+
+
+def _sharing(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The ``pairs`` that share a key of ``members``."""
+    held = members.groupBy("rep").agg(F.collect_set("key").alias("held"))
+    left, right = (held.select(F.col("rep").alias(n), F.col("held").alias(f"held_{n}")) for n in "ab")
+    return pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("held_a", "held_b")).select("a", "b")
+
+
 def _met(rows: DataFrame, similar: float) -> DataFrame:
     """Pairs a > b of rows (rep, n, pos, root) and (rep2, n2, pos2, root2) that can still be links: what follows the
     shared shingle in both orders must be enough for the index, if it is the first that they share."""

@@ -115,5 +115,5 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     banded = chosen.mapInArrow(bands, "rep long, bands array<long>").select("rep", F.posexplode("bands").alias("band", "value"))
     none = F.lit(0).cast("long")
     keys = banded.select(F.xxhash64("band", "value").alias("key"), "rep", none.alias("n"), none.alias("pos"), F.lit(0.0).alias("own"))
-    _, roots = settled(lambda: components(bucket_links(keys, chosen, None, similar)), spark, "roots")
+    _, roots = settled(lambda: components(bucket_links(keys, chosen, None, similar, bands=True)), spark, "roots")
     return least_ids(written(rows.select("doc_id", "digest"), "ids"), chosen, roots, "class_id")

@@ -206,3 +206,17 @@ def test_pairs_of_a_bucket_are_those_that_can_be_alike(spark):
     members = spark.createDataFrame(rows, "key long, rep long, n long, pos long, own double, root long")
     want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and min(a[2] - a[3], b[2] - b[3]) >= 0.8 / 1.8 * (a[2] + b[2]) - 1e-6}
     assert {tuple(r) for r in jaccard._across(members, 0.8).collect()} == want and len(want) > 500
+
+
+def test_bands_of_a_templated_crowd_form_few_pairs(spark, monkeypatch):
+    """300 texts that share a passage, and so bands, of which every tenth has a copy; and copies that only their original
+    connects. Texts of the crowd meet leaders, but not all each other."""
+    rng, counted = np.random.default_rng(15), []
+    passage = [f"c{i}" for i in range(60)]
+    crowd = [" ".join([*passage, *(f"w{x}" for x in own)]) for own in rng.integers(0, 10**7, (300, 40))]
+    texts = crowd + [f"{t} end" for t in crowd[::10]] + copies(rng, 40, 17)
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    real = jaccard._alike
+    monkeypatch.setattr(jaccard, "_alike", lambda pairs, sets, similar: counted.append(pairs.count()) or real(pairs, sets, similar))
+    assert got(minhash.near_duplicates(frame(spark, list(enumerate(texts)))), "class_id") == brute(texts)
+    assert sum(counted) < len(texts) ** 2 / 2 / 10
