@@ -204,7 +204,9 @@ def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = N
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     open_ = written(join_classes(keys, sizes, ["key"], "m", keys.count()), "buckets")
     named = open_.select("rep").distinct()
-    sets = written(_shingle_sets(chosen.join(named, "rep", "left_semi"), fold), "shingle-sets")
+    shared = chosen.select("rep", "text").join(named, "rep", "left_semi")
+    shared = written(shared, "shared-texts") if bands else shared
+    sets = written(_shingle_sets(shared, fold), "shingle-sets")
     links = written(known if known is not None else named.sparkSession.createDataFrame([], "a long, b long"), "known-links")
     done = held = None
     for number in range(ROUNDS + 1):
@@ -213,7 +215,7 @@ def bucket_links(keys: DataFrame, chosen: DataFrame, known: DataFrame | None = N
         if not open_.head(1):
             return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         if bands and number == 1:
-            held, open_ = open_, _by_prefix(open_, chosen, roots, similar, fold)
+            held, open_ = open_, _by_prefix(open_, shared, roots, similar, fold)
         pairs = (_led(open_, 0 if bands else number, similar) if number < ROUNDS else _across(open_, similar)).distinct()
         pairs = _sharing(pairs, held) if held is not None else pairs
         pairs = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs, "pairs")
@@ -233,7 +235,7 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _by_prefix(members: DataFrame, chosen: DataFrame, roots: DataFrame, similar: float, fold: bool) -> DataFrame:
     """The texts of ``members`` once more, by their prefix shingles that several roots have. Texts without shingles have
     none: they are all alike, and connected since the first leader."""
-    named = chosen.join(members.select("rep").distinct(), "rep", "left_semi")
+    named = written(chosen.join(members.select("rep").distinct(), "rep", "left_semi"), "open-texts")
     return written(_unsettled(written(prefix_keys(named, similar, fold), "prefixes"), roots), "open-prefixes")
 
 
